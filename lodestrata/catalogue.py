@@ -1,0 +1,46 @@
+"""Queries of the core operators and the SQL they are checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import deliveries
+from .sources.tables import load
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+@register(
+    "p7_found",
+    r"""
+WITH t AS (
+  SELECT delivery_id, received_at,
+         regexp_replace(request_id, '^\s+|\s+$', '', 'g') AS r, regexp_replace(correlation_id, '^\s+|\s+$', '', 'g') AS c FROM embedding_requests),
+u AS (
+  SELECT delivery_id, received_at,
+         CASE WHEN regexp_matches(lower(r), '^(urn:)?(uuid:)?[{(]?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}[)}]?$')
+              THEN regexp_replace(regexp_replace(lower(r), '^(urn:)?(uuid:)?', ''), '[^0-9a-f]', '', 'g') ELSE nullif(r, '') END AS rk,
+         CASE WHEN regexp_matches(lower(c), '^(urn:)?(uuid:)?[{(]?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}[)}]?$')
+              THEN regexp_replace(regexp_replace(lower(c), '^(urn:)?(uuid:)?', ''), '[^0-9a-f]', '', 'g') ELSE nullif(c, '') END AS ck FROM t)
+SELECT delivery_id FROM u
+QUALIFY row_number() OVER (
+  PARTITION BY CASE WHEN rk IS NOT NULL THEN 'r' WHEN ck IS NOT NULL THEN 'c' ELSE 'd' END, coalesce(rk, ck, cast(delivery_id AS varchar))
+  ORDER BY received_at NULLS LAST, delivery_id) > 1
+""",
+)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return deliveries.surplus_deliveries(load(spark, d, "embedding_requests"))
