@@ -46,7 +46,8 @@ class DeliveryLog:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or scratch_path(spark, "deliveries")
         self.buckets = buckets or parallelism(spark)
-        self.tables: list[str] = []
+        self.table: str | None = None
+        self.runs = 0
 
     @staticmethod
     def _earliest(df: DataFrame) -> DataFrame:
@@ -54,43 +55,40 @@ class DeliveryLog:
         first = F.min(F.struct(F.col("received_at").isNull().alias("unknown"), "received_at", "delivery_id"))
         return df.groupBy(*IDENTITY).agg(first.alias("first")).select(*IDENTITY, "first.received_at", "first.delivery_id")
 
-    def _write(self, df: DataFrame) -> str:
-        name = f"lodestrata_run_{uuid.uuid4().hex}"
+    def _append(self, df: DataFrame, name: str) -> None:
         placed = df.repartition(self.buckets, *IDENTITY)  # the layout of the buckets: one file each
-        placed.write.bucketBy(self.buckets, *IDENTITY).sortBy(*IDENTITY).format("parquet").option("path", f"{self.path}/{name}").saveAsTable(name)
-        return name
+        w = placed.write.mode("append").format("parquet").bucketBy(self.buckets, *IDENTITY).sortBy(*IDENTITY)
+        w.option("path", f"{self.path}/{name}").saveAsTable(name)
 
     def upsert(self, batch: DataFrame) -> DeliveryLog:
-        """Add one batch (identity columns, received_at, delivery_id) as a sorted run. Adding a batch again changes
-        nothing in the compacted result. A hot identity shrinks to one row per input partition before the shuffle."""
-        self.tables.append(self._write(self._earliest(batch)))
+        """Add one batch (identity columns, received_at, delivery_id) as a sorted run: one file per bucket. Adding a batch again
+        changes nothing in the result. A hot identity shrinks to one row per input partition before the shuffle."""
+        self.table = self.table or f"lodestrata_log_{uuid.uuid4().hex}"
+        self._append(self._earliest(batch), self.table)
+        self.runs += 1
         return self
 
     def current(self) -> DataFrame:
         """One row per identity over all runs, read bucket by bucket."""
-        runs = [self.spark.table(t) for t in self.tables]
-        if not runs:
+        if self.table is None:
             return self.spark.createDataFrame([], "id_kind string, id_key string, received_at timestamp_ntz, delivery_id long")
-        if len(runs) == 1:
-            return runs[0]
-        merged = runs[0]
-        for r in runs[1:]:
-            merged = merged.unionByName(r)
-        return self._earliest(merged)
+        stored = self.spark.table(self.table)
+        return stored if self.runs == 1 else self._earliest(stored)
 
     def compact(self) -> DeliveryLog:
         """Merge all runs into one and forget the old ones."""
-        if len(self.tables) > 1:
-            old, name = self.tables, self._write(self.current())
-            self.tables = [name]
-            for t in old:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        if self.runs > 1:
+            name = f"lodestrata_log_{uuid.uuid4().hex}"
+            self._append(self.current(), name)
+            self.drop()
+            self.table, self.runs = name, 1
         return self
 
     def drop(self) -> None:
-        for t in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-        self.tables = []
+        """Forget the stored runs; files go with the folder."""
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.table, self.runs = None, 0
 
 
 def surplus_deliveries(df: DataFrame, runs: int = 2) -> DataFrame:
