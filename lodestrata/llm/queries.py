@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import live, load
-from . import copies, leakage, mixing, near_copies, neighbours, ranking, subjects
+from . import copies, leakage, mixing, near_copies, neighbours, origin, ranking, subjects, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_counts(live(load(spark, d, "code_chunks")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return origin.not_hand_written(live(load(spark, d, "code_chunks"))).select("repository_id", "file_path")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     links = near_copies.NearCopies(threshold=0.6, shingle=3, least_words=20)
     return links.pairs(live(load(spark, d, "code_chunks"))).select("chunk_id_a", "chunk_id_b")
@@ -38,6 +42,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.Neighbours().neighbours(load(spark, d, "embeddings_partitioned")).select("id", "neighbour_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.unparsable(live(load(spark, d, "code_chunks")))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(syntax.file_verdicts(live(load(spark, d, "code_chunks"))))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -72,7 +84,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_assigned(spark, d), load(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flows, p2_found, p2_counts, p4_found, p5_found, p8_found, p8_items, p9_found, p9_shares, p9_mix, p10_found, p10_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flows, p2_found, p2_counts, p3_found, p4_found, p5_found, p6_found, p6_rates, p8_found, p8_items, p9_found, p9_shares, p9_mix, p10_found, p10_composition)}
 
 _FLOWS = """
 WITH best AS (
