@@ -78,6 +78,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Write df to the shared folder hash-bucketed by the keys: later joins and aggregations on them read it in place.
+
+    A df that is already partitioned by the keys, as after an aggregation, isn't shuffled again.
+    """
+    spark = df.sparkSession
+    n, name = parallelism(spark), f"lodestrata_{label}_{uuid.uuid4().hex}"
+    placed = df.repartition(n, *keys)
+    placed.write.format("parquet").option("compression", "zstd").bucketBy(n, *keys).option("path", scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: what partition counts here are derived from."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
