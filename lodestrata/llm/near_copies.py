@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage, stage_bucketed
 from .copies import canonical_keys
 
 _WORD = re.compile(r"\w+")
@@ -142,7 +142,7 @@ def _verify(threshold: float):
                     common = int((both[1:] == both[:-1]).sum())
                     sim[k] = common / (len(p) + len(q) - common) if common else 0.0
             keep = sim >= threshold - 1e-12
-            t = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], names=["a", "b", "similarity"])
+            t = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], names=["na", "nb", "similarity"])
             yield t.filter(pa.array(keep))
 
     return run
@@ -191,7 +191,7 @@ class NearCopies:
     :param wide: nodes under one prefix above which the exact way replaces the forest's.
     """
 
-    def __init__(self, threshold: float = 0.8, shingle: int = 5, least_words: int = 0, trees: int = 32, depth: int = 6, target: float = 0.995, wide: int = 400):
+    def __init__(self, threshold: float = 0.8, shingle: int = 5, least_words: int = 0, trees: int = 24, depth: int = 6, target: float = 0.995, wide: int = 400):
         self.threshold, self.shingle, self.least_words, self.trees, self.wide = threshold, shingle, least_words, trees, wide
         self.k = forest_depth(threshold, trees, depth, target)
 
@@ -202,17 +202,17 @@ class NearCopies:
         rows = src.select("id", "content", "copy_key").mapInArrow(_nodes(self.shingle, self.least_words), "id string, copy_key binary, node_key binary, shingles binary")
         rows = stage(rows, "shingles")
         members = rows.select("id", "node_key")
-        # one node per distinct content; min_by keeps no more than one row per map task for a hot group
-        reps = rows.groupBy("node_key").agg(F.min("id").alias("id"))
-        nodes = rows.join(reps.select(F.col("id").alias("rid"), F.col("node_key").alias("rkey")), (F.col("id") == F.col("rid")) & (F.col("node_key") == F.col("rkey")), "left_semi")
-        nodes = nodes.dropDuplicates(["node_key"]).withColumn("nid", F.monotonically_increasing_id())
-        return stage(nodes.select("nid", "node_key", "copy_key", "shingles"), "nodes"), members
+        # one node per distinct content; a hot content shrinks to one row per map task before the only shuffle of shingles
+        nodes = rows.groupBy("node_key").agg(F.first("copy_key").alias("copy_key"), F.first("shingles").alias("shingles"))
+        nodes = nodes.withColumn("nid", F.monotonically_increasing_id())
+        return stage_bucketed(nodes.select("nid", "node_key", "copy_key", "shingles"), ["node_key"], "nodes"), members
 
     def candidates(self, nodes: DataFrame) -> DataFrame:
         labels = stage(nodes.select("nid", "shingles").mapInArrow(_labels(self.trees, self.k), "prefix long, nid long"), "labels")
         sizes = labels.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sizes = stage(sizes, "prefixes")
-        narrow = labels.join(sizes.filter(F.col("n") <= self.wide).select("prefix"), "prefix", "left_semi")
+        # prefixes that nodes share are few: their rows are kept for both sides of the join
+        narrow = stage(labels.join(sizes.filter(F.col("n") <= self.wide).select("prefix"), "prefix", "left_semi"), "narrow")
         x, y = narrow.select("prefix", F.col("nid").alias("a")), narrow.select("prefix", F.col("nid").alias("b"))
         found = x.join(y, "prefix").filter("a < b").select("a", "b")
         wide = sizes.filter(F.col("n") > self.wide).select("prefix")
@@ -230,21 +230,24 @@ class NearCopies:
         return _pairs(with_f.mapInPandas(_rarest(self.threshold), "prefix long, nid long"))
 
     def node_links(self, nodes: DataFrame) -> DataFrame:
-        """(a, b, similarity) of nodes that are no copies of each other."""
+        """(node_key_a, node_key_b, similarity) of nodes that are no copies of each other. Shingles are read from the
+        buckets of node_key, in place; only those of candidates are shuffled."""
         cand = self.candidates(nodes)
-        x = nodes.select(F.col("nid").alias("a"), F.col("shingles").alias("sa"), F.col("copy_key").alias("ka"))
-        y = nodes.select(F.col("nid").alias("b"), F.col("shingles").alias("sb"), F.col("copy_key").alias("kb"))
-        both = cand.join(x, "a").join(y, "b").filter("ka <> kb").select("a", "b", "sa", "sb")
-        return both.mapInArrow(_verify(self.threshold), "a long, b long, similarity double")
+        ka = nodes.select(F.col("nid").alias("a"), F.col("node_key").alias("na"), F.col("copy_key").alias("ca"))
+        kb = nodes.select(F.col("nid").alias("b"), F.col("node_key").alias("nb"), F.col("copy_key").alias("cb"))
+        named = cand.join(ka, "a").join(kb, "b").filter("ca <> cb").select("na", "nb")
+        x = nodes.select(F.col("node_key").alias("xa"), F.col("shingles").alias("sa"))
+        y = nodes.select(F.col("node_key").alias("yb"), F.col("shingles").alias("sb"))
+        both = named.join(x, F.col("na") == F.col("xa")).select("na", "nb", "sa").join(y, F.col("nb") == F.col("yb")).select("na", "nb", "sa", "sb")
+        return both.mapInArrow(_verify(self.threshold), "na binary, nb binary, similarity double")
 
     def pairs(self, df: DataFrame, id_col: str = "id") -> DataFrame:
         """chunk_id_a < chunk_id_b and similarity of all linked records that are no formatted copies of each other.
 
-        Null ids and texts and texts below least_words (or one shingle) take no part; an empty table gives an empty result; extra columns
-        are ignored; a repeated id counts once.
+        Null ids and texts and texts below least_words (or one shingle) take no part; an empty table gives an empty result; extra
+        columns are ignored; a repeated id counts once.
         """
         nodes, members = self.nodes(df, id_col)
-        links = self.node_links(nodes).join(nodes.select(F.col("nid").alias("a"), F.col("node_key").alias("na")), "a").join(nodes.select(F.col("nid").alias("b"), F.col("node_key").alias("nb")), "b").select("na", "nb", "similarity")
         ma, mb = members.select(F.col("id").alias("ia"), F.col("node_key").alias("na")), members.select(F.col("id").alias("ib"), F.col("node_key").alias("nb"))
-        p = links.join(ma, "na").join(mb, "nb")
+        p = self.node_links(nodes).join(ma, "na").join(mb, "nb")
         return p.select(F.least("ia", "ib").alias("chunk_id_a"), F.greatest("ia", "ib").alias("chunk_id_b"), "similarity").distinct()
