@@ -106,18 +106,22 @@ class Grammar:
 
     def expr(self, s: str, i: int, block: bool = False) -> int:
         """A non-empty expression; block: a brace group after a name opens a body, it is no literal."""
+        alone = True  # no operator since the start or the last assignment: an assignment may follow
         while True:
+            start = i
             i = self.operand(s, i, block)
             if i < 0:
                 return -1
             j = self.skip(s, i) if self.newlines else i
             c = self.at(s, j)
             if c in self.binary and c:
-                i = j + 1
+                i, alone = j + 1, False
                 while c == ">" and self.at(s, i) == ">":
                     i += 1
                 i = self.skip(s, i)
             elif c in ("=", "a") and c and self.assigns:
+                if not alone or not self.target(s, start, i):
+                    return -1
                 i = self.skip(s, j + 1)
             elif c == "?" and self.ternary:
                 i = self.expr(s, self.skip(s, j + 1), block)
@@ -126,9 +130,9 @@ class Grammar:
                 i = self.skip(s, i)
                 if self.at(s, i) != ":":
                     return -1
-                i = self.skip(s, i + 1)
+                i, alone = self.skip(s, i + 1), True
             elif c and c in self.word_ops:
-                i = self.skip(s, j + 1)
+                i, alone = self.skip(s, j + 1), False
             else:
                 return i
 
@@ -136,6 +140,13 @@ class Grammar:
     ternary = True
     word_ops = ""
 
+    def target(self, s: str, start: int, end: int) -> bool:
+        """May the operand from start to end be assigned to: a name, a member, an element, a pattern or one of them in parentheses?"""
+        last, k = s[end - 1], self.kind(s, end - 1)
+        if s[start] in self.unary or s[start] in self.prefix and end > start + 1:
+            return False
+        return last in self.anyname or k == "[" or k == "(" and end == start + 1 or k == "{" and end == start + 1 or last == "!"
+
     def operand(self, s: str, i: int, block: bool) -> int:
         while i < len(s) and (s[i] in self.unary or s[i] in self.prefix):
             i = self.skip(s, i + 1)
@@ -593,6 +604,8 @@ class Script(Grammar):
             if self.at(s, i + 1) == ".":
                 return i + 3
             return self.operand(s, i + 1, block)
+        if c == "<" and self.typed:
+            return self.generic_or_assertion(s, i, block)
         if c == self.IMPORT:
             return i + 1 if self.at(s, i + 1) == "." or self.kind(s, i + 1) == "(" else -1
         if c == self.YIELD:
@@ -612,6 +625,9 @@ class Script(Grammar):
             return self.group(s, i, "{", "object")
         return -1
 
+    def generic_or_assertion(self, s: str, i: int, block: bool) -> int:
+        return -1
+
     def arrow_after(self, s: str, i: int) -> int:
         """Position after => if an arrow follows a parameter list that ends before i, else 0."""
         if self.at(s, i) == "r":
@@ -651,8 +667,7 @@ class Script(Grammar):
             if c == "!" and j == i and self.at(s, i + 1) not in ("=", "i", "s", "n"):
                 return i + 1
             if c and c in self.casts and j == i:
-                n = self.type(s, i + 1)
-                return n
+                return i + 2 if self.at(s, i + 1) == self.CONST else self.type(s, i + 1)
         return i
 
     casts = ""
@@ -1176,9 +1191,22 @@ class Typed(Script):
             if self.at(s, i) != ",":
                 return -1
 
+    def generic_or_assertion(self, s: str, i: int, block: bool) -> int:
+        """<T>(params) => body, or <type>operand."""
+        j = self.type_params(s, i)
+        if j > 0 and self.kind(s, j) == "(":
+            k = self.arrow_after(s, j + 1)
+            if k and self.whole("params", self.content(s, j)):
+                return self.arrow_body(s, k)
+        j = self.type_args(s, i)
+        return self.operand(s, j, block) if j > 0 else -1
+
     def type_params(self, s: str, i: int) -> int:
+        first = i
         while True:
             i = self.skip(s, i + 1)
+            if self.at(s, i) == ">" and i > first + 1:
+                return i + 1
             if self.at(s, i) == self.CONST:
                 i += 1
             if not self.at(s, i) or s[i] not in self.names:

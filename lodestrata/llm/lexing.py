@@ -61,7 +61,7 @@ _SPACE = re.compile(r"[ \t\r\f\v\u00a0\ufeff]+")
 _SEMI_AFTER = re.compile(r"([ins)\]}x" + CODE["return"] + CODE["break"] + CODE["continue"] + CODE["fallthrough"] + r"])\n")
 _LINES = re.compile(r"\n+")
 _AS_NAME = {"go": "nil true false iota", "java": "this super null true false int long short byte char float double boolean void", "js": "this super null true false undefined", "ts": "this super null true false undefined"}
-_ODD = re.compile(r"[^ins()\[\]{};,.:?@=<>+\-*/%&|^!~bateoxdrcwE\n-]")
+_ODD = re.compile(r"[^ins()\[\]{};,.:?@=<>+\-*/%&|^!~bateoxdrcwE\n\ue000-\uf8ff]")
 
 
 #: Length from which a string literal without white space counts as data.
