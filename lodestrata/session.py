@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes in an Arrow batch: rows may hold long texts or blocks of vectors, and a task holds a few batches at a time.
+ARROW_BATCH = "16m"
 
 
 def build_session(app: str = "lodestrata", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -40,6 +42,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     The archive goes through Spark's own file server; nothing on the executors' local disks is assumed.
     """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     key = sc.applicationId
     if key not in _SHIPPED:
         root = Path(__file__).resolve().parent
