@@ -95,7 +95,7 @@ def test_origin(spark):
         rows(
             ("r", "src/a.js", 1, "a", getters), ("r", "src/b.js", 1, "a", mini), ("r", "src/vendor.js", 1, "a", hand), ("r", "vendor/x/c.js", 1, "a", hand), ("r", "lib/x-1.2.3/c.js", 1, "a", hand), ("r", "src/vendors/c.js", 1, "a", hand),
             ("r", "src/p.js", 1, "a", "// SPDX-License-Identifier: MIT\n// x v1.2.3 | MIT licence | from upstream abcdef12\n" + hand), ("r", "src/d.js", 1, "a", blob), ("r", "src/two.js", 1, "a", blob), ("r", "src/two.js", 9, "b", "f();"), ("r", "vendor/x.md", 1, "a", "x"),
-            ("r", "src/null.js", 1, "a", None), ("r", "src/empty.py", 1, "a", ""), (None, "vendor/a.js", 1, "a", ""), ("r", "src/long.py", 1, "a", "\n".join(f"def f{k}(a):\n    return g{k % 7}(a, {k})[{'a' * (k % 5)}b] + {k}" + "\n    x" * (k % 3) for k in range(5000))),
+            ("r", "src/null.js", 1, "a", None), ("r", "src/empty.py", 1, "a", ""), (None, "vendor/a.js", 1, "a", ""), ("r", "src/long.py", 1, "a", "\n".join(random.Random(1).choices(["def f(a):", "    x = g(a)", "    if a > b(1):", "        return", "    a.b(c)", "    for x in y:", "        x[1] += 2", "    return a"], k=20_000))),
         ),
         CHUNK,
     )
