@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import strings
+from .functions import code, strings
 from .functions.vectors import cosine_to, dimension_policy, doubles, normalized, truncated
 from .operators import catalog, chunking, deliveries, errors, extract, intervals, search, stats, upserts
 from .session import scratch_path
@@ -680,3 +680,109 @@ def stream_window(spark: SparkSession, d: str) -> DataFrame:
     q = agg.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch_path(spark, "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).select(F.unix_micros("window_start").alias("at"), "code", "n", "severity")
+
+
+# further functions on code
+
+
+_BY_EXT_CASE = rf"CASE lower(regexp_extract(file_path, '\.([^./]+)$', 1)) {_BY_EXT} END"
+_BY_HEAD = "CASE " + " ".join(f"WHEN regexp_matches(split_part(content, chr(10), 1), '{rx}') THEN '{lang}'" for lang, rx in code.SHEBANGS) + " END"
+_BY_CONTENT = "CASE " + " ".join("WHEN regexp_matches(content, '{}') THEN '{}'".format(rx.replace("'", "''"), lang) for lang, rx in code.CONTENTS) + " END"
+
+
+@register("language_detection", f"SELECT id, coalesce({_BY_EXT_CASE}, {_BY_HEAD}, {_BY_CONTENT}) AS lang FROM code_chunks WHERE deleted_at IS NULL AND chunk_type IN ('config', 'query', 'function')")
+def language_detection(spark: SparkSession, d: str) -> DataFrame:
+    c = live(load(spark, d, "code_chunks")).filter("chunk_type in ('config', 'query', 'function')")
+    lang, _ = code.detected_language(F.col("file_path"), F.col("content"), strings.extension_language(F.col("file_path")))
+    return c.select("id", lang.alias("lang"))
+
+
+@register("binary_extension", "SELECT DISTINCT file_path FROM code_chunks WHERE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) IN (" + ", ".join(f"'{x}'" for x in code.BINARY_EXTENSIONS) + ")")
+def binary_extension(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "code_chunks").filter(code.has_binary_extension(F.col("file_path"))).select("file_path").distinct()
+
+
+@register("doc_summary", "SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '@'))[1], '') AS summary FROM documents WHERE kind = 'docstring' AND text IS NOT NULL")
+def doc_summary(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").filter("kind = 'docstring' and text is not null").select("doc_id", code.doc_summary(F.col("text")).alias("summary"))
+
+
+@register("struct_tags", r"""SELECT id, len(regexp_extract_all(content, '(\w+):"([^"]*)"')) AS n, regexp_extract_all(content, '(\w+):"([^"]*)"', 1)[1] AS first FROM code_chunks WHERE deleted_at IS NULL AND file_path LIKE '%.go'""")
+def struct_tags(spark: SparkSession, d: str) -> DataFrame:
+    c = live(load(spark, d, "code_chunks")).filter("file_path like '%.go'").withColumn("t", code.struct_tags(F.col("content")))
+    return c.select("id", F.size("t").cast("long").alias("n"), F.try_element_at("t", F.lit(1))["name"].alias("first"))
+
+
+_CALLED = ", ".join(f"'{x}'" for x in code.NOT_CALLED)
+_NAMES = r"list_transform(list_filter(regexp_split_to_array(content, '\s+'), lambda w: contains(w, '(')), lambda w: CASE WHEN contains(split_part(w, '(', 1), '.') THEN split_part(split_part(w, '(', 1), '.', 2) ELSE split_part(w, '(', 1) END)"
+
+
+@register(
+    "called_names",
+    f"SELECT id, len(list_filter({_NAMES}, lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*$') AND x NOT IN ({_CALLED}))) AS calls FROM code_chunks WHERE deleted_at IS NULL AND chunk_type = 'function'",
+)
+def called_names(spark: SparkSession, d: str) -> DataFrame:
+    return live(load(spark, d, "code_chunks")).filter("chunk_type = 'function'").select("id", F.size(code.called_names(F.col("content"))).cast("long").alias("calls"))
+
+
+@register(
+    "similar_names",
+    """WITH c AS (SELECT DISTINCT repository_id, file_path, entity_name AS n FROM code_chunks WHERE deleted_at IS NULL AND entity_name IS NOT NULL),
+    p AS (SELECT a.file_path, a.n AS a, b.n AS b, least(length(a.n), length(b.n)) AS m FROM c a JOIN c b ON a.repository_id = b.repository_id AND a.file_path = b.file_path AND a.n < b.n)
+    SELECT file_path, a, b FROM p WHERE m >= 3 AND (left(lower(a), m // 2) = left(lower(b), m // 2) OR right(lower(a), m // 2) = right(lower(b), m // 2))""",
+)
+def similar_names(spark: SparkSession, d: str) -> DataFrame:
+    c = live(load(spark, d, "code_chunks")).filter("entity_name is not null").select("repository_id", "file_path", F.col("entity_name").alias("n")).distinct()
+    p = c.withColumnRenamed("n", "a").join(c.withColumnRenamed("n", "b"), ["repository_id", "file_path"]).filter("a < b")
+    return p.filter(code.similar_names(F.col("a"), F.col("b"))).select("file_path", "a", "b")
+
+
+@register("fnv_hash")
+def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", code.fnv32a("text").alias("h"))
+
+
+@register("request_keys", "SELECT id, 'chunk_' || replace(id, '-', '') AS key, id AS back FROM code_chunks")
+def request_keys(spark: SparkSession, d: str) -> DataFrame:
+    c = load(spark, d, "code_chunks").select("id", code.request_key(F.col("id")).alias("key"))
+    return c.withColumn("back", code.chunk_of_key(F.col("key")))
+
+
+@register("embeddings_page", "SELECT id, created_at FROM embeddings_partitioned WHERE deleted_at IS NULL AND model_version IN ('code-embed-1') AND repository_id = (SELECT min(repository_id) FROM embeddings_partitioned) ORDER BY created_at DESC, id LIMIT 100")
+def embeddings_page(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings_partitioned")
+    first = e.agg(F.min("repository_id").alias("r"))
+    e = live(e).filter(search.in_list(F.col("model_version"), ["code-embed-1"])).join(F.broadcast(first), F.col("repository_id") == F.col("r"), "left_semi")
+    return search.page(e, [F.col("created_at").desc(), F.col("id")], 100).select("id", "created_at")
+
+
+@register("repository_regex", "SELECT id, name FROM repositories WHERE deleted_at IS NULL AND regexp_matches(name, '^[a-m].*-') ORDER BY name, id LIMIT 20")
+def repository_regex(spark: SparkSession, d: str) -> DataFrame:
+    return search.page(live(load(spark, d, "repositories")).filter(F.col("name").rlike("^[a-m].*-")), [F.col("name"), F.col("id")], 20).select("id", "name")
+
+
+@register("queue_head", "SELECT delivery_id FROM embedding_requests WHERE deadline IS NULL OR deadline <= TIMESTAMP '2024-04-01' ORDER BY submitted_at, delivery_id LIMIT 1")
+def queue_head(spark: SparkSession, d: str) -> DataFrame:
+    r = load(spark, d, "embedding_requests").filter("deadline is null or deadline <= timestamp_ntz'2024-04-01'")
+    return search.page(r, [F.col("submitted_at"), F.col("delivery_id")], 1).select("delivery_id")
+
+
+@register("duplicate_hours", "SELECT hour(received_at)::INT AS h, count(*) - count(DISTINCT correlation_id) AS repeats, count(*) AS n FROM embedding_requests WHERE correlation_id IS NOT NULL GROUP BY 1")
+def duplicate_hours(spark: SparkSession, d: str) -> DataFrame:
+    r = load(spark, d, "embedding_requests").filter("correlation_id is not null")
+    return r.groupBy(F.hour("received_at").alias("h")).agg((F.count(F.lit(1)) - F.countDistinct("correlation_id")).alias("repeats"), F.count(F.lit(1)).alias("n"))
+
+
+@register("script_counts", r"SELECT doc_id, strlen(text) AS bytes, length(text) AS characters, length(text) - length(regexp_replace(text, '\p{Latin}', '', 'g')) AS latin FROM documents WHERE text IS NOT NULL")
+def script_counts(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").filter("text is not null").select("doc_id", stats.script_counts(F.col("text")).alias("s")).select("doc_id", F.col("s.bytes").cast("long").alias("bytes"), F.col("s.characters").cast("long").alias("characters"), F.col("s.latin").cast("long").alias("latin"))
+
+
+@register("nearest_class", """WITH c AS (SELECT * FROM code_chunks WHERE deleted_at IS NULL), m AS (SELECT id, repository_id, file_path, start_line, end_line FROM c WHERE chunk_type <> 'class'),
+    o AS (SELECT id, repository_id, file_path, start_line - 50 AS s, end_line + 50 AS e FROM c WHERE chunk_type = 'class')
+    SELECT m.id, arg_min(o.id, (o.e - o.s, o.id)) AS owner_id FROM m JOIN o ON m.repository_id = o.repository_id AND m.file_path = o.file_path AND m.start_line >= o.s AND m.end_line <= o.e GROUP BY 1""")
+def nearest_class(spark: SparkSession, d: str) -> DataFrame:
+    c = live(load(spark, d, "code_chunks"))
+    m = c.filter("chunk_type <> 'class'").select("id", "repository_id", "file_path", "start_line", "end_line")
+    o = c.filter("chunk_type = 'class'").select(F.col("id").alias("owner_id"), "repository_id", "file_path", (F.col("start_line") - 50).alias("owner_start"), (F.col("end_line") + 50).alias("owner_end"))
+    return intervals.enclosing(m, o, ["repository_id", "file_path"]).select("id", "owner_id")
