@@ -51,7 +51,7 @@ class Settings:
     max_labelled: int = 8_000
     partitions: int = 6
     least_words: int = 8
-    threshold: float = 0.5
+    threshold: float = 0.3
     seed: int = 11
 
 
