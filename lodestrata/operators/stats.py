@@ -18,9 +18,11 @@ def whole_average(x: Column) -> Column:
 
 def length_variation(df: DataFrame, text: str) -> DataFrame:
     """(mean_length, variation): the truncated mean length in bytes, and the deviation around that truncated mean over it."""
-    m = df.agg(whole_average(F.octet_length(text)).alias("mean_length"))
-    d = df.select(F.octet_length(text).alias("x")).crossJoin(F.broadcast(m))  # one row
-    return d.groupBy("mean_length").agg(F.try_divide(F.sqrt(F.avg((F.col("x") - F.col("mean_length")) * (F.col("x") - F.col("mean_length")))), F.col("mean_length")).alias("variation"))
+    x = F.octet_length(text).cast("double")
+    a = df.agg(whole_average(F.octet_length(text)).alias("mean_length"), F.avg(x).alias("a"), F.avg(x * x).alias("b"))
+    # the mean of (x - m)^2 from one pass
+    square = F.col("b") - 2 * F.col("mean_length") * F.col("a") + F.col("mean_length") * F.col("mean_length")
+    return a.select("mean_length", F.try_divide(F.sqrt(F.greatest(square, F.lit(0.0))), "mean_length").alias("variation"))
 
 
 def failure_rates(df: DataFrame, retryable: Column) -> DataFrame:
