@@ -262,6 +262,5 @@ def assign(documents: DataFrame, model: Model) -> DataFrame:
 
 def composition(assigned: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents and share of the corpus per subject."""
-    n = documents.agg(F.count(F.lit(1)).alias("n"))
     c = assigned.groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
-    return c.crossJoin(F.broadcast(n)).select("subject", "documents", F.try_divide("documents", "n").alias("share"))
+    return c.withColumn("share", F.try_divide("documents", F.lit(documents.count())))
