@@ -137,7 +137,7 @@ def _scan(shared, k: int, window: int, passage: int, per_edit: int):
                 w = words_of(text)
                 if len(w) < passage - passage // per_edit or not len(t.fp):
                     continue
-                if len(known) > 2_000_000:
+                if len(known) > 500_000:
                     known.clear()
                 h = np.fromiter([known[x] if x in known else known.setdefault(x, xxhash.xxh3_64_intdigest(x)) for x in w], np.uint64, len(w))
                 rh = run_hashes(h, k)

@@ -36,7 +36,7 @@ def python_valid(text: str) -> bool:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            ast.parse(text)
+            ast.parse(text.removeprefix("\ufeff"))
     except (SyntaxError, ValueError):
         return False
     except (RecursionError, MemoryError):
