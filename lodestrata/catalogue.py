@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import code, strings
 from .functions.vectors import cosine_to, dimension_policy, doubles, normalized, truncated
 from .operators import catalog, chunking, deliveries, errors, extract, intervals, search, stats, upserts
-from .session import scratch_path
+from .session import scratch_path, spread
 from .sources.tables import live, load
 from .streaming import events as stream_events
 
@@ -431,7 +431,7 @@ def code_like(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, CASE WHEN coalesce(text, '') = '' OR w = 0 THEN 0 ELSE greatest(greatest(1, w // 2), least((w * m) // 10, w * 3)) END AS tokens FROM t""",
 )
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", strings.token_estimate(F.col("text")).alias("tokens"))
+    return spread(load(spark, d, "documents").select("doc_id", "text")).select("doc_id", strings.token_estimate(F.col("text")).alias("tokens"))
 
 
 _TEST_NAME = " OR ".join(f"contains(lower(split_part(file_path, '/', -1)), '{p}')" for p in strings.TEST_NAME_PARTS)

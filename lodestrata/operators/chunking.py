@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def cut_lines(text: str, size: int) -> list[tuple[int, int, str]]:
     """(start line, end line, content) of greedy pieces of at most ``size`` bytes, whole lines each; the text as it is if it fits. A longer
@@ -45,7 +47,7 @@ def line_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1000) ->
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], names=["id", "ord", "start_line", "end_line", "content"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, ord int, start_line int, end_line int, content string")
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).mapInArrow(run, f"id {kind}, ord int, start_line int, end_line int, content string")
 
 
 @dataclass(frozen=True)

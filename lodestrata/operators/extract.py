@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 FIELDS = ["kind", "name", "qualified_name", "parent", "signature", "visibility", "start_line", "end_line"]
 _SCHEMA = "kind string, name string, qualified_name string, parent string, signature string, visibility string, start_line int, end_line int"
 
@@ -160,4 +162,4 @@ def constructs(df: DataFrame, id_col: str = "id", text_col: str = "content", pat
 
     kind = dict(df.dtypes)[id_col]
     src = df.select(F.col(id_col).alias("id"), text_col, F.lower(F.regexp_extract(path_col, r"\.([A-Za-z0-9]+)$", 1)).alias("e"))
-    return src.mapInArrow(run, f"id {kind}, {_SCHEMA}")
+    return spread(src).mapInArrow(run, f"id {kind}, {_SCHEMA}")

@@ -50,7 +50,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "chunk_i
     """
     v = vectors if where is None else vectors.filter(where)
     v = v.filter(F.size(embedding) == len(query)).withColumn("similarity", cosine_to(F.col(embedding), query))
-    best = v.filter(F.col("similarity").isNotNull() & ~F.isnan("similarity")).orderBy(F.col("similarity").desc(), id_col).limit(k)
+    best = v.filter(F.col("similarity").isNotNull()).orderBy(F.col("similarity").desc(), id_col).limit(k)
     if at_least > 0:
         best = best.filter(F.col("similarity") >= at_least)
     if above is not None:

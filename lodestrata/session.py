@@ -81,6 +81,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for costly work per row: a table in fewer splits than there are cores (a single file, say) is dealt
+    out evenly; any larger one is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def stage_bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Write df to the shared folder hash-bucketed by the keys: later joins and aggregations on them read it in place.
 
