@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage
+from ..session import spread, stage
 
 #: Copies of one key from which it counts as hot.
 HOT_ROWS = 10_000
@@ -169,11 +169,11 @@ def copies(df: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "id") -> DataF
     gives an empty result; extra columns are ignored.
     """
     src = df.select(F.col(id_col).alias("id"), "content", "file_path", "language").filter(F.col("content").isNotNull())
-    keyed = stage(canonical_keys(src).select("id", "copy_key"), "copykeys")
+    keyed = stage(canonical_keys(spread(src)).select("id", "copy_key"), "copykeys")
     return copy_classes(keyed, "id", hot_rows).filter(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("chunk_id")).distinct()
 
 
 def copy_counts(df: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "id") -> DataFrame:
     """One row per distinct content: keep_id and the number of records that have it (1 for content without copies)."""
     src = df.select(F.col(id_col).alias("id"), "content", "file_path", "language").filter(F.col("content").isNotNull() & F.col("id").isNotNull())
-    return canonical_keys(src).groupBy("copy_key").agg(F.min("id").alias("keep_id"), F.countDistinct("id").alias("copies")).select("keep_id", "copies")
+    return canonical_keys(spread(src)).groupBy("copy_key").agg(F.min("id").alias("keep_id"), F.countDistinct("id").alias("copies")).select("keep_id", "copies")

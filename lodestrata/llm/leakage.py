@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .near_copies import _M1, _M2, _mix
 
 #: Letters in all items together that one pass may broadcast; larger sets of items take several passes.
@@ -185,6 +186,7 @@ def leaks(documents: DataFrame, items: DataFrame, passage: int = 30, per_edit: i
         raise ValueError("k + window - 1 is longer than the unbroken run that a passage must have")
     spark = documents.sparkSession
     src = documents.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    src = spread(src)
     its = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     total = its.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-total // chars_per_pass))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage, stage_bucketed
+from ..session import spread, stage, stage_bucketed
 from .copies import canonical_keys
 
 _WORD = re.compile(r"\w+")
@@ -198,7 +198,8 @@ class NearCopies:
     def nodes(self, df: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
         """(nodes: nid, node_key, copy_key, shingles; members: id, node_key). A node is a distinct shingle set with
         its copy key; texts that are formatted copies of each other have equal copy keys."""
-        src = canonical_keys(df.select(F.col(id_col).alias("id"), "content", "file_path", "language").filter(F.col("content").isNotNull() & F.col("id").isNotNull()))
+        src = df.select(F.col(id_col).alias("id"), "content", "file_path", "language").filter(F.col("content").isNotNull() & F.col("id").isNotNull())
+        src = canonical_keys(spread(src))
         rows = src.select("id", "content", "copy_key").mapInArrow(_nodes(self.shingle, self.least_words), "id string, copy_key binary, node_key binary, shingles binary")
         rows = stage(rows, "shingles")
         members = rows.select("id", "node_key")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import spread, stage
 
 _CAMEL = re.compile(r"([a-zß-öø-ÿ])([A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -257,7 +257,7 @@ def assign(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, subject, probability) for every document and subject of at least the threshold's probability. Whole
     texts are read; null, empty and very short texts have no row; a repeated doc_id is scored each time."""
     src = documents.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    return src.mapInArrow(_score(documents.sparkSession.sparkContext.broadcast(model)), "doc_id long, subject string, probability double")
+    return spread(src).mapInArrow(_score(documents.sparkSession.sparkContext.broadcast(model)), "doc_id long, subject string, probability double")
 
 
 def composition(assigned: DataFrame, documents: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import spread, stage
 from . import lexing
 from .grammar import GRAMMARS, IMPORT, PACKAGE
 from .origin import extension
@@ -146,7 +146,7 @@ def file_verdicts(chunks: DataFrame) -> DataFrame:
     """
     src = chunks.select("repository_id", "file_path", F.col("start_line").cast("int").alias("start_line"), F.col("id").cast("string").alias("id"), "content", extension(F.col("file_path")).alias("ext"))
     src = src.filter(F.col("repository_id").isNotNull() & F.col("ext").isin(list(LANGUAGES)))
-    s = src.mapInArrow(_chunk_summaries, "repository_id string, file_path string, start_line int, id string, ext string, flags int, summary string")
+    s = spread(src).mapInArrow(_chunk_summaries, "repository_id string, file_path string, start_line int, id string, ext string, flags int, summary string")
     by_file = s.groupBy("repository_id", "file_path", "ext").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", "flags", "summary"))).alias("c"))
     first = stage(by_file.select("repository_id", "file_path", "ext", "c").mapInArrow(_verdicts, _RESULT), "verdicts")
     open_ = first.filter(F.col("verdict") == _WHOLE).select("repository_id", "file_path")
