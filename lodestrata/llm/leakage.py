@@ -114,8 +114,12 @@ class Items:
                 self.items.append((item_id, [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w]))
                 hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w), np.uint64, len(w)))
         pos, fp, own = [], [], []
-        for n, h in enumerate(hashes):
-            run = run_hashes(h, k)
+        runs = [run_hashes(h, k) for h in hashes]
+        every = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        #: all runs of the items, to count what a document shares with each
+        self.runs, self.run_own = every[order], np.repeat(np.arange(len(runs)), [len(r) for r in runs])[order]
+        for n, run in enumerate(runs):
             p = winnow(run, window)
             pos.append(p), fp.append(run[p]), own.append(np.full(len(p), n))
         if fp:
@@ -126,11 +130,26 @@ class Items:
             self.fp = np.zeros(0, np.uint64)
 
 
+    def shared_runs(self, run: np.ndarray) -> np.ndarray:
+        """For each item the number of runs of a document that it has too (repetitions count)."""
+        lo, hi = np.searchsorted(self.runs, run, "left"), np.searchsorted(self.runs, run, "right")
+        some = hi > lo
+        lo, n = lo[some], (hi - lo)[some]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.run_own[at], minlength=len(self.items))
+
+
+def least_runs(passage: int, per_edit: int, k: int) -> int:
+    """Runs of k words that a passage keeps at least: one edit breaks k of them."""
+    return max(1, min(n - k + 1 - k * (n // per_edit) for n in range(passage, 10 * passage)))
+
+
 def _scan(shared, k: int, window: int, passage: int, per_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         t: Items = shared.value
+        need = least_runs(passage, per_edit, k)
         known: dict[str, int] = {}
         for b in batches:
             docs, found, sizes = [], [], []
@@ -147,6 +166,9 @@ def _scan(shared, k: int, window: int, passage: int, per_edit: int):
                 hit = np.nonzero(hi > lo)[0]
                 if not len(hit):
                     continue
+                enough = t.shared_runs(rh) >= need
+                if not enough.any():
+                    continue
                 ids = [t.vocabulary.get(x, -1 - n) for n, x in enumerate(w)]
                 done: dict[int, int] = {}
                 tried: set[tuple[int, int, int]] = set()
@@ -155,7 +177,7 @@ def _scan(shared, k: int, window: int, passage: int, per_edit: int):
                     for y in range(int(lo[x]), int(hi[x])):
                         n, i = int(t.own[y]), int(t.pos[y])
                         item = t.items[n][1]
-                        if n in done or item[i : i + k] != ids[j : j + k]:
+                        if n in done or not enough[n] or item[i : i + k] != ids[j : j + k]:
                             continue
                         # the start of the unbroken run names the hit
                         a, c = i, j
