@@ -7,10 +7,14 @@ grammars decide syntax only; where a language leaves something to later phases t
 
 from __future__ import annotations
 
+import sys
+
 from .lexing import CODE
 
 _GROUP = 0xF0000
 _LIMIT = 60_000
+#: Frames a parse may use: nesting of some thousand levels. Frames of Python functions take no C stack.
+_FRAMES = 50_000
 
 PACKAGE, IMPORT, DECLARATION = 1, 2, 4
 
@@ -222,6 +226,8 @@ class Grammar:
         if "E" in tokens:
             return None
         self.fresh()
+        if sys.getrecursionlimit() < _FRAMES:
+            sys.setrecursionlimit(_FRAMES)
         try:
             return self.top(self.fold(tokens))
         except (Unbalanced, RecursionError):

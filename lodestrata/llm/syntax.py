@@ -2,7 +2,7 @@
 
 1. Every chunk is parsed on its own by the grammar of its language (grammar, the Python and JSON parsers). It yields what the chunk holds
    (package clause, imports, declarations) and a summary: its lexer-state map and the brackets left open or unmatched.
-2. Summaries are reduced to files: chunks that parse alone make a valid file if the parts come in order; for the others
+2. Summaries are reduced associatively, to segments of files and then to files: chunks that parse alone make a valid file if the parts come in order; for the others
    the composed state map shows whether the file ends inside a comment or literal or leaves brackets unbalanced, which settles it.
 3. Only files whose pieces balance but don't parse alone are put together and parsed as a whole.
 """
@@ -13,6 +13,7 @@ import ast
 import json
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,14 +76,19 @@ def file_valid(text: str, lang: str) -> bool:
     return flags is not None and (lang != "go" or bool(flags & PACKAGE))
 
 
-def ordered(flags: list[int], lang: str) -> bool:
-    """Do the parts of successive chunks make a file: a package clause only at the start, imports before declarations?"""
-    seen = 0
-    for f in flags:
-        if f & PACKAGE and seen or f & IMPORT and seen & ~(PACKAGE | IMPORT):
-            return False
-        seen |= f
-    return lang != "go" or bool(flags and seen & PACKAGE)
+#: Lines in one segment of a file: its chunks are reduced first, then the segments.
+SEGMENT_LINES = 20_000
+#: What is known of consecutive chunks: their number, whether any doesn't parse alone, the parts seen, whether these are in order,
+#: the encoded state map ('' for Python and JSON).
+Summary = tuple[int, bool, int, bool, str]
+
+
+def join(a: Summary, b: Summary) -> Summary:
+    """The summary of two stretches of a file one after the other; associative. In order means: a package clause only at the start,
+    imports before declarations."""
+    clash = b[2] & PACKAGE and a[2] or b[2] & IMPORT and a[2] & ~(PACKAGE | IMPORT)
+    both = _encode(lexing.combine(_decode(a[4]), _decode(b[4]))) if a[4] and b[4] else ""
+    return a[0] + b[0], a[1] or b[1], a[2] | b[2], a[3] and b[3] and not clash, both
 
 
 def _encode(m: dict[str, tuple[str, str]]) -> str:
@@ -93,38 +99,54 @@ def _decode(s: str) -> dict[str, tuple[str, str]]:
     return {x[0]: (x[1], x[2:]) for x in s.split("|")}
 
 
+def chunk_summary(text: str, lang: str) -> Summary:
+    f = parts(text, lang)
+    if lang in ("py", "json"):
+        return 1, f is None, 0, True, ""
+    # a chunk that parses leaves nothing open; from the other states only a closing delimiter matters
+    plain = f is not None and "*/" not in text and "`" not in text and '"""' not in text
+    return 1, f is None, f or 0, True, "NN|CC|RR" if plain else _encode(lexing.state_map(text, lang))
+
+
+_FIELDS = ["n", "bad", "seen", "ordered", "summary"]
+_TYPES = [pa.int32(), pa.bool_(), pa.int32(), pa.bool_(), pa.string()]
+_SUMMARY = "n int, bad boolean, seen int, ordered boolean, summary string"
+
+
+def _columns(summaries: list[Summary]) -> list[pa.Array]:
+    cols = list(zip(*summaries)) if summaries else [()] * len(_TYPES)
+    return [pa.array(c, t) for c, t in zip(cols, _TYPES)]
+
+
 def _chunk_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        flags, sums = [], []
-        for text, ext in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
-            t, lang = text or "", LANGUAGES[ext]
-            f = parts(t, lang)
-            flags.append(-1 if f is None else f)
-            # a chunk that parses leaves nothing open; from the other states only the closing delimiter matters
-            sums.append("" if lang in ("py", "json") else _encode(lexing.state_map(t, lang)) if f is None or "*/" in t or "`" in t or '"""' in t else "NN|CC|RR")
-        arrays = [b.column(k) for k in (0, 1, 2, 3, 5)] + [pa.array(flags, pa.int32()), pa.array(sums, pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["repository_id", "file_path", "start_line", "id", "ext", "flags", "summary"])
-
-
-def verdict(ext: str, chunks: list[tuple[int, str]]) -> int:
-    """0 valid, 1 invalid, 2 to be parsed as a whole, from the (flags, summary) of a file's chunks in order."""
-    lang = LANGUAGES[ext]
-    flags = [f for f, _ in chunks]
-    if lang == "json" and len(chunks) > 1:
+        got = [chunk_summary(t or "", LANGUAGES[e]) for t, e in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(k) for k in (0, 1, 2, 3, 5)] + _columns(got), names=["repository_id", "file_path", "start_line", "id", "ext", *_FIELDS])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduces the ordered list in the last column to one summary."""
+    for b in batches:
+        last = b.num_columns - 1
+        got = [reduce(join, (tuple(x[f] for f in _FIELDS) for x in c)) for c in b.column(last).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(k) for k in range(last)] + _columns(got), names=[*b.schema.names[:last], *_FIELDS])
+
+
+def verdict(ext: str, s: Summary) -> int:
+    """0 valid, 1 invalid, 2 to be parsed as a whole, from the summary of a file."""
+    lang, (n, bad, seen, in_order, states) = LANGUAGES[ext], s
+    if lang == "json" and n > 1:
         return _WHOLE
-    if min(flags) >= 0:
-        return _VALID if ordered(flags, lang) else _INVALID
-    if lang in ("py", "json"):
-        return _WHOLE if len(chunks) > 1 else _INVALID
-    state = {"N": ("N", "")}
-    for _, s in chunks:
-        state = lexing.combine(state, _decode(s))
-    return _WHOLE if state["N"] == ("N", "") and len(chunks) > 1 else _INVALID
+    if not bad:
+        return _VALID if in_order and (lang != "go" or seen & PACKAGE) else _INVALID
+    if n == 1:
+        return _INVALID
+    return _WHOLE if lang in ("py", "json") or _decode(states)["N"] == ("N", "") else _INVALID
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        v = [verdict(e, [(x["flags"], x["summary"]) for x in c]) for e, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+    for b in _joined(batches):
+        v = [verdict(e, s) for e, *s in zip(*(b.column(k).to_pylist() for k in range(2, 8)))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(v, pa.int32())], names=["repository_id", "file_path", "ext", "verdict"])
 
 
@@ -146,9 +168,13 @@ def file_verdicts(chunks: DataFrame) -> DataFrame:
     """
     src = chunks.select("repository_id", "file_path", F.col("start_line").cast("int").alias("start_line"), F.col("id").cast("string").alias("id"), "content", extension(F.col("file_path")).alias("ext"))
     src = src.filter(F.col("repository_id").isNotNull() & F.col("ext").isin(list(LANGUAGES)))
-    s = spread(src).mapInArrow(_chunk_summaries, "repository_id string, file_path string, start_line int, id string, ext string, flags int, summary string")
-    by_file = s.groupBy("repository_id", "file_path", "ext").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", "flags", "summary"))).alias("c"))
-    first = stage(by_file.select("repository_id", "file_path", "ext", "c").mapInArrow(_verdicts, _RESULT), "verdicts")
+    s = spread(src).mapInArrow(_chunk_summaries, f"repository_id string, file_path string, start_line int, id string, ext string, {_SUMMARY}")
+    file = ["repository_id", "file_path", "ext"]
+    segment = F.floor(F.coalesce("start_line", F.lit(0)) / SEGMENT_LINES).alias("segment")
+    parted = s.groupBy(*file, segment).agg(F.sort_array(F.collect_list(F.struct("start_line", "id", *_FIELDS))).alias("c"))
+    parted = parted.mapInArrow(_joined, f"repository_id string, file_path string, ext string, segment long, {_SUMMARY}")
+    by_file = parted.groupBy(*file).agg(F.sort_array(F.collect_list(F.struct("segment", *_FIELDS))).alias("c"))
+    first = stage(by_file.mapInArrow(_verdicts, _RESULT), "verdicts")
     open_ = first.filter(F.col("verdict") == _WHOLE).select("repository_id", "file_path")
     texts = src.join(open_, ["repository_id", "file_path"], "left_semi")
     texts = texts.groupBy("repository_id", "file_path", "ext").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", "content"))).alias("c"))

@@ -59,6 +59,19 @@ def test_state_maps_combine_like_whole_texts():
     assert left["N"] == right["N"] == whole["N"] == ("N", "")
 
 
+def test_summaries_join_associatively():
+    texts = ["package p", "import \"a\"", "func f() {", "/* x", "y */ }", "func g() {}", "package q"]
+    parts = [syntax.chunk_summary(t, "go") for t in texts]
+    for cut in range(1, len(parts)):
+        left, right = parts[0], parts[cut]
+        for p in parts[1:cut]:
+            left = syntax.join(left, p)
+        for p in parts[cut + 1 :]:
+            right = syntax.join(right, p)
+        assert syntax.join(left, right) == (7, True, 7, False, syntax.join(left, right)[4]) and syntax._decode(syntax.join(left, right)[4])["N"] == ("N", "")
+    assert syntax.join(parts[0], parts[1])[3] and not syntax.join(parts[5], parts[1])[3]
+
+
 CHUNK = "repository_id string, file_path string, start_line int, id string, content string, language string, ext string, flags int, verdict int"
 
 
@@ -72,13 +85,13 @@ def test_files_of_several_chunks(spark):
             ("r", "ok.go", 1, "a", "package p"), ("r", "ok.go", 3, "b", "func f() {\n}"), ("r", "order.go", 1, "a", "func f() {\n}"), ("r", "order.go", 3, "b", "package p"),
             ("r", "split.js", 1, "a", "function f() {"), ("r", "split.js", 3, "b", "  return 1;\n}"), ("r", "open.js", 1, "a", "function f() { /*"), ("r", "open.js", 3, "b", "  return 1;\n}"),
             ("r", "cls.py", 1, "a", "class A:"), ("r", "cls.py", 3, "b", "    x = 1"), ("r", "bad.py", 1, "a", "x = 1"), ("r", "bad.py", 3, "b", "    y = 1"), ("r", "null.py", None, "a", None), ("r", "two.json", 1, "a", "{"), ("r", "two.json", 2, "b", "}"),
-            ("r", "long.js", 1, "a", "f(1);\n" * 60_000), ("r", "x.sql", 1, "a", "select ("), (None, "n.go", 1, "a", "("), ("r", None, 1, "a", "("), ("r", "deep.js", 1, "a", "(" * 3000 + "1" + ")" * 3000),
+            ("r", "long.js", 1, "a", "f(1);\n" * 60_000), ("r", "long.js", 60_002, "b", "g() /*"), ("r", "long.js", 90_002, "c", "*/ + 1;"), ("r", "long2.js", 1, "a", "f() {"), ("r", "long2.js", 90_002, "c", "/* */"), ("r", "x.sql", 1, "a", "select ("), (None, "n.go", 1, "a", "("), ("r", None, 1, "a", "("), ("r", "deep.js", 1, "a", "(" * 3000 + "1" + ")" * 3000),
         ),
         CHUNK,
     )
     v = syntax.file_verdicts(df)
-    assert {r.file_path for r in v.filter("not valid").collect()} == {"order.go", "open.js", "bad.py", "deep.js"}
-    assert v.count() == 10
+    assert {r.file_path for r in v.filter("not valid").collect()} == {"order.go", "open.js", "bad.py", "long2.js"}
+    assert v.count() == 11
     rates = {r.language: (r.files, r.invalid) for r in syntax.rates(v).collect()}
     assert rates["go"] == (2, 1) and rates["json"] == (1, 0)
     assert syntax.unparsable(df.limit(0)).count() == 0
