@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
 #: Bytes in an Arrow batch: rows may hold long texts or blocks of vectors, and a task holds a few batches at a time.
 ARROW_BATCH = "16m"
 
@@ -70,7 +71,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lodestrata-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_dir(spark)}/lodestrata-{label}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables this process has written. Results that still read them must have been written or collected."""
+    jvm = spark.sparkContext._jvm
+    for path in _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH.clear()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

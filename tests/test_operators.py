@@ -30,6 +30,21 @@ def test_running_sums_with_one_group_of_most_rows(spark):
     assert running_sums(df.limit(0), ["g"], ["o"], "v", "before").count() == 0
 
 
+def test_scratch_is_released(spark):
+    from lodestrata import session
+
+    df = session.stage(spark.range(5).toDF("k"), "test")
+    path = session._SCRATCH[-1].removeprefix("file:").replace("//", "/")
+    import os
+
+    assert df.count() == 5 and os.path.isdir(path)
+    kept = session._SCRATCH[:-1]
+    session._SCRATCH[:] = session._SCRATCH[-1:]
+    session.release(spark)
+    session._SCRATCH[:] = kept
+    assert not os.path.exists(path)
+
+
 DELIVERIES = "delivery_id long, request_id string, correlation_id string, received_at timestamp_ntz, extra string"
 
 
