@@ -167,6 +167,27 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return search.fuse(ranked("embedding"), ranked("zoekt")).select("chunk_id", F.round("score", 9).alias("score"), "source")
 
 
+@register(
+    "hybrid_rrf_all",
+    """WITH l AS (SELECT query_id, chunk_id, lower(source_engine) AS e, max(similarity) AS s FROM search_results
+          WHERE lower(source_engine) IN ('embedding', 'zoekt') AND similarity IS NOT NULL AND NOT isnan(similarity) GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY s DESC, chunk_id) AS r FROM l)
+    SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, CASE WHEN count(*) = 2 THEN 'both' WHEN min(e) = 'embedding' THEN 'embedding' ELSE 'text' END AS source
+    FROM r GROUP BY 1, 2""",
+)
+def hybrid_rrf_all(spark: SparkSession, d: str) -> DataFrame:
+    """hybrid_rrf of every query of the table."""
+    s = load(spark, d, "search_results").filter(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
+
+    def ranked(engine: str) -> DataFrame:
+        best = s.filter(F.lower("source_engine") == engine).groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("s"), F.min("repository_id").alias("repository"))
+        w = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "chunk_id")
+        nothing = {c: F.lit(None).cast(t) for c, t in (("file_path", "string"), ("start_line", "int"), ("end_line", "int"), ("content", "string"))}
+        return best.withColumn("rank", F.row_number().over(w)).withColumns(nothing).drop("s")
+
+    return search.fuse(ranked("embedding"), ranked("zoekt"), ["query_id"]).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "source")
+
+
 # line ranges: every third line range of a chunk asks for the best chunk of its file
 
 _HITS = "SELECT id AS hit_id, repository_id, file_path, end_line AS hit_start, start_line + 2 AS hit_end FROM code_chunks WHERE deleted_at IS NULL"

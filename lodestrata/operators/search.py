@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -108,8 +109,8 @@ def _compiles(pattern: str) -> bool:
 RRF_CONSTANT = 60
 
 
-def fuse(semantic: DataFrame, text: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists into one total order.
+def fuse(semantic: DataFrame, text: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists into one total order; with ``by`` (a query's id, say) of the two lists of each of its values.
 
     Both have rank, chunk_id (may be null), repository, file_path, start_line, end_line, content. Rows are the same result if they have the same
     chunk id, without one the same repository and path. A list counts once for a result, with its best rank; the
@@ -119,16 +120,16 @@ def fuse(semantic: DataFrame, text: DataFrame) -> DataFrame:
     repo = F.coalesce(F.col("repository"), F.lit(""))
     key = F.when(F.col("chunk_id").isNotNull(), F.concat(F.lit("chunk:"), "chunk_id")).when(repo != "", F.concat(F.lit("file:"), repo, F.lit("|"), "file_path")).otherwise(F.concat(F.lit("file:"), "file_path"))
     cols = ["chunk_id", "repository", "file_path", "start_line", "end_line", "content"]
-    g = both.withColumn("key", key).groupBy("key").agg(
+    g = both.withColumn("key", key).groupBy(*by, "key").agg(
         F.min(F.when(F.col("engine") == 0, F.col("rank"))).alias("s"),
         F.min(F.when(F.col("engine") == 1, F.col("rank"))).alias("t"),
         F.min_by(F.struct(*cols), F.struct("engine", "rank")).alias("r"),
     )
     score = sum((F.coalesce(1.0 / (RRF_CONSTANT + F.col(c)), F.lit(0.0)) for c in ("s", "t")), F.lit(0.0))
     source = F.when(F.col("s").isNotNull() & F.col("t").isNotNull(), "both").when(F.col("s").isNotNull(), "embedding").otherwise("text")
-    out = g.select("r.*", score.alias("score"), source.alias("source"))
+    out = g.select(*by, "r.*", score.alias("score"), source.alias("source"))
     order = [F.col("score").desc(), F.col("repository").asc_nulls_first(), "file_path", "start_line", "end_line", F.col("chunk_id").asc_nulls_first(), "source", "content"]
-    return out.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return out.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
