@@ -102,6 +102,55 @@ def vec_topk_join(spark: SparkSession, d: str) -> DataFrame:
     return best.join(live(load(spark, d, "code_chunks")), F.col("chunk_id") == F.col("id")).select("chunk_id", "file_path", "entity_name", F.round("s", 5).alias("similarity"))
 
 
+# the same for every vector whose id is divisible by 50; similarities that are equal to 12 digits tie
+
+_NEAR_EACH = "SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0"
+_BEST_EACH = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@register("vec_topk_all", f"WITH t AS ({_NEAR_EACH}) SELECT query_id, vec_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM t {_BEST_EACH} <= 20")
+def vec_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    r = search.top_k_each(load(spark, d, "embeddings"), _asked(spark, d), 20, "vec_id")
+    return r.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@register("vec_topk_filtered_all", f"WITH t AS ({_NEAR_EACH} AND e.label IN (1, 3, 5)) SELECT query_id, vec_id, label, round(s, 6) AS similarity FROM t {_BEST_EACH} <= 10")
+def vec_topk_filtered_all(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings")
+    r = search.top_k_each(e, _asked(spark, d), 10, "vec_id", where=search.in_list(F.col("label"), [1, 3, 5]))
+    return r.join(e.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@register("vec_threshold_ge_all", f"WITH t AS ({_NEAR_EACH}), k AS (SELECT * FROM t {_BEST_EACH} <= 50) SELECT query_id, vec_id, round(s, 6) AS similarity FROM k WHERE s >= 0.2")
+def vec_threshold_ge_all(spark: SparkSession, d: str) -> DataFrame:
+    r = search.top_k_each(load(spark, d, "embeddings"), _asked(spark, d), 50, "vec_id", at_least=0.2)
+    return r.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("vec_threshold_gt_all", f"WITH t AS ({_NEAR_EACH}), k AS (SELECT * FROM t {_BEST_EACH} <= 50) SELECT query_id, vec_id, round(s, 6) AS similarity FROM k WHERE s > 0.25")
+def vec_threshold_gt_all(spark: SparkSession, d: str) -> DataFrame:
+    r = search.top_k_each(load(spark, d, "embeddings"), _asked(spark, d), 50, "vec_id", above=0.25)
+    return r.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@register(
+    "vec_topk_join_all",
+    """WITH t AS (SELECT q.vec_id AS query_id, e.chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS s FROM embeddings_partitioned e, embeddings q
+          WHERE q.vec_id % 50 = 0 AND e.deleted_at IS NULL AND len(e.embedding) = 64 AND e.model_version = 'code-embed-1' AND lower(e.file_path) LIKE '%.go'),
+    u AS (SELECT query_id, chunk_id, max(s) AS s FROM t WHERE s IS NOT NULL AND NOT isnan(s) GROUP BY 1, 2),
+    k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) <= 25)
+    SELECT k.query_id, k.chunk_id, c.file_path, c.entity_name, round(k.s, 5) AS similarity FROM k JOIN code_chunks c ON c.id = k.chunk_id WHERE c.deleted_at IS NULL""",
+)
+def vec_topk_join_all(spark: SparkSession, d: str) -> DataFrame:
+    v = live(load(spark, d, "embeddings_partitioned")).filter("model_version = 'code-embed-1' and lower(file_path) like '%.go' and size(embedding) = 64")
+    best = search.top_k_each(v, _asked(spark, d), 25).select("query_id", "chunk_id", "similarity")
+    return best.join(live(load(spark, d, "code_chunks")), F.col("chunk_id") == F.col("id")).select("query_id", "chunk_id", "file_path", "entity_name", F.round("similarity", 5).alias("similarity"))
+
+
 @register("vec_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * 3)) / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: 9 * x * x))), 6) AS total FROM embeddings")
 def vec_normalize(spark: SparkSession, d: str) -> DataFrame:
     v = normalized(F.transform(doubles(F.col("embedding")), lambda x: x * 3))

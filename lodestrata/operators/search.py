@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.strings import glob_regex
 from ..functions.vectors import cosine_to
+from ..session import stage
 
 
 def in_list(c: Column, values: list | None) -> Column:
@@ -60,6 +66,113 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "chunk_i
     return best.withColumn("distance", 1 - F.col("similarity")).withColumn("rank", rank)
 
 
+#: Query vectors that are broadcast at a time (8 bytes a number).
+QUERIES_PER_PASS = 20_000
+#: Similarities that a worker holds at a time (8 bytes each).
+BLOCK_SCORES = 2_000_000
+
+
+class Best:
+    """The k best ids of each of n queries so far: by similarity, ties by the smaller id. An id may come once only."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.q, self.s, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.least = np.full(n, -np.inf)
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Similarities of queries first.. (rows) to the ids (columns)."""
+        n, m = scores.shape
+        least = self.least[first : first + n]
+        if m > self.k and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(scores, m - self.k, axis=1)[:, m - self.k])
+        q, c = np.nonzero(scores >= least[:, None])
+        if not len(q):
+            return
+        q, s, x = np.concatenate([self.q, q + first]), np.concatenate([self.s, scores[q, c]]), np.concatenate([self.ids, ids[c]])
+        _, by_id = np.unique(x, return_inverse=True)
+        order = np.lexsort((by_id, -s, q))
+        q, s, x = q[order], s[order], x[order]
+        starts = np.searchsorted(q, np.arange(self.n))
+        keep = np.arange(len(q)) - starts[q] < self.k
+        self.q, self.s, self.ids = q[keep], s[keep], x[keep]
+        counts = np.bincount(self.q, minlength=self.n)
+        full = counts == self.k
+        self.least[full] = self.s[np.cumsum(counts)[full] - 1]
+
+
+def _score(shared, k: int, schema: pa.Schema):
+    """Arrow batches (id, its vectors) to the k best ids of each query among the task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, by_length = shared.value
+        best = {n: Best(len(at), k) for n, (at, _) in by_length.items()}
+        for b in batches:
+            vectors = b.column(1)
+            owner = np.repeat(np.arange(len(b)), np.asarray(pc.fill_null(pc.list_value_length(vectors), 0)))
+            flat, ids = vectors.flatten(), np.array(b.column(0).to_pylist(), object)
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(flat), -1))
+            for n, (at, unit) in by_length.items():
+                rows = np.nonzero(lengths == n)[0]
+                m = np.asarray(pc.fill_null(pc.cast(flat.take(pa.array(rows)).flatten(), pa.float64()), np.nan)).reshape(len(rows), n)
+                with np.errstate(all="ignore"):
+                    m = m / np.sqrt((m * m).sum(1))[:, None]
+                usable = np.isfinite(m).all(1)
+                m, own = m[usable], owner[rows][usable]
+                if not len(own):
+                    continue
+                starts = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
+                step = max(1, BLOCK_SCORES // len(m))
+                for first in range(0, len(at), step):
+                    # 12 digits: equal vectors tie, wherever they stand in a block
+                    s = np.maximum.reduceat((unit[first : first + step] @ m.T).round(12), starts, axis=1)
+                    best[n].add(first, s, ids[own[starts]])
+        for n, (at, _) in by_length.items():
+            r = best[n]
+            yield pa.RecordBatch.from_arrays([pa.array([query_ids[at[q]] for q in r.q], schema.field(0).type), pa.array(r.ids.tolist(), schema.field(1).type), pa.array(r.s)], schema=schema)
+
+    return run
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", embedding: str = "embedding", query_id: str = "query_id", where: Column | None = None, at_least: float = 0.0, above: float | None = None, per_pass: int = QUERIES_PER_PASS) -> DataFrame:
+    """top_k of every query: rows (query_id, id, similarity, distance, rank).
+
+    ``queries`` has query_id (unique) and the same vector column. An id with several vectors counts once, with its most similar one.
+    Queries are broadcast in passes and scored in blocks against all vectors; every task keeps the k best of each. Similarities
+    are rounded to 12 digits; null and zero vectors, null ids and ids of queries of another length are left out, as are null, zero and
+    empty queries. Empty tables give an empty result.
+    """
+    spark = vectors.sparkSession
+    v = vectors if where is None else vectors.filter(where)
+    v = v.filter(F.col(id_col).isNotNull() & F.col(embedding).isNotNull()).groupBy(id_col).agg(F.collect_list(embedding).alias(embedding))
+    asked = queries.filter(F.col(query_id).isNotNull() & (F.size(embedding) > 0)).select(F.col(query_id).alias("query_id"), embedding)
+    out_type = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField(id_col, v.schema[id_col].dataType), T.StructField("similarity", T.DoubleType())])
+    passes = max(1, -(-asked.count() // per_pass))
+    found = None
+    for p in range(passes):
+        ids, units = [], {}
+        for r in asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).toLocalIterator():
+            q = np.array(r[1], np.float64)
+            with np.errstate(all="ignore"):
+                q = q / np.sqrt(q @ q)
+            if np.isfinite(q).all():
+                units.setdefault(len(q), []).append((len(ids), q))
+                ids.append(r[0])
+        shared = spark.sparkContext.broadcast((ids, {n: (np.array([i for i, _ in x]), np.stack([q for _, q in x])) for n, x in units.items()}))
+        got = v.mapInArrow(_score(shared, k, to_arrow_schema(out_type)), out_type)
+        if passes > 1:
+            got = stage(got, "nearest")
+            shared.destroy()
+        found = got if found is None else found.unionByName(got)
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), id_col)
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if at_least > 0:
+        best = best.filter(F.col("similarity") >= at_least)
+    if above is not None:
+        best = best.filter(F.col("similarity") > above)
+    return best.withColumn("distance", 1 - F.col("similarity"))
+
+
 # text queries
 
 
