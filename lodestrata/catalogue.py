@@ -767,6 +767,14 @@ def language_detection(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", lang.alias("lang"))
 
 
+@register("language_detection_all", f"SELECT id, coalesce({_BY_EXT_CASE}, {_BY_HEAD}, {_BY_CONTENT}) AS lang FROM code_chunks WHERE deleted_at IS NULL")
+def language_detection_all(spark: SparkSession, d: str) -> DataFrame:
+    """language_detection over chunks of every type."""
+    c = live(load(spark, d, "code_chunks"))
+    lang, _ = code.detected_language(F.col("file_path"), F.col("content"), strings.extension_language(F.col("file_path")))
+    return c.select("id", lang.alias("lang"))
+
+
 @register("binary_extension", "SELECT DISTINCT file_path FROM code_chunks WHERE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) IN (" + ", ".join(f"'{x}'" for x in code.BINARY_EXTENSIONS) + ")")
 def binary_extension(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "code_chunks").filter(code.has_binary_extension(F.col("file_path"))).select("file_path").distinct()

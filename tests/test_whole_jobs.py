@@ -38,3 +38,8 @@ def test_top_k_of_every_query_equals_brute_force(spark):
             got.setdefault(r.query_id, []).append((r.chunk_id, round(r.similarity, 9)))
         assert got == want
     assert search.top_k_each(df, qdf, 5, at_least=2.0).count() == 0 and search.top_k_each(df, qdf.limit(0), 5).count() == 0 and search.top_k_each(df.limit(0), qdf, 5).count() == 0
+
+
+def test_language_of_every_live_chunk(spark, small):
+    live_ids = {r.id for r in load(spark, small, "code_chunks").filter("deleted_at is null").select("id").collect()}
+    assert {r.id for r in QUERIES["language_detection_all"](spark, small).collect()} == live_ids
