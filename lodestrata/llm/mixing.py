@@ -1,11 +1,10 @@
 """Mixing sources to target weights: proportionate fair (Pfair) scheduling of blocks.
 
 Sizes are token counts. The mix is as large as all documents together. Each source gets its target share of it, repeating
-every document up to the source's cap; the shares then reached are reported. The order of the mix is a schedule of
+every document up to the source's cap; the shares that the mix then holds are reported. The order of the mix is a schedule of
 equally large blocks: the i-th block of a source of weight w is released at slot floor((i - 1) / w) and due at slot
 ceil(i / w), and the earliest deadline among the released ones runs next. So after any slot each source is within one
-block of its share. The schedule has at most ``max_slots`` slots, whatever the size of the corpus: a block is
-then larger. Documents find their slot by a running sum of tokens within the source (plans.prefix), so that a source with a third
+block of its share. The schedule is written in pieces, so that the driver holds a part of it only. Documents find their slot by a running sum of tokens within the source (plans.prefix), so that a source with a third
 of all rows stays spread.
 """
 
@@ -13,17 +12,22 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain, count, islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.prefix import running_sums
-from ..session import spread, stage
+from ..session import scratch_path, spread, stage
 from .tokens import VOCABULARY, token_count
 
 #: Sources whose figures the driver may hold.
 MAX_SOURCES = 100_000
+#: Slots of the schedule that the driver holds at a time.
+SLOTS_PER_PIECE = 200_000
 
 
 def source_name(c: str = "source"):
@@ -40,7 +44,7 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per source with a target: available tokens, target tokens, repeats needed, tokens used and the shares.
 
-    ``repeats`` is the (fractional) number of times each document is used, at most max_repeats; ``reached`` is the share of
+    This is the plan; mixed_shares has what the mix holds. ``repeats`` is the (fractional) number of times each document is used, at most max_repeats; ``reached`` is the share of
     the mix's full size, ``short`` whether it stays below target_share. Sources without documents reach 0. A source
     listed twice in targets counts with the sum of its shares and its largest cap; null shares or caps count as 0.
     """
@@ -57,56 +61,92 @@ def shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return r.withColumn("short", F.col("most_tokens") < F.col("target_tokens"))
 
 
-def pfair_schedule(weights: dict[str, float], slots: int) -> list[str]:
-    """Source of each slot, by earliest deadline among the released blocks. Weights are taken relative to their sum;
+def pfair_slots(weights: dict[str, float]) -> Iterator[str]:
+    """Source of each slot, without end, by earliest deadline among the released blocks. Weights are taken relative to their sum;
     non-positive ones get no block. After t slots every source of weight w has between wt - 1 and wt + 1 blocks, both exclusive."""
     exact = {s: Fraction(w).limit_denominator(10**9) for s, w in weights.items() if w and w > 0}
-    total = sum(exact.values(), Fraction(0))
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    w = {s: int(x * scale) for s, x in exact.items()}
+    total = sum(w.values())
     if not total:
-        return []
-    w = {s: x / total for s, x in exact.items()}
+        return
     waiting = [(0, s, 1) for s in w]  # (release, source, number of the block)
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
-    out: list[str] = []
-    for t in range(slots):
+    for t in count():
         while waiting and waiting[0][0] <= t:
             _, s, i = heapq.heappop(waiting)
-            due = math.ceil(i / w[s])
+            due, rest = divmod(i * total, w[s])
             # among equal deadlines the block whose window overlaps the next one goes first
-            heapq.heappush(ready, (due, 0 if (i / w[s]).denominator > 1 else 1, s, i))
+            heapq.heappush(ready, (due + (rest > 0), 0 if rest else 1, s, i))
         _, _, s, i = heapq.heappop(ready)
-        out.append(s)
-        heapq.heappush(waiting, (math.floor(i / w[s]), s, i + 1))
-    return out
-
+        yield s
+        heapq.heappush(waiting, (i * total // w[s], s, i + 1))
 
-def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = 4096, max_slots: int = 200_000) -> DataFrame:
-    """The mix itself: rows (slot, source, pass, doc_id, tokens), one per use of a document, to be read in order of slot.
 
-    A document belongs to the slot in which its first token falls. Every pass over a source uses its documents in order of
-    doc_id; the last pass may end within the source. Rows of sources without a target are not used. Empty tables give an
-    empty result.
-    """
-    spark = documents.sparkSession
-    sizes = sized(documents, vocabulary)
-    plan = stage(shares(sizes, targets), "shares")
+def pfair_schedule(weights: dict[str, float], slots: int) -> list[str]:
+    """The first slots of pfair_slots."""
+    return list(islice(pfair_slots(weights), slots))
+
+
+def _schedule(spark: SparkSession, weights: dict[str, float], slots: int) -> tuple[DataFrame, dict[str, int]]:
+    """Rows (source, block, slot), and the blocks of each source. A source whose first block would come after the last slot
+    gets one slot behind it."""
+    path, seen, done = scratch_path(spark, "schedule"), {}, 0
+    schema = "source string, block long, slot long"
+    order = islice(pfair_slots(weights), slots)
+    order = chain(order, (s for s in sorted(weights) if s not in seen))
+    while piece := list(islice(order, SLOTS_PER_PIECE)):
+        blocks = []
+        for s in piece:
+            blocks.append(seen.get(s, 0))
+            seen[s] = blocks[-1] + 1
+        rows = pa.table({"source": pa.array(piece, pa.string()), "block": pa.array(blocks, pa.int64()), "slot": pa.array(range(done, done + len(piece)), pa.int64())})
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        done += len(piece)
+    return (spark.read.schema(schema).parquet(path) if done else spark.createDataFrame([], schema)), seen
+
+
+def _uses(sizes: DataFrame, plan: DataFrame, block_tokens: int) -> DataFrame:
+    spark = sizes.sparkSession
     if plan.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = [r for r in plan.select("source", "used_tokens").collect() if r.used_tokens > 0]
-    used = sum(r.used_tokens for r in rows)
-    slots = min(max_slots, max(1, math.ceil(used / block_tokens))) if rows else 0
-    order = pfair_schedule({r.source: r.used_tokens for r in rows}, slots)
-    seen: dict[str, int] = {}
-    table = []
-    for t, s in enumerate(order):
-        table.append((s, seen.get(s, 0), t))
-        seen[s] = seen.get(s, 0) + 1
-    schedule = spark.createDataFrame(table, "source string, block long, slot long")
+    slots = math.ceil(sum(r.used_tokens for r in rows) / block_tokens)
+    schedule, seen = _schedule(spark, {r.source: r.used_tokens for r in rows}, slots)
     counts = spark.createDataFrame(list(seen.items()), "source string, blocks long")
     runs = running_sums(sizes, ["source"], ["doc_id"], "tokens", "before", "all_tokens")
-    p = plan.select("source", "used_tokens", F.ceil("repeats").cast("int").alias("passes")).filter("passes > 0").join(F.broadcast(counts), "source")
+    whole = F.ceil("repeats")
+    passes = (whole + (whole * F.col("tokens") < F.col("used_tokens")).cast("int")).cast("int")
+    p = plan.select("source", "used_tokens", passes.alias("passes")).filter("passes > 0").join(F.broadcast(counts), "source")
     uses = runs.join(F.broadcast(p), "source").withColumn("pass", F.explode(F.expr("sequence(1, passes)")))
     uses = uses.withColumn("at", F.col("before") + (F.col("pass") - 1) * F.col("all_tokens")).filter("at < used_tokens")
     block = F.least(F.floor(F.col("at") * F.col("blocks") / F.col("used_tokens")), F.col("blocks") - 1).cast("long")
-    return uses.withColumn("block", block).join(F.broadcast(schedule), ["source", "block"]).select("slot", "source", "pass", "doc_id", "tokens")
+    return uses.withColumn("block", block).join(schedule, ["source", "block"]).select("slot", "source", "pass", "doc_id", "tokens")
+
+
+def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = 4096) -> DataFrame:
+    """The mix itself: rows (slot, source, pass, doc_id, tokens), one per use of a document, to be read in order of slot.
+
+    A document belongs to the slot in which its first token falls. Every pass over a source uses its documents in order of
+    doc_id; the last pass may end within the source. Rows of sources without a target are not used. Empty tables give an
+    empty result.
+    """
+    sizes = sized(documents, vocabulary)
+    return _uses(sizes, stage(shares(sizes, targets), "shares"), block_tokens)
+
+
+def mixed_shares(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = 4096) -> DataFrame:
+    """shares, with what the scheduled mix holds in place of the plan.
+
+    ``mixed_tokens`` sums the documents in the source's slots: they are whole, so a source may hold more than its target by less than
+    one document. ``reached`` is their share of the mix's full size, ``mixed_share`` of all that the mix holds, ``short`` whether
+    they are fewer than target_tokens.
+    """
+    sizes = sized(documents, vocabulary)
+    plan = stage(shares(sizes, targets), "shares")
+    held = stage(_uses(sizes, plan, block_tokens).groupBy("source").agg(F.sum("tokens").alias("mixed_tokens")), "held")
+    r = plan.join(held, "source", "left").na.fill(0, ["mixed_tokens"]).crossJoin(F.broadcast(held.agg(F.sum("mixed_tokens").alias("__all"))))
+    share = lambda c: F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.col(c)), F.lit(0.0))
+    r = r.withColumn("reached", share("mix_tokens")).withColumn("mixed_share", share("__all"))
+    return r.withColumn("short", F.col("mixed_tokens") < F.col("target_tokens")).drop("__all")

@@ -59,7 +59,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(mixing.sized(load(spark, d, "documents")), load(spark, d, "mix_targets"))
+    return mixing.mixed_shares(load(spark, d, "documents"), load(spark, d, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
