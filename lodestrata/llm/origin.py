@@ -36,6 +36,7 @@ PROVENANCE = (
     r"(?i)SPDX-License-Identifier\s*:|\bCopyright\s*\(c\)\s*\d{4}[^\n]*\b(?:authors|contributors)\b|\bv\d+\.\d+\.\d+\s*\|[^\n]*\blicen[cs]e\b|\bfrom upstream\s+[0-9a-f]{6,}"
     r"|\b(?:source|file|code) belongs to the\b[^\n]*\bproject\b[^\n]*\brevision\b|\bsend (?:fixes|changes|patches) (?:there|upstream)\b|\bvendored from\b|\bLicensed under the (?:Apache|MIT|BSD)\b"
 )
+_PROVENANCE = re.compile(PROVENANCE, re.A)
 _HEAD = re.compile(r"\A(?:\s*(?://[^\n]*|#[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?''')\s*?(?:\n|\Z))+", re.S)
 _PIECE = re.compile(r"[^;{}\n]*[;{}]|[^;{}\n]+")
 _SKIP = (CODE["import"], CODE["package"], "import", "from", "s;")
@@ -51,8 +52,9 @@ def canonical_lines(text: str, ext: str) -> tuple[list[str], int, int]:
     return [p for p in _PIECE.findall(tokens) if p.strip()], literal, named
 
 
-def chunk_features(text: str, ext: str) -> tuple[int, int, int, int, list[int], str]:
-    """(original lines, canonical lines, characters in literals, in names, matches and comparisons by period 1..PERIODS, opening comment)."""
+def chunk_features(text: str, ext: str) -> tuple[int, int, int, int, list[int], bool]:
+    """(original lines, canonical lines, characters in literals, in names, matches and comparisons by period 1..PERIODS, is there a
+    provenance note in the opening comment, however long it is?)."""
     lines, literal, named = canonical_lines(text, ext)
     m = _HEAD.match(text)
     body = [x for x in lines if not x.startswith(_SKIP)]
@@ -60,18 +62,18 @@ def chunk_features(text: str, ext: str) -> tuple[int, int, int, int, list[int],
     a = np.array([ids.setdefault(x, len(ids)) for x in body], np.int64)
     same = [int((a[p:] == a[:-p]).sum()) if len(a) > p else 0 for p in range(1, PERIODS + 1)]
     same += [max(0, len(a) - p) for p in range(1, PERIODS + 1)]
-    return sum(1 for x in text.split("\n") if x.strip()), len(body), literal, named, same, m.group()[:2000] if m else ""
+    return sum(1 for x in text.split("\n") if x.strip()), len(body), literal, named, same, bool(m and _PROVENANCE.search(m.group()))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [chunk_features(t or "", e) for t, e in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
         cols = list(zip(*got)) if got else [()] * 6
-        arrays = [b.column(k) for k in range(4)] + [pa.array(cols[k], pa.int64()) for k in range(4)] + [pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["repository_id", "file_path", "start_line", "id", "lines", "canonical", "literal", "named", "same", "head"])
+        arrays = [b.column(k) for k in range(4)] + [pa.array(cols[k], pa.int64()) for k in range(4)] + [pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["repository_id", "file_path", "start_line", "id", "lines", "canonical", "literal", "named", "same", "noted"])
 
 
-_SCHEMA = "repository_id string, file_path string, start_line int, id string, lines long, canonical long, literal long, named long, same array<long>, head string"
+_SCHEMA = "repository_id string, file_path string, start_line int, id string, lines long, canonical long, literal long, named long, same array<long>, noted boolean"
 
 
 def extension(path: Column) -> Column:
@@ -85,7 +87,7 @@ def vendor_path(path: Column) -> Column:
 
 
 def file_features(chunks: DataFrame) -> DataFrame:
-    """One row per file of the known extensions: the sums over its chunks, the best period's share, the opening comment of its first chunk.
+    """One row per file of the known extensions: the sums over its chunks, the best period's share, whether the opening comment of its first chunk has a provenance note.
 
     ``chunks``: live rows with repository_id, file_path, start_line, id, content. Rows with a null path or
     repository belong to no file; null contents count as empty.
@@ -95,12 +97,12 @@ def file_features(chunks: DataFrame) -> DataFrame:
     f = spread(src).mapInArrow(_features, _SCHEMA)
     sums = [F.sum(c).alias(c) for c in ("lines", "canonical", "literal", "named")]
     periods = [F.sum(F.col("same")[p]).alias(f"p{p}") for p in range(2 * PERIODS)]
-    # the first chunk's comment: a minimum of structs, combined before the shuffle
-    first = F.min(F.struct(F.col("start_line").isNotNull(), "start_line", "id", "head")).alias("first")
+    # the first chunk's note: a minimum of structs, combined before the shuffle
+    first = F.min(F.struct(F.col("start_line").isNotNull(), "start_line", "id", "noted")).alias("first")
     g = f.groupBy("repository_id", "file_path").agg(*sums, *periods, F.count(F.lit(1)).alias("chunks"), first)
     # two matches less, of two comparisons more: a few lines prove nothing
     best = F.greatest(*[F.try_divide(F.col(f"p{p}") - 2, F.col(f"p{p + PERIODS}") + 2) for p in range(PERIODS)])
-    return g.select("repository_id", "file_path", "lines", "canonical", "literal", "named", "chunks", F.col("first.head").alias("head"), F.coalesce(best, F.lit(0.0)).alias("uniform"))
+    return g.select("repository_id", "file_path", "lines", "canonical", "literal", "named", "chunks", F.col("first.noted").alias("noted"), F.coalesce(best, F.lit(0.0)).alias("uniform"))
 
 
 def not_hand_written(chunks: DataFrame, expansion: float = 8.0, uniform: float = 0.6, least_lines: int = 10, literal: float = 0.4) -> DataFrame:
@@ -109,7 +111,7 @@ def not_hand_written(chunks: DataFrame, expansion: float = 8.0, uniform: float =
     f = file_features(chunks)
     e = F.coalesce(F.try_divide("canonical", "lines"), F.lit(0.0))
     reason = (
-        F.when(vendor_path(F.col("file_path")) | F.col("head").rlike(PROVENANCE), "vendored")
+        F.when(vendor_path(F.col("file_path")) | F.col("noted"), "vendored")
         .when(F.coalesce(F.try_divide(F.col("literal"), F.col("literal") + F.col("named")), F.lit(0.0)) >= literal, "data")
         .when(e >= expansion, "minified")
         .when((F.col("uniform") >= uniform) & (F.col("canonical") >= least_lines), "generated")
