@@ -52,15 +52,95 @@ def sorted_json(text: str) -> str | None:
     return _of_json(v)
 
 
+_MARKER = re.compile(r"(---|\.\.\.)(?=\s|\Z)|%")
+_PROPERTIES = re.compile(r"(?:[&!]\S*\s+)*")
+_BLOCK_SCALAR = re.compile(r"[|>][-+0-9]{0,2}\s*(?:\s#.*)?\Z")
+_BLANK = re.compile(r"(?:\s+(?:#[^\n]*)?|(?<=[\[{,:\n])#[^\n]*)*")
+_QUOTED = re.compile(r"""\"(?:[^"\\]|\\.)*\"|'(?:[^']|'')*'""", re.S)
+_FLOW_PLAIN = re.compile(r"(?:[^\s,\[\]{}:#]|:(?![\s,\[\]{}]|\Z)|(?<!\s)#|[ \t\n]+(?![\s#]))+")
+_REST = re.compile(r"[ \t]*(?:[ \t]#[^\n]*)?(?=\n|\Z)")
+
+
+def _blank(text: str, at: int) -> tuple[str, int]:
+    m = _BLANK.match(text, at)
+    return _plain(m.group()), m.end()
+
+
+def _flow(text: str, at: int) -> tuple[str, int]:
+    """(plain form, end) of the flow node at a position, the entries of its mappings sorted; ValueError if it isn't one."""
+    at = _PROPERTIES.match(text, at).end()
+    kind = text[at : at + 1]
+    if kind not in ("{", "["):
+        m = _QUOTED.match(text, at) if kind in ("'", '"') else _FLOW_PLAIN.match(text, at)
+        return (_plain(m.group()), m.end()) if m else ("", at)
+    close, parts = "}" if kind == "{" else "]", []
+    at += 1
+    while True:
+        # a comment belongs to the entry after it, or to that in which it stands
+        note, at = _blank(text, at)
+        if text[at : at + 1] == close:
+            return "".join(sorted(parts) if kind == "{" else parts) + note, at + 1
+        part, end = _flow(text, at)
+        more, end = _blank(text, end)
+        part = note + part + more
+        if text[end : end + 1] == ":":
+            note, end = _blank(text, end + 1)
+            value, end = _flow(text, end)
+            more, end = _blank(text, end)
+            part += note + value + more
+        if end == at or text[end : end + 1] not in (",", close):
+            raise ValueError("not a flow node")
+        parts.append(part)
+        at = end + (text[end] == ",")
+
+
+def _flow_value(text: str, at: int) -> tuple[str, int] | None:
+    """(plain form, end) of a flow mapping or sequence that nothing but a comment follows on its last line."""
+    start = _PROPERTIES.match(text, at).end()
+    if text[start : start + 1] not in ("{", "["):
+        return None
+    try:
+        form, end = _flow(text, start)
+    except (ValueError, RecursionError):
+        return None
+    rest = _REST.match(text, end)
+    return (form + _plain(rest.group()), rest.end()) if rest else None
+
+
 def sorted_yaml(text: str) -> str:
-    """Plain form of a YAML text with the entries of its block mappings sorted.
+    """Plain form of a YAML text with the entries of its block and flow mappings sorted.
 
-    Blocks follow from indentation. Among neighbours of one indentation that are all ``key:`` entries order is dropped,
-    everything else (sequence items, lines of block scalars, plain text) keeps it. A comment line belongs to the entry
-    after it. Never fails: what isn't YAML keeps its order.
+    Document markers and directives are boundaries: each document is sorted on its own. Blocks follow from indentation. Among neighbours
+    of one indentation that are all ``key:`` entries order is dropped, everything else (sequence items, lines of block scalars,
+    plain text) keeps it. A comment line belongs to the entry after it. Never fails: what isn't YAML keeps its order.
     """
-    rows = []
-    for raw in text.splitlines():
+    done: list[str] = []
+    part: list[str] = []
+    for raw in text.lstrip("\ufeff").splitlines():
+        m = _MARKER.match(raw)
+        if m and (m.group(1) or not any(x.strip() and not x.startswith("#") for x in part)):
+            done.append(_sorted_document(part))
+            # what follows a marker opens the next document
+            done.append("" if m.group(1) else _plain(raw))
+            part = [" " * m.end() + raw[m.end() :]] if m.group(1) and raw[m.end() :].strip() else []
+            if part and _BLOCK_SCALAR.search(raw[m.end() :].lstrip()) and _BLOCK_SCALAR.match(raw, _PROPERTIES.match(raw, len(raw) - len(raw[m.end() :].lstrip())).end()):
+                part = ["--- " + raw[m.end() :].strip()]
+        else:
+            part.append(raw)
+    return "".join(done) + _sorted_document(part)
+
+
+def _sorted_document(lines: list[str]) -> str:
+    rows: list[tuple] = []
+    n = 0
+    whole, starts = "\n".join(lines), [0]
+    for raw in lines:
+        starts.append(starts[-1] + len(raw) + 1)
+    if lines and lines[0].startswith("--- "):  # the document is one block scalar
+        return "".join(map(_plain, lines))
+    while n < len(lines):
+        raw = lines[n]
+        n += 1
         line = raw.strip()
         if line:
             width = len(raw.expandtabs(8)) - len(raw.expandtabs(8).lstrip())
@@ -70,6 +150,27 @@ def sorted_yaml(text: str) -> str:
                 rest = line[2:].lstrip()
                 width += len(line) - len(rest)
                 line = rest
+            if line.startswith("#"):
+                rows.append((width, line))
+                continue
+            key = _ENTRY.match(line)
+            start = key.end() if key else len(line) - len(re.sub(r"\A(?:-\s+)+", "", line))
+            value = line[start:].lstrip()
+            if _BLOCK_SCALAR.match(value, _PROPERTIES.match(value).end()) and (key or start):
+                first = n
+                # an item's own dashes may be nested; the innermost one is the parent
+                parent = width if key else width + max(0, line[:start].rstrip().rfind("-"))
+                while n < len(lines) and (not lines[n].strip() or _indent(lines[n]) > parent):
+                    n += 1
+                rows.append((width, line, _plain(line) + "".join(map(_plain, lines[first:n]))))
+                continue
+            if _PROPERTIES.sub("", value, count=1)[:1] in ("{", "["):
+                at = starts[n - 1] + len(raw.rstrip()) - len(value)
+                got = _flow_value(whole, at)
+                if got:
+                    rows.append((width, line, _plain(line[:start]) + got[0]))
+                    n += whole.count("\n", at, got[1])
+                    continue
             rows.append((width, line))
     # stack of open blocks: (indentation, finished pieces as (is an entry, text))
     stack: list[tuple[int, list[list]]] = [(-1, [])]
@@ -82,19 +183,23 @@ def sorted_yaml(text: str) -> str:
         elif stack:
             stack[-1][1].append([False, body])
 
-    for width, line in rows:
+    for width, line, *form in rows:
         # items of a sequence may stand at the indentation of their key
         level = width + (0.5 if line == "-" or line.startswith("- ") else 0)
         while stack[-1][0] > level:
             close()
         if stack[-1][0] < level:
             stack.append((level, []))
-        stack[-1][1].append([None if line.startswith("#") else bool(_ENTRY.match(line)), _plain(line)])
+        stack[-1][1].append([None if line.startswith("#") else bool(_ENTRY.match(line)), form[0] if form else _plain(line)])
     while len(stack) > 1:
         close()
     return _join(stack[0][1])
 
 
+def _indent(raw: str) -> int:
+    return len(raw.expandtabs(8)) - len(raw.expandtabs(8).lstrip())
+
+
 def _join(pieces: list[list]) -> str:
     merged: list[list] = []
     held = ""
@@ -110,10 +215,15 @@ def _join(pieces: list[list]) -> str:
     return "".join(texts) + held
 
 
+def _structured(text: str, kind: str) -> str | None:
+    got = sorted_json(text) if kind == "json" or text.lstrip()[:1] in ("{", "[") else None
+    return sorted_yaml(text) if got is None and kind == "yaml" else got
+
+
 @F.pandas_udf(T.StringType())
 def _sorted_form(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for content, kind in texts:
-        yield pd.Series([None if t is None or k is None else (sorted_json(t) if k == "json" or t.lstrip()[:1] in ("{", "[") else sorted_yaml(t)) for t, k in zip(content, kind)], dtype=object)
+        yield pd.Series([None if t is None or k is None else _structured(t, k) for t, k in zip(content, kind)], dtype=object)
 
 
 def structured_kind(path: Column, language: Column) -> Column:

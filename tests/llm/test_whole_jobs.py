@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestrata.llm import mixing, origin
+from lodestrata.llm import copies, mixing, origin
 
 
 def test_shares_are_those_of_the_mix(spark):
@@ -32,3 +32,16 @@ def test_provenance_after_a_long_header(spark):
     data = [("r", "src/a.js", 1, "a", long + "// SPDX-License-Identifier: MIT\n" + code), ("r", "src/b.js", 1, "a", long + code), ("r", "src/c.js", 1, "a", "/*\n" + long + " vendored from x\n*/\n" + code)]
     df = spark.createDataFrame(data, "repository_id string, file_path string, start_line int, id string, content string")
     assert {r.file_path: r.reason for r in origin.not_hand_written(df).collect()} == {"src/a.js": "vendored", "src/c.js": "vendored"}
+
+
+@pytest.mark.parametrize(
+    "a,b,same",
+    [
+        ("---\na: 1\nb: 2\n", "b: 2\na: 1\n", True), ("%YAML 1.2\n---\na: 1\nb: 2\n...\n", "%YAML 1.2\n---\nb: 2\na: 1\n", True), ("a: 1\n---\nb: 2\n", "b: 2\n---\na: 1\n", False),
+        ("k: {b: 1, a: 2}\n", "k: {a: 2, b: 1}\n", True), ("k: {b: 1, a: [x, {d: 3, c: 4}]}\n", "k:\n  a:\n  - x\n  - c: 4\n    d: 3\n  b: 1\n", True), ("k: {\n  b: 'x, y', # n\n  a: 2}\nj: 1\n", "j: 1\nk: {a: 2, b: 'x, y'}\n", False),
+        ("- {b: 1, a: 2}\n- c\n", "- {a: 2, b: 1}\n- c\n", True), ("{b: 1, a: 2}\n", "a: 2\nb: 1\n", True), ("--- {b: 1, a: 2}\n", "{a: 2, b: 1}\n", True), ("k: [b, a]\n", "k: [a, b]\n", False), ("k: {\n  b: 'x, y',\n  a: 2}\nj: 1\n", "j: 1\nk: {a: 2, b: 'x, y'}\n", True),
+        ("k: |\n  x: 1\n  a: 2\n", "k: |\n  a: 2\n  x: 1\n", False), ("- |\n  x: 1\n  a: 2\n", "- |\n  a: 2\n  x: 1\n", False), ("--- |\nx: 1\na: 2\n", "--- |\na: 2\nx: 1\n", False), ("k: >-\n  x: 1\n  a: 2\nj: 3\n", "j: 3\nk: >-\n  x: 1\n  a: 2\n", True),
+    ],
+)
+def test_yaml_order(a, b, same):
+    assert (copies._structured(a, "yaml") == copies._structured(b, "yaml")) == same
