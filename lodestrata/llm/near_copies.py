@@ -1,9 +1,9 @@
-"""Near-duplicate records with small edits: MinHash LSH forest, then exact verification.
+"""Near-duplicate records with small edits: banded MinHash in place of an LSH forest, then exact verification.
 
 Every distinct text is a node: its set of shingles (consecutive words) as 64-bit hashes, and a MinHash signature of
-``trees`` rows of ``depth`` values, the labels of the node in the prefix tries of the forest. Nodes that share a prefix in any trie
-are candidates. Prefixes start at full depth and are shortened until the recall at the threshold, 1 - (1 - t^k)^trees, reaches
-the target; the shortened prefix is hashed with the trie's number, so that sorting by it is descending all tries at once.
+``trees`` rows of up to ``depth`` values. Nodes that share the first k values of any row are candidates. One k holds for all: the largest
+whose recall at the threshold, 1 - (1 - t^k)^trees, reaches the target, computed before data are read. There are no tries and no
+shortening per match; the k values are hashed with the row's number and joined by equality.
 
 A prefix shared by more than ``wide`` nodes would emit too many unrelated pairs. Its nodes are joined by an exact way
 instead: two sets of similarity t share one of the |x| - ceil(t |x|) + 1 rarest shingles of each (rarity counted over
