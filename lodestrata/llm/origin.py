@@ -1,15 +1,15 @@
 """Generated, minified, vendored files and data blobs among source files.
 
 Every chunk is lexed and re-emitted in canonical form, one statement or opening or closing brace to a line, and compared with the original layout.
-What the chunks give are counts, which add up to those of the file by a plain aggregation:
+What the chunks give are counts and hashes, which add up to those of the file by plain aggregations:
 
 - canonical lines over original lines: extreme expansion marks minified code;
-- the share of canonical lines whose shape (names, numbers and strings erased) equals that of the line one period before,
-  at the file's best period: near-perfect uniformity marks output of a tool;
+- the share of canonical lines whose shape (names, numbers and strings erased) equals that of the line one period before, the period being the
+  chunk's own and of any length, or that stand in a chunk shaped like another one of the file: uniformity over many lines marks output of a tool;
 - characters of data (numbers, long strings without white space) over those of data, other literals, names and words: dominance marks a block of data.
 
-Third-party copies don't differ in layout. They are known by where they are kept (a folder that package managers or custom
-reserve for them, a folder named by a library and its version) or by a provenance note that opens the file.
+Third-party copies don't differ in layout. They are known by content, as the same canonical file in several repositories at different paths, or by a
+folder that package managers or custom reserve for them. Comments prove nothing and aren't looked at.
 """
 
 from __future__ import annotations
@@ -22,24 +22,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spread, stage
 from .lexing import CODE, lex, lex_python
 
 EXTENSIONS = ["go", "py", "js", "ts", "java"]
-PERIODS = 12
 #: Folders that hold third-party code.
 VENDOR_FOLDERS = ["vendor", "vendored", "third_party", "thirdparty", "third-party", "3rdparty", "node_modules", "bower_components", "external", "externals", "extern", "deps", "Godeps", "site-packages"]
 #: A folder named by a library and its version, as in name-1.2.3.
 VERSIONED = r"(?:^|/)[A-Za-z][\w.]*[-@]v?\d+(?:\.\d+)+(?:[-+.]\w+)*/"
-#: Provenance notes: licence identifier, notice of authors, version with licence or origin, belonging to a project, fixes elsewhere.
-PROVENANCE = (
-    r"(?i)SPDX-License-Identifier\s*:|\bCopyright\s*\(c\)\s*\d{4}[^\n]*\b(?:authors|contributors)\b|\bv\d+\.\d+\.\d+\s*\|[^\n]*\blicen[cs]e\b|\bfrom upstream\s+[0-9a-f]{6,}"
-    r"|\b(?:source|file|code) belongs to the\b[^\n]*\bproject\b[^\n]*\brevision\b|\bsend (?:fixes|changes|patches) (?:there|upstream)\b|\bvendored from\b|\bLicensed under the (?:Apache|MIT|BSD)\b"
-)
-_PROVENANCE = re.compile(PROVENANCE, re.A)
 _HEAD = re.compile(r"\A(?:\s*(?://[^\n]*|#[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?''')\s*?(?:\n|\Z))+", re.S)
 _PIECE = re.compile(r"[^;{}\n]*[;{}]|[^;{}\n]+")
+_DROP = re.compile(r"[^\w\n]+|_+")
 _SKIP = (CODE["import"], CODE["package"], "import", "from", "s;")
+_CODE = re.compile(r"[;(\ue000-\uf8ff]|\b(?:def|return|if|for|while|with|raise|del|assert)\b")
+#: Distances between equal runs of three lines that are tried as a period: the most frequent ones.
+CANDIDATES = 6
 
 
 def canonical_lines(text: str, ext: str) -> tuple[list[str], int, int]:
@@ -52,28 +49,53 @@ def canonical_lines(text: str, ext: str) -> tuple[list[str], int, int]:
     return [p for p in _PIECE.findall(tokens) if p.strip()], literal, named
 
 
-def chunk_features(text: str, ext: str) -> tuple[int, int, int, int, list[int], bool]:
-    """(original lines, canonical lines, characters in literals, in names, matches and comparisons by period 1..PERIODS, is there a
-    provenance note in the opening comment, however long it is?)."""
+def repetition(lines: list[str]) -> tuple[int, int]:
+    """(lines equal to the line one period before, lines compared) at the best period. A period has to fit three times and to hold
+    a statement or call: rows of a table written as code repeat by nature."""
+    ids: dict[str, int] = {}
+    shapes = np.array([ids.setdefault(x, len(ids)) for x in lines], np.int64)
+    code = np.array([bool(_CODE.search(x)) for x in ids])
+    n = len(shapes)
+    if n < 6:
+        return 0, n
+    runs = shapes[:-2] * np.int64(1_000_003) + shapes[1:-1] * np.int64(10_007) + shapes[2:]
+    order = np.argsort(runs, kind="stable")
+    gap = (order[1:] - order[:-1])[runs[order[1:]] == runs[order[:-1]]]
+    periods, times = np.unique(gap[gap <= n // 3], return_counts=True)
+    best = (0, n)
+    for p in periods[np.argsort(-times, kind="stable")[:CANDIDATES]]:
+        equal = shapes[p:] == shapes[:-p]
+        same = int(equal.sum()) if code[shapes[p:][equal]].any() else 0
+        if same * best[1] > best[0] * (n - int(p)):
+            best = same, n - int(p)
+    return best
+
+
+def chunk_features(text: str, ext: str) -> tuple[int, int, int, int, int, int, int, int, int]:
+    """(original lines, canonical lines, characters in literals, in names, repeated lines and compared ones, hash of the shapes,
+    two sums of hashes of the lines behind the opening comment, each of its letters and digits: they don't depend on where a file is cut)."""
+    import xxhash
+
     lines, literal, named = canonical_lines(text, ext)
-    m = _HEAD.match(text)
     body = [x for x in lines if not x.startswith(_SKIP)]
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(x, len(ids)) for x in body], np.int64)
-    same = [int((a[p:] == a[:-p]).sum()) if len(a) > p else 0 for p in range(1, PERIODS + 1)]
-    same += [max(0, len(a) - p) for p in range(1, PERIODS + 1)]
-    return sum(1 for x in text.split("\n") if x.strip()), len(body), literal, named, same, bool(m and _PROVENANCE.search(m.group()))
+    same, compared = repetition(body)
+    head = _HEAD.match(text)
+    shape = xxhash.xxh3_64_intdigest("\n".join(body)) >> 1
+    keys = [xxhash.xxh3_64_intdigest(x) for x in _DROP.sub("", text[head.end() if head else 0 :].lower()).split("\n") if x]
+    return sum(1 for x in text.split("\n") if x.strip()), len(body), literal, named, same, compared, shape, sum(k >> 32 for k in keys), sum(k & 0xFFFFFFFF for k in keys)
+
+
+_COUNTS = ["lines", "canonical", "literal", "named", "same", "compared", "shape", "key_a", "key_b"]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [chunk_features(t or "", e) for t, e in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
-        cols = list(zip(*got)) if got else [()] * 6
-        arrays = [b.column(k) for k in range(4)] + [pa.array(cols[k], pa.int64()) for k in range(4)] + [pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["repository_id", "file_path", "start_line", "id", "lines", "canonical", "literal", "named", "same", "noted"])
+        got = [chunk_features(t or "", e) for t, e in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        cols = list(zip(*got)) if got else [()] * len(_COUNTS)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["repository_id", "file_path", *_COUNTS])
 
 
-_SCHEMA = "repository_id string, file_path string, start_line int, id string, lines long, canonical long, literal long, named long, same array<long>, noted boolean"
+_SCHEMA = "repository_id string, file_path string, " + ", ".join(f"{c} long" for c in _COUNTS)
 
 
 def extension(path: Column) -> Column:
@@ -87,33 +109,46 @@ def vendor_path(path: Column) -> Column:
 
 
 def file_features(chunks: DataFrame) -> DataFrame:
-    """One row per file of the known extensions: the sums over its chunks, the best period's share, whether the opening comment of its first chunk has a provenance note.
+    """One row per file of the known extensions: the sums over its chunks, ``uniform``, the share of repeated lines, and
+    key_a, key_b, sums of the hashes of its lines, which are equal for equal files.
 
-    ``chunks``: live rows with repository_id, file_path, start_line, id, content. Rows with a null path or
-    repository belong to no file; null contents count as empty.
+    ``chunks``: live rows with repository_id, file_path, content. Rows with a null path or repository belong to no file; null
+    contents count as empty. A file of very many chunks is summed up by the shape of its chunks first, then as a whole.
     """
-    src = chunks.select("repository_id", "file_path", F.col("start_line").cast("int"), F.col("id").cast("string"), "content", extension(F.col("file_path")).alias("ext"))
+    src = chunks.select("repository_id", "file_path", "content", extension(F.col("file_path")).alias("ext"))
     src = src.filter(F.col("repository_id").isNotNull() & F.col("ext").isin(EXTENSIONS))
-    f = spread(src).mapInArrow(_features, _SCHEMA)
-    sums = [F.sum(c).alias(c) for c in ("lines", "canonical", "literal", "named")]
-    periods = [F.sum(F.col("same")[p]).alias(f"p{p}") for p in range(2 * PERIODS)]
-    # the first chunk's note: a minimum of structs, combined before the shuffle
-    first = F.min(F.struct(F.col("start_line").isNotNull(), "start_line", "id", "noted")).alias("first")
-    g = f.groupBy("repository_id", "file_path").agg(*sums, *periods, F.count(F.lit(1)).alias("chunks"), first)
-    # two matches less, of two comparisons more: a few lines prove nothing
-    best = F.greatest(*[F.try_divide(F.col(f"p{p}") - 2, F.col(f"p{p + PERIODS}") + 2) for p in range(PERIODS)])
-    return g.select("repository_id", "file_path", "lines", "canonical", "literal", "named", "chunks", F.col("first.noted").alias("noted"), F.coalesce(best, F.lit(0.0)).alias("uniform"))
-
-
-def not_hand_written(chunks: DataFrame, expansion: float = 8.0, uniform: float = 0.6, least_lines: int = 10, literal: float = 0.4) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in _COUNTS if c != "shape"]
+    by_shape = spread(src).mapInArrow(_features, _SCHEMA).groupBy("repository_id", "file_path", "shape").agg(*sums, F.count(F.lit(1)).alias("chunks"))
+    # of equally shaped chunks all but one repeat another one as a whole
+    again = F.when((F.col("chunks") > 1) & (F.col("canonical") >= 3 * F.col("chunks")), (F.col("canonical") * (F.col("chunks") - 1) + F.col("same")) / F.col("chunks")).otherwise(F.col("same"))
+    g = by_shape.withColumn("again", again).groupBy("repository_id", "file_path").agg(*[F.sum(c).alias(c) for c in _COUNTS if c != "shape"], F.sum("again").alias("again"), F.sum("chunks").alias("chunks"))
+    uniform = F.coalesce(F.try_divide("again", "compared"), F.lit(0.0))
+    return g.select("repository_id", "file_path", "lines", "canonical", "literal", "named", "chunks", uniform.alias("uniform"), "key_a", "key_b")
+
+
+def shared_files(files: DataFrame, least_lines: int = 10, salts: int = 16) -> DataFrame:
+    """(repository_id, file_path) of the files of least_lines or more canonical lines that another repository holds too, at another
+    path: a fork, which has the same paths, isn't a third-party copy. Which of the repositories is the origin can't be told, so its file is
+    listed as well. A file that a third of all repositories hold is salted."""
+    key = ["key_a", "key_b", "canonical"]
+    f = files.filter(F.col("canonical") >= least_lines).withColumn("salt", F.pmod(F.xxhash64("repository_id", "file_path"), F.lit(salts)))
+    ends = [g(c).alias(f"{n}_{c}") for c in ("repository_id", "file_path") for n, g in (("low", F.min), ("high", F.max))]
+    several = f.groupBy(*key).agg(*ends).filter("low_repository_id < high_repository_id and low_file_path < high_file_path")
+    several = several.select(*key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return f.join(several, [*key, "salt"], "left_semi").select("repository_id", "file_path")
+
+
+def not_hand_written(chunks: DataFrame, expansion: float = 8.0, uniform: float = 0.7, least_lines: int = 31, literal: float = 0.4) -> DataFrame:
     """(repository_id, file_path, reason) of files that people of the project did not write: vendored, data, minified or
     generated, the first that holds. Files of other extensions never count; an empty table gives an empty result."""
-    f = file_features(chunks)
+    f = stage(file_features(chunks), "files")
+    shared = shared_files(f).withColumn("shared", F.lit(True))
     e = F.coalesce(F.try_divide("canonical", "lines"), F.lit(0.0))
     reason = (
-        F.when(vendor_path(F.col("file_path")) | F.col("noted"), "vendored")
+        F.when(vendor_path(F.col("file_path")) | F.col("shared"), "vendored")
         .when(F.coalesce(F.try_divide(F.col("literal"), F.col("literal") + F.col("named")), F.lit(0.0)) >= literal, "data")
         .when(e >= expansion, "minified")
         .when((F.col("uniform") >= uniform) & (F.col("canonical") >= least_lines), "generated")
     )
-    return f.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("repository_id", "file_path", "reason")
+    r = f.join(shared, ["repository_id", "file_path"], "left").withColumn("reason", reason)
+    return r.filter(F.col("reason").isNotNull()).select("repository_id", "file_path", "reason")

@@ -100,7 +100,7 @@ def test_files_of_several_chunks(spark):
 
 
 def test_origin(spark):
-    getters = "class A {\n" + "".join(f"  getF{k}() {{ return this.d.f{k}; }}\n  setF{k}(v) {{ this.d.f{k} = v; }}\n" for k in range(12)) + "}\n"
+    getters = "class A {\n" + "".join(f"  getF{k}() {{ return this.d.f{k}; }}\n  setF{k}(v) {{ this.d.f{k} = v; }}\n" for k in range(20)) + "}\n"
     mini = "".join(f"function a{k}(b){{var c=b.f({k});return c>{k}?c.g():b}}" for k in range(30))
     hand = "import a from 'b';\n\n// generated code is not edited here\nfunction f(x) {\n  if (x > 1) {\n    return g(x);\n  }\n  while (h()) {\n    x += 1;\n  }\n  const s = 'SPDX-License-Identifier: MIT, Code generated by hand';\n  return x;\n}\n"
     blob = 'const d = "' + "QUJD/+" * 100 + '";\n'
@@ -113,10 +113,41 @@ def test_origin(spark):
         CHUNK,
     )
     got = {r.file_path: r.reason for r in origin.not_hand_written(df).collect()}
-    assert got == {"src/a.js": "generated", "src/b.js": "minified", "vendor/x/c.js": "vendored", "lib/x-1.2.3/c.js": "vendored", "src/p.js": "vendored", "src/d.js": "data", "src/two.js": "data"}
+    assert got == {"src/a.js": "generated", "src/b.js": "minified", "vendor/x/c.js": "vendored", "lib/x-1.2.3/c.js": "vendored", "src/d.js": "data", "src/two.js": "data"}
     assert origin.not_hand_written(df.limit(0)).count() == 0
 
 
+FILES = "repository_id string, file_path string, start_line int, id string, content string"
+
+
+def test_copies_from_other_repositories(spark):
+    """Vendored by content: the head comment, the layout and where a file is cut don't matter; a fork and a short file don't count."""
+    lib = [f"function f{k}(a) {{\n  return g(a, {k * k});\n}}" for k in range(8)]
+    mine = lib[:3] + ["function own(b) {\n  while (b) {\n    h(b);\n  }\n}"]
+    note = "".join(f"// change {k}: reworded the notes of this release\n" for k in range(500))
+    data = [("r1", "src/x/lib.js", 1, "a", "\n\n".join(lib)), ("r2", "third/lib.js", 1, "a", note), *[("r2", "third/lib.js", 600 + 9 * k, f"b{k}", t.replace("  ", "\t")) for k, t in enumerate(lib)]]
+    data += [("r1", "src/own.js", 1, "a", "\n".join(mine)), ("r1", "src/fork.js", 1, "a", "\n".join(mine * 2)), ("r2", "src/fork.js", 1, "a", "\n".join(mine * 2)), ("r1", "a/short.js", 1, "a", lib[0]), ("r2", "b/short.js", 1, "a", lib[0])]
+    got = {(r.repository_id, r.file_path): r.reason for r in origin.not_hand_written(spark.createDataFrame(data, FILES)).collect()}
+    assert got == {("r1", "src/x/lib.js"): "vendored", ("r2", "third/lib.js"): "vendored"}
+
+
+def test_generated_of_any_period(spark):
+    rng = random.Random(3)
+    kinds = ["a = f(b);", "if (a < 1) {", "}", "b.c(d, e);", "return g(h);", "let k = [l, m];", "while (!p) {", "x += y * 2;", "t ? u() : v();", "for (const q of w) {"]
+    unit = [rng.choice(kinds) for _ in range(40)]
+    long = "\n".join(unit * 6)
+    pieces = [f"function f{k}() {{\n  a = b.c;\n  if (a > {k}) {{\n    d(a);\n  }}\n}}" for k in range(12)]
+    hand = {
+        "A.java": "class A {\n" + "".join(f"  private int f{k};\n  public int getF{k}() {{\n    return f{k};\n  }}\n" for k in range(7)) + "}\n",
+        "e.py": "from enum import Enum\n\n\nclass Kind(Enum):\n" + "".join(f"    KIND_{k} = {k}\n" for k in range(14)),
+        "routes.ts": "export const routes = [\n" + "".join(f"  {{ path: 'p{k}', component: C{k} }},\n" for k in range(12)) + "];\n",
+        "errors.go": "package p\n\nvar (\n" + "".join(f'\tErrA{k} = errors.New("a {k}")\n' for k in range(13)) + ")\n",
+    }
+    data = [("r", "long.js", 1, "a", long), *[("r", "cut.js", 9 * k, f"c{k}", t) for k, t in enumerate(pieces)], *[("r", f, 1, "a", t) for f, t in hand.items()], ("r", "mixed.js", 1, "a", "\n".join(rng.choice(kinds) for _ in range(300)))]
+    got = {r.file_path: r.reason for r in origin.not_hand_written(spark.createDataFrame(data, FILES)).collect()}
+    assert got == {"long.js": "generated", "cut.js": "generated"}
+
+
 def brute_leak(item, doc, passage, per_edit):
     """Edit distance over all spans."""
     a, b = leakage.words_of(item), leakage.words_of(doc)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestrata.llm import copies, mixing, origin
+from lodestrata.llm import copies, mixing
 
 
 def test_shares_are_those_of_the_mix(spark):
@@ -26,14 +26,6 @@ def test_blocks_stay_as_large_whatever_the_size(spark):
     assert len(m) == 150 and max(x.slot for x in m) > 200_000
 
 
-def test_provenance_after_a_long_header(spark):
-    long = "".join(f"// change {k}: reworded the notes of this release\n" for k in range(500))
-    code = "function f(x) {\n  return g(x);\n}\n"
-    data = [("r", "src/a.js", 1, "a", long + "// SPDX-License-Identifier: MIT\n" + code), ("r", "src/b.js", 1, "a", long + code), ("r", "src/c.js", 1, "a", "/*\n" + long + " vendored from x\n*/\n" + code)]
-    df = spark.createDataFrame(data, "repository_id string, file_path string, start_line int, id string, content string")
-    assert {r.file_path: r.reason for r in origin.not_hand_written(df).collect()} == {"src/a.js": "vendored", "src/c.js": "vendored"}
-
-
 @pytest.mark.parametrize(
     "a,b,same",
     [
