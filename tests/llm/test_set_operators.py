@@ -168,15 +168,40 @@ def test_mixing(spark):
     assert {s for s, x in r.items() if x.short} == {"big", "small", "gone", "tiny"} and r["gone"].tokens == 0 and r["tiny"].repeats == 0
     d2 = ddf.filter("doc_id < 2000")
     r = {x.source: x for x in mixing.shares(mixing.sized(d2), tdf).collect()}
-    assert not r["big"].short and abs(r["big"].reached - 0.5) < 1e-9 and r["small"].short is False or r["small"].repeats <= 3
-    m = mixing.mix(d2, tdf, block_tokens=100).collect()
-    uses = {}
-    for x in m:
-        uses[x.doc_id] = uses.get(x.doc_id, 0) + 1
-    assert max(v for k, v in uses.items() if k >= 1000) <= 3 and max(v for k, v in uses.items() if k < 1000) <= 2
-    for s in ("big", "small"):
-        assert abs(sum(x.tokens for x in m if x.source == s) - r[s].used_tokens) < 100
-    half = sorted(m, key=lambda x: x.slot)[: len(m) // 2]
-    share = sum(x.tokens for x in half if x.source == "big") / sum(x.tokens for x in half)
-    assert abs(share - r["big"].used_tokens / (r["big"].used_tokens + r["small"].used_tokens)) < 0.1
+    assert not r["big"].short and abs(r["big"].used_tokens - r["big"].target_tokens) < 1 and r["small"].short and r["small"].repeats == 3
     assert mixing.mix(d2.limit(0), tdf).count() == 0 and mixing.shares(mixing.sized(d2.limit(0)), tdf).filter("reached > 0").count() == 0
+
+
+@pytest.mark.parametrize("round_slots", [10**6, 10])
+def test_mix_is_whole_and_within_a_block(spark, monkeypatch, round_slots):
+    """Whatever the number of rounds (a source of fewer tokens than rounds leaves slots empty): every token of every use once, in order, and after any slot each source within one block of its share."""
+    monkeypatch.setattr(mixing, "ROUND_SLOTS", round_slots)
+    rng = random.Random(4)
+    docs = [(k, "word " * rng.choice([1, 7, 30, 400]), rng.choice("aaab"), 1) for k in range(120)] + [(1000, "word " * 5000, "long", 1), (1001, "word", "speck", 1)]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string, source string, slot int")
+    tdf = spark.createDataFrame([("a", 0.3, 1), ("b", 0.4, 9), ("long", 0.2, 1), ("speck", 0.0001 * (round_slots > 10), 1), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
+    block = 64
+    r = {x.source: x for x in mixing.mixed_shares(ddf, tdf, block_tokens=block).collect()}
+    m = sorted(mixing.mix(ddf, tdf, block_tokens=block).collect(), key=lambda x: (x.slot, x["pass"], x.doc_id, x.first_token))
+    held, at, sizes = dict.fromkeys(r, 0), {}, {x.doc_id: x for x in mixing.sized(ddf).collect()}
+    for x in m:
+        held[x.source] += x.tokens
+        key = x["pass"], x.doc_id
+        assert x.tokens > 0 and x.first_token == at.get((x.source, key), 0) and sizes[x.doc_id].source == x.source
+        at[x.source, key] = x.first_token + x.tokens
+    assert {s: x.mixed_tokens for s, x in r.items()} == held and all(held[s] == x.used_tokens for s, x in r.items())
+    assert abs(sum(x.mixed_share for x in r.values()) - 1) < 1e-12
+    for s in held:  # all uses but the last one are whole
+        uses = sorted(k for src, k in at if src == s)
+        assert all(at[s, k] == sizes[k[1]].tokens for k in uses[:-1])
+    by_slot = {}
+    for x in m:
+        by_slot.setdefault(x.slot, []).append(x)
+    assert sorted(by_slot) == list(range(max(by_slot) + 1)) and all(len({x.source for x in v}) == 1 for v in by_slot.values())
+    assert max(sum(x.tokens for x in v) for v in by_slot.values()) <= block
+    blocks = {s: sum(v[0].source == s for v in by_slot.values()) for s in held if held[s]}
+    done = dict.fromkeys(blocks, 0)
+    for t in range(len(by_slot)):
+        done[by_slot[t][0].source] += 1
+        assert all(abs(done[s] - n / len(by_slot) * (t + 1)) < 1 for s, n in blocks.items())
+    assert {s for s, x in r.items() if x.short} == {s for s, x in r.items() if x.tokens * x.max_repeats < x.target_tokens}

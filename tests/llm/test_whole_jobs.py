@@ -2,28 +2,7 @@
 
 import pytest
 
-from lodestrata.llm import copies, mixing
-
-
-def test_shares_are_those_of_the_mix(spark):
-    docs = [(k, "word " * 20, "big") for k in range(100)] + [(1000, "word " * 1000, "long"), (1001, "word", "speck")]
-    ddf = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    tdf = spark.createDataFrame([("big", 0.9, 1), ("long", 0.1, 1), ("speck", 0.0001, 1), ("gone", 0.1, 3)], "source string, target_share double, max_repeats int")
-    r = {x.source: x for x in mixing.mixed_shares(ddf, tdf).collect()}
-    held = {s: 0 for s in r}
-    for x in mixing.mix(ddf, tdf).collect():
-        held[x.source] += x.tokens
-    assert {s: x.mixed_tokens for s, x in r.items()} == held and held["long"] == r["long"].tokens > 2 * r["long"].target_tokens and held["speck"] == 1
-    assert all(x.reached == held[s] / x.mix_tokens and x.mixed_share == pytest.approx(held[s] / sum(held.values())) for s, x in r.items())
-    assert {s for s, x in r.items() if x.short} == {"big", "gone"} == {x.source for x in mixing.shares(mixing.sized(ddf), tdf).collect() if x.short}
-    assert mixing.mixed_shares(ddf.limit(0), tdf).filter("reached > 0").count() == 0
-
-
-def test_blocks_stay_as_large_whatever_the_size(spark):
-    ddf = spark.createDataFrame([(k, "word " * 20, "a" if k % 2 else "b") for k in range(150)], "doc_id long, text string, source string")
-    tdf = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
-    m = mixing.mix(ddf, tdf, block_tokens=0.01).collect()
-    assert len(m) == 150 and max(x.slot for x in m) > 200_000
+from lodestrata.llm import copies
 
 
 @pytest.mark.parametrize(
