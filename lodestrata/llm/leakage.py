@@ -1,11 +1,14 @@
-"""Evaluation texts that leak into training texts: winnowed fingerprints, extended to edited passages.
+"""Evaluation texts that leak into training texts: winnowed fingerprints, joined and extended to edited passages.
 
 Words are hashed in runs of ``k``; of every ``window`` neighbouring runs the one with the least hash is a fingerprint,
 so any shared run of k + window - 1 words shares a fingerprint. A passage of ``passage`` words with at most one edit in
 ``per_edit`` has an unbroken run of at least that length with the defaults (30 words, 3 edits: 27 kept words in 4 runs, one of 7 or more).
 
-Fingerprints of the items form a bounded table (its size is checked) that every task gets; documents are read once and
-nothing is shuffled. A hit is extended in both texts as far as the edits allow, which settles it exactly.
+1. Items of any number become rows of word hashes and fingerprints. A Bloom filter of all their runs, of bounded size, is broadcast.
+2. Documents are read once. One that has fewer runs in the filter than any passage keeps has no case and ends there; the filter errs to one
+   side only, so a fuller one costs time and never a case.
+3. The fingerprints of what is left are joined with those of the items by a shuffle; fingerprints of very many documents are salted.
+4. Each pair of document and item that shares a fingerprint is extended in both texts as far as the edits allow, which settles it exactly.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spread, stage
 from .near_copies import _M1, _M2, _mix
 
-#: Letters in all items together that one pass may broadcast; larger sets of items take several passes.
-ITEM_CHARS_PER_PASS = 64_000_000
+#: Bits of the filter for each run of the items, up to the whole filter's bound; probes of a look-up.
+FILTER_BITS, MOST_FILTER_BITS, PROBES = 32, 1 << 27, 4
+#: Documents with one fingerprint from which it is salted, and the salts. Hot fingerprints that are broadcast at most (8 bytes each).
+HOT_DOCUMENTS, SALTS, MAX_BROADCAST_KEYS = 20_000, 32, 1_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'))*\s*/?>|&(?:[a-z]{2,8}|#\d{1,6});|\{\{|\}\}")
 _WORD = re.compile(r"[^\W_]+")
@@ -99,105 +104,146 @@ def passage_length(item: list[int], doc: list[int], i: int, j: int, passage: int
     return most
 
 
-class Items:
-    """Fingerprints of the items of one pass."""
-
-    def __init__(self, rows: list[tuple[int, str]], k: int, window: int, passage: int):
-        import xxhash
-
-        self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        hashes: list[np.ndarray] = []
-        for item_id, text in rows:
-            w = words_of(text)
-            if len(w) >= passage:
-                self.items.append((item_id, [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w]))
-                hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w), np.uint64, len(w)))
-        pos, fp, own = [], [], []
-        runs = [run_hashes(h, k) for h in hashes]
-        every = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        #: all runs of the items, to count what a document shares with each
-        self.runs, self.run_own = every[order], np.repeat(np.arange(len(runs)), [len(r) for r in runs])[order]
-        for n, run in enumerate(runs):
-            p = winnow(run, window)
-            pos.append(p), fp.append(run[p]), own.append(np.full(len(p), n))
-        if fp:
-            fps, self.pos, self.own = np.concatenate(fp), np.concatenate(pos), np.concatenate(own)
-            order = np.argsort(fps, kind="stable")
-            self.fp, self.pos, self.own = fps[order], self.pos[order], self.own[order]
-        else:
-            self.fp = np.zeros(0, np.uint64)
-
-
-    def shared_runs(self, run: np.ndarray) -> np.ndarray:
-        """For each item the number of runs of a document that it has too (repetitions count)."""
-        lo, hi = np.searchsorted(self.runs, run, "left"), np.searchsorted(self.runs, run, "right")
-        some = hi > lo
-        lo, n = lo[some], (hi - lo)[some]
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.run_own[at], minlength=len(self.items))
-
-
 def least_runs(passage: int, per_edit: int, k: int) -> int:
     """Runs of k words that a passage keeps at least: one edit breaks k of them."""
     return max(1, min(n - k + 1 - k * (n // per_edit) for n in range(passage, 10 * passage)))
 
 
-def _scan(shared, k: int, window: int, passage: int, per_edit: int):
+def hashes_of(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words; ``known`` keeps those seen."""
+    import xxhash
+
+    if len(known) > 500_000:
+        known.clear()
+    return np.fromiter([known[x] if x in known else known.setdefault(x, xxhash.xxh3_64_intdigest(x)) for x in words], np.uint64, len(words))
+
+
+def probes(run: np.ndarray, bits: int) -> np.ndarray:
+    """Positions of each run in a filter of a power of two bits, one row per probe."""
+    step = _mix(run + _M1) | np.uint64(1)
+    return np.stack([(run + np.uint64(j) * step) >> np.uint64(7) & np.uint64(bits - 1) for j in range(PROBES)])
+
+
+def in_filter(table: np.ndarray, bits: int, run: np.ndarray) -> np.ndarray:
+    """Which runs may be in the filter."""
+    at = run
+    left = np.arange(len(run))
+    for j in range(PROBES):
+        step = _mix(at + _M1) | np.uint64(1)
+        p = (at + np.uint64(j) * step) >> np.uint64(7) & np.uint64(bits - 1)
+        hit = (table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        at, left = at[hit], left[hit]
+    return left
+
+
+def _items(k: int, window: int, passage: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            ids, words, prints = [], [], []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = words_of(text)
+                if len(w) >= passage:
+                    h = hashes_of(w, known)
+                    runs = run_hashes(h, k)
+                    ids.append(item), words.append(h.tobytes()), prints.append(np.unique(runs[winnow(runs, window)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], names=["item_id", "item_words", "prints"])
+
+    return run
+
+
+def _filter_parts(k: int, bits: int):
+    """The filter of a partition's items: one row of bounded size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        table = np.zeros(bits, np.bool_)
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                table[probes(run_hashes(np.frombuffer(w, np.uint64), k), bits).reshape(-1).astype(np.int64)] = True
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], names=["part"])
+
+    return run
+
 
-        t: Items = shared.value
+def _documents(shared, k: int, window: int, passage: int, per_edit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bits = shared.value
         need = least_runs(passage, per_edit, k)
         known: dict[str, int] = {}
         for b in batches:
-            docs, found, sizes = [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids, words, prints = [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words_of(text)
-                if len(w) < passage - passage // per_edit or not len(t.fp):
-                    continue
-                if len(known) > 500_000:
-                    known.clear()
-                h = np.fromiter([known[x] if x in known else known.setdefault(x, xxhash.xxh3_64_intdigest(x)) for x in w], np.uint64, len(w))
-                rh = run_hashes(h, k)
-                p = winnow(rh, window)
-                lo, hi = np.searchsorted(t.fp, rh[p], "left"), np.searchsorted(t.fp, rh[p], "right")
-                hit = np.nonzero(hi > lo)[0]
-                if not len(hit):
+                if len(w) < passage - passage // per_edit:
                     continue
-                enough = t.shared_runs(rh) >= need
-                if not enough.any():
+                h = hashes_of(w, known)
+                runs = run_hashes(h, k)
+                there = in_filter(table, bits, runs)
+                if len(there) < need:
                     continue
-                ids = [t.vocabulary.get(x, -1 - n) for n, x in enumerate(w)]
-                done: dict[int, int] = {}
-                tried: set[tuple[int, int, int]] = set()
-                for x in hit:
-                    j = int(p[x])
-                    for y in range(int(lo[x]), int(hi[x])):
-                        n, i = int(t.own[y]), int(t.pos[y])
-                        item = t.items[n][1]
-                        if n in done or not enough[n] or item[i : i + k] != ids[j : j + k]:
-                            continue
-                        # the start of the unbroken run names the hit
-                        a, c = i, j
-                        while a and c and item[a - 1] == ids[c - 1]:
-                            a, c = a - 1, c - 1
-                        if (n, a, c) in tried:
-                            continue
-                        tried.add((n, a, c))
-                        got = passage_length(item, ids, a, c, passage, per_edit)
-                        if got:
-                            done[n] = got
-                docs += [doc_id] * len(done)
-                found += [t.items[n][0] for n in done]
-                sizes += done.values()
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "item_id", "words"])
+                may = np.zeros(len(runs), bool)
+                may[there] = True
+                p = winnow(runs, window)
+                ids.append(doc), words.append(h.tobytes()), prints.append(np.unique(runs[p[may[p]]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "doc_words", "prints"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, passage: int = 30, per_edit: int = 10, k: int = 5, window: int = 3, chars_per_pass: int = ITEM_CHARS_PER_PASS) -> DataFrame:
+def longest_passage(item: np.ndarray, doc: np.ndarray, k: int, window: int, passage: int, per_edit: int) -> int:
+    """Words of a passage of the item that the document holds, 0 if there is none; both as word hashes. The first hit that extends to
+    a passage counts."""
+    ri, rd = run_hashes(item, k), run_hashes(doc, k)
+    if np.isin(rd, ri).sum() < least_runs(passage, per_edit, k):
+        return 0
+    pi, pd = winnow(ri, window), winnow(rd, window)
+    order = np.argsort(ri[pi], kind="stable")
+    pi = pi[order]
+    lo, hi = np.searchsorted(ri[pi], rd[pd], "left"), np.searchsorted(ri[pi], rd[pd], "right")
+    a, b = item.tolist(), doc.tolist()
+    tried: set[tuple[int, int]] = set()
+    for x in np.nonzero(hi > lo)[0]:
+        for i in pi[lo[x] : hi[x]].tolist():
+            j = int(pd[x])
+            while i and j and a[i - 1] == b[j - 1]:  # the start of the unbroken run names the hit
+                i, j = i - 1, j - 1
+            if (i, j) in tried:
+                continue
+            tried.add((i, j))
+            got = passage_length(a, b, i, j, passage, per_edit)
+            if got:
+                return got
+    return 0
+
+
+def _extend(k: int, window: int, passage: int, per_edit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = [longest_passage(np.frombuffer(i, np.uint64), np.frombuffer(d, np.uint64), k, window, passage, per_edit) for d, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            t = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32())], names=["doc_id", "item_id", "words"])
+            yield t.filter(pa.array([n > 0 for n in sizes]))
+
+    return run
+
+
+def _pairs(docs: DataFrame, items: DataFrame, hot_documents: int) -> DataFrame:
+    """Distinct (row, item_id) that share a fingerprint."""
+    left = docs.select("row", F.explode("prints").alias("fp"))
+    right = items.select("item_id", F.explode("prints").alias("ifp"))
+    hot = stage(left.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_documents).select(F.col("fp").alias("hot")), "hotprints")
+    n_hot = hot.count()
+    if n_hot:
+        side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot
+        left = left.join(side, left.fp == side.hot, "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0))
+        right = right.join(side, right.ifp == side.hot, "left").withColumn("isalt", F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        both = left.join(right, (F.col("fp") == F.col("ifp")) & (F.col("salt") == F.col("isalt")))
+    else:
+        both = left.join(right, F.col("fp") == F.col("ifp"))
+    return both.select("row", "item_id").distinct()
+
+
+def leaks(documents: DataFrame, items: DataFrame, passage: int = 30, per_edit: int = 10, k: int = 5, window: int = 3, hot_documents: int = HOT_DOCUMENTS, most_filter_bits: int = MOST_FILTER_BITS) -> DataFrame:
     """Rows (doc_id, item_id, words): the document holds a passage of ``passage`` or more words of the item, with at
     most one word in ``per_edit`` changed, dropped or added; words is the length of a passage found.
 
@@ -208,17 +254,24 @@ def leaks(documents: DataFrame, items: DataFrame, passage: int = 30, per_edit: i
         raise ValueError("k + window - 1 is longer than the unbroken run that a passage must have")
     spark = documents.sparkSession
     src = documents.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    src = spread(src)
     its = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    total = its.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-total // chars_per_pass))
-    out = None
-    for n in range(passes):
-        part = its.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n)
-        table = Items([(r.item_id, r.text) for r in part.toLocalIterator()], k, window, passage)
-        got = src.mapInArrow(_scan(spark.sparkContext.broadcast(table), k, window, passage, per_edit), "doc_id long, item_id long, words int")
-        out = got if out is None else out.unionByName(got)
-    return out
+    its = stage(its.mapInArrow(_items(k, window, passage), "item_id long, item_words binary, prints array<long>"), "items")
+    runs = its.agg(F.sum(F.length("item_words") / 8)).first()[0] or 0
+    bits = 1 << max(10, min(most_filter_bits.bit_length() - 1, int(FILTER_BITS * runs).bit_length()))
+    table = np.zeros(bits // 8, np.uint8)
+    # a few rows of at most 16 MB, one at a time
+    for r in its.select("item_words").coalesce(8).mapInArrow(_filter_parts(k, bits), "part binary").toLocalIterator():
+        table |= np.frombuffer(r.part, np.uint8)
+    shared = spark.sparkContext.broadcast((table, bits))
+    docs = spread(src).mapInArrow(_documents(shared, k, window, passage, per_edit), "doc_id long, doc_words binary, prints array<long>")
+    docs = stage(docs.withColumn("row", F.xxhash64("doc_id", "doc_words")), "suspects")
+    pairs = _pairs(docs, its, hot_documents)
+    d = docs.select(F.col("row").alias("drow"), "doc_id", "doc_words")
+    # an item may be in a third of all documents: its rows are dealt out by document
+    salted = its.select(F.col("item_id").alias("iid"), "item_words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("isalt"))
+    both = pairs.join(d, F.col("row") == F.col("drow")).withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    both = both.join(salted, (F.col("item_id") == F.col("iid")) & (F.col("salt") == F.col("isalt")))
+    return both.select("doc_id", "item_id", "doc_words", "item_words").mapInArrow(_extend(k, window, passage, per_edit), "doc_id long, item_id long, words int").distinct()
 
 
 def leaked_items(found: DataFrame) -> DataFrame:

@@ -181,8 +181,8 @@ def test_leaks_equal_brute_force(spark):
     assert 3 < len(want) < len(docs)
     ddf = spark.createDataFrame([(d, t, 1) for d, t in docs] + [(None, "x", 1), (999, None, 1), (998, "", 1), docs[0] + (1,)], "doc_id long, text string, item_id int")
     idf = spark.createDataFrame([(i, t, 1) for i, t in items] + [(77, None, 1), (78, "short", 1), (None, items[0][1], 1)], "item_id int, text string, doc_id int")
-    for chars in (10**6, 200):
-        assert {(r.doc_id, r.item_id) for r in leakage.leaks(ddf, idf, chars_per_pass=chars).collect()} == want
+    for hot, bits in ((10**6, 1 << 27), (3, 1 << 27), (10**6, 1 << 11)):  # salted fingerprints; a filter that is full
+        assert {(r.doc_id, r.item_id) for r in leakage.leaks(ddf, idf, hot_documents=hot, most_filter_bits=bits).collect()} == want
     assert leakage.leaks(ddf.limit(0), idf).count() == 0 and leakage.leaks(ddf, idf.limit(0)).count() == 0
     with pytest.raises(ValueError):
         leakage.leaks(ddf, idf, k=8)
