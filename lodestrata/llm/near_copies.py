@@ -1,11 +1,13 @@
-"""Near-duplicate records with small edits: banded MinHash in place of an LSH forest, then exact verification.
+"""Near-duplicate records with small edits: MinHash LSH forest, then exact verification.
 
-Every distinct text is a node: its set of shingles (consecutive words) as 64-bit hashes, and a MinHash signature of
-``trees`` rows of up to ``depth`` values. Nodes that share the first k values of any row are candidates. One k holds for all: the largest
-whose recall at the threshold, 1 - (1 - t^k)^trees, reaches the target, computed before data are read. There are no tries and no
-shortening per match; the k values are hashed with the row's number and joined by equality.
+Every distinct text is a node: its set of shingles (consecutive words) as 64-bit hashes, and in each of ``trees`` prefix tries a label of ``depth``
+MinHash values. A trie is stored sorted, as runs: nodes that share their first ``k`` values stand together in order of the others. The search starts at
+whole labels and shortens them value by value. At each step the pairs whose longest common prefix in some trie has just that length, and that no
+longer one gave, are verified on the whole shingle sets. From the similarities of the pairs found, each of which a step finds with a known probability, follows
+how many there are in all and so the recall; shortening ends when it reaches the target, at the latest at ``k`` values, where even pairs that all just meet the
+threshold are found at the rate ``least``.
 
-A prefix shared by more than ``wide`` nodes would emit too many unrelated pairs. Its nodes are joined by an exact way
+A run of more than ``wide`` nodes would emit too many unrelated pairs. Its nodes are joined by an exact way
 instead: two sets of similarity t share one of the |x| - ceil(t |x|) + 1 rarest shingles of each (rarity counted over
 all of these nodes). Candidates are verified on the whole shingle sets.
 """
@@ -110,7 +112,10 @@ def _nodes(n: int, least_words: int):
     return run
 
 
-def _labels(trees: int, k: int):
+def _labels(trees: int, k: int, depth: int):
+    """Rows (head, rest, nid): a hash of the trie and the first k values, and the other values in the bits of a number, first one highest."""
+    bits = 63 // max(1, depth - k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = _mix(np.arange(1, trees + 1, dtype=np.uint64) * _M3)
         for b in batches:
@@ -120,11 +125,42 @@ def _labels(trees: int, k: int):
                 sets = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
                 if not sets:
                     continue
-                sig = signatures(sets, trees * k).reshape(len(sets), trees, k).astype(np.uint64)
-                label = np.broadcast_to(salt, (len(sets), trees))
+                sig = signatures(sets, trees * depth).reshape(len(sets), trees, depth).astype(np.uint64)
+                head = np.broadcast_to(salt, (len(sets), trees))
                 for j in range(k):
-                    label = _mix(label * _M2 + sig[:, :, j] + _M1)
-                yield pa.RecordBatch.from_arrays([pa.array(label.reshape(-1).view(np.int64)), pa.array(np.repeat(nid, trees))], names=["prefix", "nid"])
+                    head = _mix(head * _M2 + sig[:, :, j] + _M1)
+                rest = np.zeros((len(sets), trees), np.uint64)
+                for j in range(k, depth):
+                    rest = rest << np.uint64(bits) | (_mix(sig[:, :, j]) >> np.uint64(64 - bits))
+                yield pa.RecordBatch.from_arrays([pa.array(head.reshape(-1).view(np.int64)), pa.array(rest.reshape(-1).view(np.int64)), pa.array(np.repeat(nid, trees))], names=["head", "rest", "nid"])
+
+    return run
+
+
+def run_pairs(lengths: np.ndarray, rest: np.ndarray, shift: int, deeper: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs within runs whose rests agree above ``shift`` bits and not above ``deeper`` (None: any)."""
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    after = ends - np.arange(len(rest)) - 1
+    i = np.repeat(np.arange(len(rest)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    x = rest[i] ^ rest[j]
+    keep = x >> np.uint64(shift) == 0 if shift < 64 else np.ones(len(x), bool)
+    if deeper is not None:
+        keep &= x >> np.uint64(deeper) != 0
+    return i[keep], j[keep]
+
+
+def _level(shift: int, deeper: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):  # at most 64 x wide^2 / 2 pairs at a time
+                lists = b.column(0).slice(at, 64)
+                flat = lists.flatten()
+                rest, nid = flat.field(0).to_numpy(zero_copy_only=False).view(np.uint64), flat.field(1).to_numpy(zero_copy_only=False)
+                lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+                i, j = run_pairs(lengths, rest, shift, deeper)
+                x, y = nid[i], nid[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
@@ -132,7 +168,7 @@ def _labels(trees: int, k: int):
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
             sim = np.zeros(b.num_rows)
             for k in range(b.num_rows):
                 p, q = np.frombuffer(x[k], np.uint64), np.frombuffer(y[k], np.uint64)
@@ -142,27 +178,28 @@ def _verify(threshold: float):
                     common = int((both[1:] == both[:-1]).sum())
                     sim[k] = common / (len(p) + len(q) - common) if common else 0.0
             keep = sim >= threshold - 1e-12
-            t = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], names=["na", "nb", "similarity"])
+            t = pa.RecordBatch.from_arrays([*(b.column(c) for c in range(4)), pa.array(sim)], names=["a", "b", "na", "nb", "similarity"])
             yield t.filter(pa.array(keep))
 
     return run
 
 
 def _rarest(threshold: float):
-    """Rows (shingle, nid) of the shingles of which two similar sets share at least one; input nid, shingles and the
+    """Rows (shingle, nid, number of shingles) of the shingles of which two similar sets share at least one; input nid, shingles and the
     frequency of each shingle in the same order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out_s, out_n = [], []
+            out_s, out_n, out_z = [], [], []
             for nid, sh, fr in zip(pdf.nid, pdf.hashes, pdf.freqs):
                 sh, fr = np.asarray(sh, np.int64), np.asarray(fr, np.int64)
                 m = len(sh) - math.ceil(threshold * len(sh) - 1e-9) + 1
                 pick = np.lexsort((sh, fr))[:m]
                 out_s.append(sh[pick])
                 out_n.append(np.full(len(pick), nid))
+                out_z.append(np.full(len(pick), len(sh), np.int32))
             if out_s:
-                yield pd.DataFrame({"prefix": np.concatenate(out_s), "nid": np.concatenate(out_n)})
+                yield pd.DataFrame({"prefix": np.concatenate(out_s), "nid": np.concatenate(out_n), "size": np.concatenate(out_z)})
 
     return run
 
@@ -174,12 +211,40 @@ def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), lens))], names=["prefix", "nid"])
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes that share a prefix; groups of one node leave before the join."""
-    several = groups.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix")
-    g = groups.join(several, "prefix", "left_semi")
-    x, y = g.select("prefix", F.col("nid").alias("a")), g.select("prefix", F.col("nid").alias("b"))
-    return x.join(y, "prefix").filter("a < b").select("a", "b").distinct()
+def _pairs(groups: DataFrame, threshold: float, block: int = 1_000) -> DataFrame:
+    """Distinct pairs of nodes that share a prefix and whose sizes allow the threshold; groups of one node leave before the join,
+    larger ones are joined in blocks, so that none is one task's."""
+    several = groups.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    g = groups.join(several, "prefix")
+    x = g.select("prefix", F.col("nid").alias("a"), F.col("size").alias("sa"), F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int").alias("part"))
+    y = g.select("prefix", F.col("nid").alias("b"), F.col("size").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = (F.col("sa") >= F.lit(threshold - 1e-9) * F.col("sb")) & (F.col("sb") >= F.lit(threshold - 1e-9) * F.col("sa"))
+    return x.join(y, ["prefix", "part"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node that can be reached over edges (a, b), by alternating large and small stars. Every round is
+    written to the shared folder; minima are combined before the shuffle, so a node with very many edges is no group in memory."""
+    e = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+
+    def mark(x: DataFrame) -> tuple:
+        return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    before = mark(e)
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
+        large = both.join(low, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stage(large, "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        after = mark(e)
+        if after == before:
+            break
+        before = after
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
 class NearCopies:
@@ -187,13 +252,16 @@ class NearCopies:
 
     :param threshold: least similarity (intersection over union of shingle sets).
     :param shingle: words in a shingle. :param least_words: records with fewer words take no part.
-    :param trees, depth, target: size of the forest and the recall to reach.
+    :param trees, depth: size of the forest. :param target: estimated recall at which shortening ends.
+    :param least: recall at the threshold that the shortest prefix must have.
     :param wide: nodes under one prefix above which the exact way replaces the forest's.
     """
 
-    def __init__(self, threshold: float = 0.8, shingle: int = 5, least_words: int = 0, trees: int = 24, depth: int = 6, target: float = 0.995, wide: int = 400):
-        self.threshold, self.shingle, self.least_words, self.trees, self.wide = threshold, shingle, least_words, trees, wide
-        self.k = forest_depth(threshold, trees, depth, target)
+    def __init__(self, threshold: float = 0.8, shingle: int = 5, least_words: int = 0, trees: int = 24, depth: int = 6, target: float = 0.999, least: float = 0.995, wide: int = 400):
+        self.threshold, self.shingle, self.least_words, self.trees, self.depth, self.target, self.wide = threshold, shingle, least_words, trees, depth, target, wide
+        self.k = forest_depth(threshold, trees, depth, least)
+        #: Of the last search: (prefix length, pairs, estimated recall) of each step.
+        self.steps: list[tuple[int, int, float]] = []
 
     def nodes(self, df: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
         """(nodes: nid, node_key, copy_key, shingles; members: id, node_key). A node is a distinct shingle set with
@@ -208,19 +276,15 @@ class NearCopies:
         nodes = nodes.withColumn("nid", F.monotonically_increasing_id())
         return stage_bucketed(nodes.select("nid", "node_key", "copy_key", "shingles"), ["node_key"], "nodes"), members
 
-    def candidates(self, nodes: DataFrame) -> DataFrame:
-        labels = stage(nodes.select("nid", "shingles").mapInArrow(_labels(self.trees, self.k), "prefix long, nid long"), "labels")
-        sizes = labels.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sizes = stage(sizes, "prefixes")
-        # prefixes that nodes share are few: their rows are kept for both sides of the join
-        narrow = stage(labels.join(sizes.filter(F.col("n") <= self.wide).select("prefix"), "prefix", "left_semi"), "narrow")
-        x, y = narrow.select("prefix", F.col("nid").alias("a")), narrow.select("prefix", F.col("nid").alias("b"))
-        found = x.join(y, "prefix").filter("a < b").select("a", "b")
-        wide = sizes.filter(F.col("n") > self.wide).select("prefix")
-        if not wide.isEmpty():
-            crowd = labels.join(wide, "prefix", "left_semi").select("nid").distinct()
-            found = found.unionByName(self.exact_candidates(nodes.join(crowd, "nid", "left_semi")))
-        return found.distinct()
+    def runs(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(run: nodes under one prefix of k values in order, two to ``wide`` of them; crowd: nid of the nodes under wider ones)."""
+        labels = nodes.select("nid", "shingles").mapInArrow(_labels(self.trees, self.k, self.depth), "head long, rest long, nid long")
+        # all that follows reads the buckets in place
+        labels = stage_bucketed(labels, ["head"], "labels")
+        sizes = labels.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = stage_bucketed(labels.join(sizes, "head"), ["head"], "shared")
+        narrow = shared.filter(F.col("n") <= self.wide).groupBy("head").agg(F.array_sort(F.collect_list(F.struct("rest", "nid"))).alias("run"))
+        return stage(narrow.select("run"), "runs"), shared.filter(F.col("n") > self.wide).select("nid").distinct()
 
     def exact_candidates(self, nodes: DataFrame) -> DataFrame:
         """Pairs that share one of their rarest shingles: no pair of the threshold is missing."""
@@ -228,22 +292,56 @@ class NearCopies:
         freq = each.groupBy("prefix").agg(F.count(F.lit(1)).alias("f")).withColumnRenamed("prefix", "p")
         with_f = each.join(freq, F.col("prefix") == F.col("p")).groupBy("nid").agg(F.collect_list(F.struct("prefix", "f")).alias("s"))
         with_f = with_f.select("nid", F.col("s.prefix").alias("hashes"), F.col("s.f").alias("freqs"))
-        return _pairs(with_f.mapInPandas(_rarest(self.threshold), "prefix long, nid long"))
+        return _pairs(with_f.mapInPandas(_rarest(self.threshold), "prefix long, nid long, size int"), self.threshold)
 
-    def node_links(self, nodes: DataFrame) -> DataFrame:
-        """(node_key_a, node_key_b, similarity) of nodes that are no copies of each other. Shingles are read from the
+    def _verified(self, cand: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFrame:
+        """(a, b, na, nb, similarity) of candidates that reach the threshold and are no copies of each other. Shingles are read from the
         buckets of node_key, in place; only those of candidates are shuffled."""
-        cand = self.candidates(nodes)
-        ka = nodes.select(F.col("nid").alias("a"), F.col("node_key").alias("na"), F.col("copy_key").alias("ca"))
-        kb = nodes.select(F.col("nid").alias("b"), F.col("node_key").alias("nb"), F.col("copy_key").alias("cb"))
-        named = cand.join(ka, "a").join(kb, "b").filter("ca <> cb").select("na", "nb")
+        ka = names.select(F.col("nid").alias("ia"), F.col("node_key").alias("na"), F.col("copy_key").alias("ca"))
+        kb = names.select(F.col("nid").alias("ib"), F.col("node_key").alias("nb"), F.col("copy_key").alias("cb"))
+        named = cand.join(ka, F.col("a") == F.col("ia")).join(kb, F.col("b") == F.col("ib")).filter("ca <> cb").select("a", "b", "na", "nb")
         x = nodes.select(F.col("node_key").alias("xa"), F.col("shingles").alias("sa"))
         y = nodes.select(F.col("node_key").alias("yb"), F.col("shingles").alias("sb"))
-        both = named.join(x, F.col("na") == F.col("xa")).select("na", "nb", "sa").join(y, F.col("nb") == F.col("yb")).select("na", "nb", "sa", "sb")
-        return both.mapInArrow(_verify(self.threshold), "na binary, nb binary, similarity double")
+        both = named.join(x, F.col("na") == F.col("xa")).drop("xa").join(y, F.col("nb") == F.col("yb")).select("a", "b", "na", "nb", "sa", "sb")
+        return both.mapInArrow(_verify(self.threshold), "a long, b long, na binary, nb binary, similarity double")
+
+    def node_links(self, nodes: DataFrame) -> DataFrame:
+        """(na, nb, similarity): node keys of linked nodes, each pair once."""
+        runs, crowd = self.runs(nodes)
+        names = stage_bucketed(nodes.select("nid", "node_key", "copy_key"), ["nid"], "names")
+        bits = 63 // max(1, self.depth - self.k)
+        self.steps, found, tested = [], [], None
+        for length in range(self.depth, self.k - 1, -1):
+            shift, deeper = bits * (self.depth - length), bits * (self.depth - length - 1) if length < self.depth else None
+            fresh = runs.mapInArrow(_level(shift, deeper), "a long, b long").distinct()
+            if tested is not None:
+                fresh = fresh.join(tested, ["a", "b"], "left_anti")
+            fresh = stage(fresh, "pairs")
+            tested = fresh if tested is None else tested.unionByName(fresh)
+            found.append(stage(self._verified(fresh, nodes, names), "links"))
+            got = found[0] if len(found) == 1 else self._union(found)
+            # a pair of similarity s has a prefix of this length in some trie with probability p(s): it stands for 1 / p(s) pairs
+            p = 1 - F.pow(1 - F.pow("similarity", F.lit(float(length))), F.lit(float(self.trees)))
+            pairs, all_ = got.agg(F.count(F.lit(1)), F.sum(1 / p)).first()
+            self.steps.append((length, pairs, pairs / all_ if pairs else 1.0))
+            if pairs >= all_ * self.target if pairs else length == self.k:
+                break
+        links = self._union(found).select("na", "nb", "similarity")
+        if not crowd.isEmpty():
+            more = self._verified(self.exact_candidates(nodes.join(crowd, "nid", "left_semi")), nodes, names)
+            links = links.unionByName(more.select("na", "nb", "similarity")).distinct()
+        return links
+
+    @staticmethod
+    def _union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def pairs(self, df: DataFrame, id_col: str = "id") -> DataFrame:
-        """chunk_id_a < chunk_id_b and similarity of all linked records that are no formatted copies of each other.
+        """chunk_id_a < chunk_id_b and similarity of all linked records that are no formatted copies of each other: every member of a text
+        with every member of a linked one, as p4_found asks for. Where a text has very many copies, links and groups say the same in fewer rows.
 
         Null ids and texts and texts below least_words (or one shingle) take no part; an empty table gives an empty result; extra
         columns are ignored; a repeated id counts once.
@@ -252,3 +350,24 @@ class NearCopies:
         ma, mb = members.select(F.col("id").alias("ia"), F.col("node_key").alias("na")), members.select(F.col("id").alias("ib"), F.col("node_key").alias("nb"))
         p = self.node_links(nodes).join(ma, "na").join(mb, "nb")
         return p.select(F.least("ia", "ib").alias("chunk_id_a"), F.greatest("ia", "ib").alias("chunk_id_b"), "similarity").distinct()
+
+    def links(self, df: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+        """(links: keep_id_a < keep_id_b and similarity between the representatives of distinct texts; members: id, keep_id, the smallest id of the
+        records with the same text). Nulls and empty tables as for pairs."""
+        nodes, members = self.nodes(df, id_col)
+        kept = stage(members.groupBy("node_key").agg(F.min("id").alias("keep_id")), "kept")
+        of = members.join(kept, "node_key").select("id", "keep_id").distinct()
+        ka, kb = kept.select(F.col("node_key").alias("na"), F.col("keep_id").alias("ka")), kept.select(F.col("node_key").alias("nb"), F.col("keep_id").alias("kb"))
+        p = self.node_links(nodes).join(ka, "na").join(kb, "nb")
+        return p.select(F.least("ka", "kb").alias("keep_id_a"), F.greatest("ka", "kb").alias("keep_id_b"), "similarity"), of
+
+    def groups(self, df: DataFrame, id_col: str = "id") -> DataFrame:
+        """One row per record that takes part: id, keep_id (its text's representative), group_id (the smallest id that can be reached over
+        links) and links (the number of texts that its text is linked with)."""
+        links, members = self.links(df, id_col)
+        links = stage(links, "textlinks")
+        ends = links.select(F.col("keep_id_a").alias("node")).unionByName(links.select(F.col("keep_id_b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+        roots = components(links.select(F.col("keep_id_a").alias("a"), F.col("keep_id_b").alias("b")))
+        of = roots.join(ends, "node").withColumnRenamed("node", "keep_id")
+        r = members.join(of, "keep_id", "left")
+        return r.select("id", "keep_id", F.coalesce("root", "keep_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

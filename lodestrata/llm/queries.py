@@ -38,6 +38,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return links.pairs(live(load(spark, d, "code_chunks"))).select("chunk_id_a", "chunk_id_b")
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.NearCopies(threshold=0.6, shingle=3, least_words=20).groups(live(load(spark, d, "code_chunks")))
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.NearCopies(threshold=0.6, shingle=3, least_words=20).links(live(load(spark, d, "code_chunks")))[0]
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.Neighbours().neighbours(load(spark, d, "embeddings_partitioned")).select("id", "neighbour_id")
 
@@ -84,7 +92,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_assigned(spark, d), load(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flows, p2_found, p2_counts, p3_found, p4_found, p5_found, p6_found, p6_rates, p8_found, p8_items, p9_found, p9_shares, p9_mix, p10_found, p10_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flows, p2_found, p2_counts, p3_found, p4_found, p4_groups, p4_links, p5_found, p6_found, p6_rates, p8_found, p8_items, p9_found, p9_shares, p9_mix, p10_found, p10_composition)}
 
 _FLOWS = """
 WITH best AS (

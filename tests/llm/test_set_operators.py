@@ -104,11 +104,37 @@ def test_near_copies_equal_brute_force(spark, wide):
     assert len(want) > 20 and ("l1", "l2") in want and got <= want and len(want - got) <= 0.02 * len(want)
     assert op.pairs(df.limit(0)).count() == 0
     nodes, _ = op.nodes(df)
+    assert [n for n, _, _ in op.steps] == list(range(6, 6 - len(op.steps), -1)) and op.steps[-1][2] >= 0.98
     links = {frozenset((r.a, r.b)) for r in op.exact_candidates(nodes).collect()}
     ids = {r.node_key: r.nid for r in nodes.select("nid", "node_key").collect()}
     assert {frozenset((ids[r.na], ids[r.nb])) for r in op.node_links(nodes).select("na", "nb").collect()} <= links
 
 
+def test_near_copies_stop_shortening(spark):
+    """Pairs that are all but equal are found at whole labels; none at all only after the shortest prefix."""
+    w = [[f"w{f}_{k}" for k in range(400)] for f in range(30)]
+    data = [(f"{f:02}{m}", " ".join([*x[: 399 - m], "e"]), "a.go", "Go", "c", 1) for f, x in enumerate(w) for m in range(2)]
+    op = near_copies.NearCopies(0.6, 3, 20)
+    assert op.pairs(spark.createDataFrame(data, CHUNKS)).count() == 30 and op.steps == [(6, 30, pytest.approx(1))]
+    assert op.pairs(spark.createDataFrame(data[::2], CHUNKS)).count() == 0 and [s[0] for s in op.steps] == [6, 5, 4, 3]
+
+
+def test_near_copy_groups(spark):
+    base = [f"w{k}" for k in range(60)]
+    chain = [" ".join([*(f"x{k}" for k in range(n)), *base[n:]]) for n in (0, 8, 16, 24)]  # each near the next only
+    data = [(f"c{n}", t, "a.go", "Go", "c", 1) for n, t in enumerate(chain)] + [("b9", chain[2].upper(), "a.go", "Go", "c", 1), ("z", " ".join(f"q{k}" for k in range(50)), "a.go", "Go", "c", 1), ("s", "short", "a.go", "Go", "c", 1)]
+    df = spark.createDataFrame(data, CHUNKS)
+    op = near_copies.NearCopies(0.6, 3, 20)
+    got = {r.id: (r.keep_id, r.group_id, r.links) for r in op.groups(df).collect()}
+    assert got == {"c0": ("c0", "b9", 1), "c1": ("c1", "b9", 2), "c2": ("b9", "b9", 2), "b9": ("b9", "b9", 2), "c3": ("c3", "b9", 1), "z": ("z", "z", 0)}
+    links, members = op.links(df)
+    assert {(r.keep_id_a, r.keep_id_b) for r in links.collect()} == {("c0", "c1"), ("b9", "c1"), ("b9", "c3")} and members.count() == 6
+    assert op.groups(df.limit(0)).count() == 0
+    edges = spark.createDataFrame([(f"{k:03}", f"{k + 1:03}") for k in range(100)] + [("a", "b"), ("b", "a"), ("c", "c")], "a string, b string")
+    roots = {r.node: r.root for r in near_copies.components(edges).collect()}
+    assert len(roots) == 103 and set(roots.values()) == {"000", "a"} and roots["b"] == "a"
+
+
 def test_forest_depth():
     assert near_copies.forest_depth(0.6, 24, 6, 0.995) == 3 and near_copies.forest_depth(0.9, 24, 6, 0.99) == 6 and near_copies.forest_depth(0.1, 4, 6, 0.99) == 1
 
