@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _SCRATCH: list[str] = []
+_TABLES: dict[str, str] = {}
 #: Bytes in an Arrow batch: rows may hold long texts or blocks of vectors, and a task holds a few batches at a time.
 ARROW_BATCH = "16m"
 
@@ -60,11 +61,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; on a cluster
+    that would be wrong, so it is an error there."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.conf.get("spark.lodestrata.scratch", None)
         if not d:
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             d = "file://" + tempfile.mkdtemp(prefix="lodestrata-scratch-")
             spark.conf.set("spark.lodestrata.scratch", d)
     return d.rstrip("/")
@@ -75,13 +79,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _SCRATCH[-1]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if path in _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH.remove(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables this process has written. Results that still read them must have been written or collected."""
-    jvm = spark.sparkContext._jvm
-    for path in _SCRATCH:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _SCRATCH.clear()
+    for path in list(_SCRATCH):
+        _remove(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete one table that stage or stage_bucketed gave, when all that reads it has been written itself."""
+    folders = {f.rsplit("/", 2)[1] for f in df.inputFiles()[:1]}
+    for path in [p for p in _SCRATCH if p.rsplit("/", 1)[1] in folders]:
+        _remove(df.sparkSession, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -106,8 +122,9 @@ def stage_bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """
     spark = df.sparkSession
     n, name = parallelism(spark), f"lodestrata_{label}_{uuid.uuid4().hex}"
-    placed = df.repartition(n, *keys)
-    placed.write.format("parquet").option("compression", "zstd").bucketBy(n, *keys).option("path", scratch_path(spark, label)).saveAsTable(name)
+    placed, path = df.repartition(n, *keys), scratch_path(spark, label)
+    placed.write.format("parquet").option("compression", "zstd").bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    _TABLES[path] = name
     return spark.table(name)
 
 

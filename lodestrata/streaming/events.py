@@ -32,12 +32,12 @@ def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], ch
 
 
 def collect_deliveries(stream: DataFrame, log: deliveries.DeliveryLog, checkpoint: str, compact_after: int = 8) -> None:
-    """Upsert a stream of deliveries into a log; a micro-batch that is replayed after a failure changes nothing. Runs are merged after every
-    ``compact_after`` of them."""
+    """Upsert a stream of deliveries into a log; a micro-batch that is replayed after a failure, by this process or by another one that has
+    opened the log, changes nothing. Runs are merged after every ``compact_after`` of them."""
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, n: int) -> None:
         rows = deliveries.with_identity(df.filter(F.col("delivery_id").isNotNull()))
-        log.upsert(rows.select(*deliveries.IDENTITY, "received_at", "delivery_id"))
+        log.upsert(rows.select(*deliveries.IDENTITY, "received_at", "delivery_id"), f"{checkpoint}#{n}")
         if log.runs >= compact_after:
             log.compact()
 

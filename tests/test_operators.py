@@ -69,15 +69,75 @@ def test_delivery_log_is_idempotent_and_merges_runs(spark):
     first = {}
     for k, key, *_ in rows:
         first.setdefault(key, k)
-    assert sorted(r.delivery_id for r in log.current().collect()) == sorted(first.values())
-    before = log.runs
-    assert before == 4 and log.compact().runs == 1
+    assert log.runs == 4 and log.compact().runs == 1
     assert sorted(r.delivery_id for r in log.current().collect()) == sorted(first.values())
     plan = log.current()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     log.drop()
 
 
+SECOND = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from lodestrata.operators import deliveries
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", sys.argv[2]).getOrCreate()
+rows = deliveries.with_identity(s.read.parquet(sys.argv[3])).select(*deliveries.IDENTITY, "received_at", "delivery_id")
+log = deliveries.DeliveryLog.open(s, sys.argv[1])
+log.upsert(rows.filter("delivery_id >= 200"), "second")
+log._write(rows.repartition(log.buckets, *deliveries.IDENTITY).selectExpr("id_kind", "id_key", "false unknown", "received_at", "delivery_id - 1000 as delivery_id"))
+import os
+os._exit(9)  # killed before the version that would list the last run
+"""
+
+
+def test_delivery_log_survives_its_process(spark, tmp_path):
+    """A second process opens the log, adds a batch and dies while it writes another one; the first opens what is stored and goes on."""
+    import os
+    import subprocess
+    import sys
+
+    rows = [(k, f"m{k % 50}" if k % 3 else f"n{k}", None, T + dt.timedelta(seconds=1000 - k), "") for k in range(300)]
+    src = spark.createDataFrame(rows, DELIVERIES)
+    src.write.parquet(str(tmp_path / "rows"))
+    df = deliveries.with_identity(src).select(*deliveries.IDENTITY, "received_at", "delivery_id")
+    path = f"file://{tmp_path}/log"
+    log = deliveries.DeliveryLog(spark, path, buckets=3).upsert(df.filter("delivery_id < 250"), "first")
+    log.close()
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", SECOND, path, str(tmp_path / "wh"), str(tmp_path / "rows")], env=os.environ | {"PYTHONPATH": root}, cwd=tmp_path, timeout=300, capture_output=True)
+    assert done.returncode == 9, done.stderr[-500:]
+    log = deliveries.DeliveryLog.open(spark, path)
+    last = {}
+    for k, key, *_ in rows:
+        last[key] = k
+    assert log.buckets == 3 and log.runs == 2 and sorted(r.delivery_id for r in log.current().collect()) == sorted(last.values())
+    for part in ("first", "second"):  # replayed
+        assert log.upsert(df, part).runs == 2
+    plan = log.current()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert log.compact().runs == 1 and sorted(r.delivery_id for r in log.current().collect()) == sorted(last.values())
+    kept = spark.catalog.listTables()
+    log.drop()
+    assert not os.path.exists(tmp_path / "log") and len(spark.catalog.listTables()) == len(kept) - 1
+    with pytest.raises(ValueError):
+        deliveries.DeliveryLog.open(spark, path)
+
+
+def test_staged_tables_are_discarded(spark):
+    import os
+
+    from lodestrata import session
+
+    for write in (lambda x: session.stage(x, "gone"), lambda x: session.stage_bucketed(x, ["k"], "gone")):
+        df = write(spark.range(5).toDF("k"))
+        path, tables = session._SCRATCH[-1], len(spark.catalog.listTables())
+        session.discard(df)
+        assert path not in session._SCRATCH and not os.path.exists(path.removeprefix("file:").replace("//", "/")) and path not in session._TABLES
+        assert len(spark.catalog.listTables()) <= tables
+    session.discard(spark.range(3).toDF("k"))
+
+
 def test_delivery_stream(spark, tmp_path):
     rows = [(k, f"m{k % 7}", None, T + dt.timedelta(seconds=k), "") for k in range(40)]
     df = spark.createDataFrame(rows, DELIVERIES)
