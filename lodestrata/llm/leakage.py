@@ -7,8 +7,9 @@ so any shared run of k + window - 1 words shares a fingerprint. A passage of ``p
 1. Items of any number become rows of word hashes and fingerprints. A Bloom filter of all their runs, of bounded size, is broadcast.
 2. Documents are read once. One that has fewer runs in the filter than any passage keeps has no case and ends there; the filter errs to one
    side only, so a fuller one costs time and never a case.
-3. The fingerprints of what is left are joined with those of the items by a shuffle; fingerprints of very many documents are salted.
-4. Each pair of document and item that shares a fingerprint is extended in both texts as far as the edits allow, which settles it exactly.
+3. The fingerprints of what is left are joined with those of the items by a shuffle, and so are its runs, to count what a document and an item
+   share; hashes of very many documents are salted. A line that many items open with gives many pairs of too few runs, which end here.
+4. Each pair that is left is extended at its fingerprints in both texts as far as the edits allow, which settles it exactly.
 """
 
 from __future__ import annotations
@@ -140,14 +141,14 @@ def _items(k: int, window: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
-            ids, words, prints = [], [], []
+            ids, words, prints, every = [], [], [], []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words_of(text)
                 if len(w) >= passage:
                     h = hashes_of(w, known)
                     runs = run_hashes(h, k)
-                    ids.append(item), words.append(h.tobytes()), prints.append(np.unique(runs[winnow(runs, window)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], names=["item_id", "item_words", "prints"])
+                    ids.append(item), words.append(h.tobytes()), prints.append(np.unique(runs[winnow(runs, window)]).view(np.int64)), every.append(np.unique(runs).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(every, pa.list_(pa.int64()))], names=["item_id", "item_words", "prints", "item_runs"])
 
     return run
 
@@ -166,37 +167,55 @@ def _filter_parts(k: int, bits: int):
     return run
 
 
+def flat_runs(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes of all texts one after the other, where each text begins and the last ends, run hashes, where those begin and end)."""
+    import xxhash
+
+    ids: dict[str, int] = {}
+    flat: list[int] = []
+    starts = [0]
+    for t in texts:
+        flat.extend([ids[w] if w in ids else ids.setdefault(w, len(ids)) for w in words_of(t)])
+        starts.append(len(flat))
+    table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, len(ids))
+    h = table[np.asarray(flat, np.int64)] if flat else np.zeros(0, np.uint64)
+    first = np.asarray(starts, np.int64)
+    count = np.maximum(0, np.diff(first) - k + 1)
+    every = run_hashes(h, k)
+    at = np.repeat(first[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return h, first, every[at] if len(every) else every, np.concatenate(([0], np.cumsum(count)))
+
+
 def _documents(shared, k: int, window: int, passage: int, per_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = shared.value
         need = least_runs(passage, per_edit, k)
-        known: dict[str, int] = {}
         for b in batches:
-            ids, words, prints = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words_of(text)
-                if len(w) < passage - passage // per_edit:
-                    continue
-                h = hashes_of(w, known)
-                runs = run_hashes(h, k)
-                there = in_filter(table, bits, runs)
-                if len(there) < need:
-                    continue
-                may = np.zeros(len(runs), bool)
-                may[there] = True
-                p = winnow(runs, window)
-                ids.append(doc), words.append(h.tobytes()), prints.append(np.unique(runs[p[may[p]]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "doc_words", "prints"])
+            h, first, runs, begins = flat_runs(b.column(1).to_pylist(), k)
+            may = np.zeros(len(runs) + 1, np.int64)
+            may[in_filter(table, bits, runs)] = 1
+            before = np.concatenate(([0], np.cumsum(may)))
+            there = np.nonzero(before[begins[1:]] - before[begins[:-1]] >= need)[0]
+            words, prints, every, times, ends = [], [], [], [], [0]
+            for d in there:
+                mine = slice(begins[d], begins[d + 1])
+                own, ok = runs[mine], may[mine] == 1
+                p = winnow(own, window)
+                words.append(h[first[d] : first[d + 1]].tobytes()), prints.append(np.unique(own[p[ok[p]]]).view(np.int64))
+                u, c = np.unique(own[ok], return_counts=True)
+                every.append(u), times.append(c), ends.append(ends[-1] + len(u))
+            known = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in ((every, pa.uint64()), (times, pa.int64()))], ["hash", "times"])
+            known = pa.StructArray.from_arrays([known.field(0).view(pa.int64()), known.field(1).cast(pa.int32())], ["hash", "times"])
+            known = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), known)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(there)), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int64())), known], names=["doc_id", "doc_words", "prints", "doc_runs"])
 
     return run
 
 
-def longest_passage(item: np.ndarray, doc: np.ndarray, k: int, window: int, passage: int, per_edit: int) -> int:
+def found_passage(item: np.ndarray, doc: np.ndarray, k: int, window: int, passage: int, per_edit: int) -> int:
     """Words of a passage of the item that the document holds, 0 if there is none; both as word hashes. The first hit that extends to
     a passage counts."""
     ri, rd = run_hashes(item, k), run_hashes(doc, k)
-    if np.isin(rd, ri).sum() < least_runs(passage, per_edit, k):
-        return 0
     pi, pd = winnow(ri, window), winnow(rd, window)
     order = np.argsort(ri[pi], kind="stable")
     pi = pi[order]
@@ -220,27 +239,31 @@ def longest_passage(item: np.ndarray, doc: np.ndarray, k: int, window: int, pass
 def _extend(k: int, window: int, passage: int, per_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = [longest_passage(np.frombuffer(i, np.uint64), np.frombuffer(d, np.uint64), k, window, passage, per_edit) for d, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            sizes = [found_passage(np.frombuffer(i, np.uint64), np.frombuffer(d, np.uint64), k, window, passage, per_edit) for d, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             t = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32())], names=["doc_id", "item_id", "words"])
-            yield t.filter(pa.array([n > 0 for n in sizes]))
+            yield t.filter(pa.array([n > 0 for n in sizes], pa.bool_()))
 
     return run
 
 
-def _pairs(docs: DataFrame, items: DataFrame, hot_documents: int) -> DataFrame:
-    """Distinct (row, item_id) that share a fingerprint."""
-    left = docs.select("row", F.explode("prints").alias("fp"))
-    right = items.select("item_id", F.explode("prints").alias("ifp"))
-    hot = stage(left.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_documents).select(F.col("fp").alias("hot")), "hotprints")
+def _meet(docs: DataFrame, items: DataFrame, hot_documents: int) -> DataFrame:
+    """Rows (row, item_id, times): hashes that both have. docs has row, hash and times, items item_id and of_item; hashes of very many documents are salted."""
+    hot = stage(docs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_documents).select(F.col("hash").alias("hot")), "hotprints")
     n_hot = hot.count()
-    if n_hot:
-        side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot
-        left = left.join(side, left.fp == side.hot, "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0))
-        right = right.join(side, right.ifp == side.hot, "left").withColumn("isalt", F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        both = left.join(right, (F.col("fp") == F.col("ifp")) & (F.col("salt") == F.col("isalt")))
-    else:
-        both = left.join(right, F.col("fp") == F.col("ifp"))
-    return both.select("row", "item_id").distinct()
+    if not n_hot:
+        return docs.join(items, F.col("hash") == F.col("of_item")).select("row", "item_id", "times")
+    side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot
+    left = docs.join(side, docs.hash == side.hot, "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0))
+    right = items.join(side, items.of_item == side.hot, "left").withColumn("isalt", F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, (F.col("hash") == F.col("of_item")) & (F.col("salt") == F.col("isalt"))).select("row", "item_id", "times")
+
+
+def _pairs(docs: DataFrame, items: DataFrame, need: int, hot_documents: int) -> DataFrame:
+    """(row, item_id) that share a fingerprint and, counted over all runs, as many as any passage keeps."""
+    by_print = _meet(docs.select("row", F.explode("prints").alias("hash"), F.lit(1).alias("times")), items.select("item_id", F.explode("prints").alias("of_item")), hot_documents)
+    by_run = _meet(docs.select("row", F.explode("doc_runs").alias("r")).select("row", "r.hash", "r.times"), items.select("item_id", F.explode("item_runs").alias("of_item")), hot_documents)
+    many = by_run.groupBy("row", "item_id").agg(F.sum("times").alias("n")).filter(F.col("n") >= need).select("row", "item_id")
+    return by_print.select("row", "item_id").distinct().join(many, ["row", "item_id"])
 
 
 def leaks(documents: DataFrame, items: DataFrame, passage: int = 30, per_edit: int = 10, k: int = 5, window: int = 3, hot_documents: int = HOT_DOCUMENTS, most_filter_bits: int = MOST_FILTER_BITS) -> DataFrame:
@@ -255,7 +278,7 @@ def leaks(documents: DataFrame, items: DataFrame, passage: int = 30, per_edit: i
     spark = documents.sparkSession
     src = documents.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     its = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    its = stage(its.mapInArrow(_items(k, window, passage), "item_id long, item_words binary, prints array<long>"), "items")
+    its = stage(its.mapInArrow(_items(k, window, passage), "item_id long, item_words binary, prints array<long>, item_runs array<long>"), "items")
     runs = its.agg(F.sum(F.length("item_words") / 8)).first()[0] or 0
     bits = 1 << max(10, min(most_filter_bits.bit_length() - 1, int(FILTER_BITS * runs).bit_length()))
     table = np.zeros(bits // 8, np.uint8)
@@ -263,9 +286,9 @@ def leaks(documents: DataFrame, items: DataFrame, passage: int = 30, per_edit: i
     for r in its.select("item_words").coalesce(8).mapInArrow(_filter_parts(k, bits), "part binary").toLocalIterator():
         table |= np.frombuffer(r.part, np.uint8)
     shared = spark.sparkContext.broadcast((table, bits))
-    docs = spread(src).mapInArrow(_documents(shared, k, window, passage, per_edit), "doc_id long, doc_words binary, prints array<long>")
+    docs = spread(src).mapInArrow(_documents(shared, k, window, passage, per_edit), "doc_id long, doc_words binary, prints array<long>, doc_runs array<struct<hash: long, times: int>>")
     docs = stage(docs.withColumn("row", F.xxhash64("doc_id", "doc_words")), "suspects")
-    pairs = _pairs(docs, its, hot_documents)
+    pairs = stage(_pairs(docs, its, least_runs(passage, per_edit, k), hot_documents), "leakpairs")
     d = docs.select(F.col("row").alias("drow"), "doc_id", "doc_words")
     # an item may be in a third of all documents: its rows are dealt out by document
     salted = its.select(F.col("item_id").alias("iid"), "item_words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("isalt"))
