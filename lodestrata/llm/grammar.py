@@ -13,7 +13,9 @@ from .lexing import CODE
 
 _GROUP = 0xF0000
 _LIMIT = 60_000
-#: Frames a parse may use: nesting of some thousand levels. Frames of Python functions take no C stack.
+#: Groups within groups that are parsed in one go; deeper ones are put off and parsed first. So nesting has no limit.
+_DEEP = 200
+#: Frames of Python functions take no C stack; chains without brackets (else if) take a few for each of their tokens.
 _FRAMES = 50_000
 
 PACKAGE, IMPORT, DECLARATION = 1, 2, 4
@@ -27,6 +29,10 @@ class Unbalanced(Exception):
     pass
 
 
+class _PutOff(Exception):
+    """A group that lies too deep to be parsed within its surroundings; its key is the argument."""
+
+
 class Grammar:
     """Common part: groups, expressions. Parse functions take (s, i) and return the next position, or -1."""
 
@@ -38,7 +44,9 @@ class Grammar:
     def __init__(self) -> None:
         self.groups: list[tuple[str, str]] = []
         self.numbers: dict[tuple[str, str], int] = {}
-        self.known: dict[tuple[str, str], bool] = {}
+        self.known: dict[tuple[str, str, bool], bool] = {}
+        self.depth = 0
+        self.ambient = False  # within a declaration that gives types only
         self.names = "i" + self.soft
         self.anyname = set(self.names) | {c for c in CODE.values()}
 
@@ -86,10 +94,14 @@ class Grammar:
 
     def whole(self, role: str, content: str) -> bool:
         """Does the content as a whole match the method of that name?"""
-        key = role, content
+        key = role, content, self.ambient
         got = self.known.get(key)
         if got is None:
+            if self.depth >= _DEEP:
+                raise _PutOff(key)
+            self.depth += 1
             got = self.known[key] = bool(getattr(self, role)(content))
+            self.depth -= 1
         return got
 
     def group(self, s: str, i: int, bracket: str, role: str) -> int:
@@ -226,12 +238,21 @@ class Grammar:
         if "E" in tokens:
             return None
         self.fresh()
-        if sys.getrecursionlimit() < _FRAMES:
-            sys.setrecursionlimit(_FRAMES)
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), _FRAMES, 12 * len(tokens)))
         try:
-            return self.top(self.fold(tokens))
-        except (Unbalanced, RecursionError):
+            text = self.fold(tokens)
+        except Unbalanced:
             return None
+        first: list[tuple[str, str, bool]] = []  # groups that were put off, innermost last
+        while True:
+            self.depth, self.ambient = 0, first[-1][2] if first else False
+            try:
+                if not first:
+                    return self.top(text)
+                self.known[first[-1]] = bool(getattr(self, first[-1][0])(first[-1][1]))
+                first.pop()
+            except _PutOff as e:
+                first.append(e.args[0])
 
     def top(self, s: str) -> int | None:
         raise NotImplementedError
@@ -596,6 +617,10 @@ class Script(Grammar):
         if c == self.ASYNC:
             if self.at(s, i + 1) == self.FUNCTION:
                 return self.function(s, i + 1)
+            if self.typed and self.at(s, i + 1) == "<":
+                j = self.type_params(s, i + 1)
+                if j > 0 and self.kind(s, j) == "(" and self.arrow_after(s, j + 1):
+                    return self.arrow_body(s, self.arrow_after(s, j + 1)) if self.whole("params", self.content(s, j)) else -1
             if self.kind(s, i + 1) == "(" and self.arrow_after(s, i + 2) or self.at(s, i + 1) and s[i + 1] in self.names and self.at(s, i + 2) == "r":
                 i, c = i + 1, s[i + 1]
         if c in self.names:
@@ -670,6 +695,11 @@ class Script(Grammar):
         if c == "x" and j == i:
             return i + 1
         if self.typed:
+            if c == "<" and j == i:
+                n = self.type_args(s, i)
+                if n > 0 and self.kind(s, n) == "(":
+                    return self.group(s, n, "(", "args")
+                return n if n > 0 and (n >= len(s) or s[n] in "t;,.)\n") else i
             if c == "!" and j == i and self.at(s, i + 1) not in ("=", "i", "s", "n"):
                 return i + 1
             if c and c in self.casts and j == i:
@@ -725,7 +755,7 @@ class Script(Grammar):
         """(params) body, with type parameters and a result type where typed."""
         if self.typed and self.at(s, i) == "<":
             i = self.type_params(s, i)
-        i = self.group(s, i, "(", "params") if i > 0 else -1
+        i = self.group(s, i, "(", "params") if i >= 0 else -1
         if i > 0 and self.typed and self.at(s, i) == ":":
             i = self.type(s, i + 1)
         if i < 0:
@@ -933,7 +963,7 @@ class Script(Grammar):
         if c in (self.CONST, self.VAR) or c == self.LET and self.at(s, i + 1) and (s[i + 1] in self.names or self.kind(s, i + 1) in ("[", "{") and self.kind(s, i + 1)):
             if c == self.CONST and self.typed and self.at(s, i + 1) == self.ENUM:
                 return self.statement(s, i + 1)
-            return self.finish(s, self.declarators(s, i + 1, c == self.CONST))
+            return self.finish(s, self.declarators(s, i + 1, c == self.CONST and not self.ambient))
         if c == self.FUNCTION or c == self.ASYNC and self.at(s, i + 1) == self.FUNCTION:
             j = i + 1 if c == self.ASYNC else i
             k = j + 2 if self.at(s, j + 1) == "*" else j + 1
@@ -1019,9 +1049,17 @@ class Script(Grammar):
     def specifiers(self, c: str) -> bool:
         return self.list_of(c, self.specifier)
 
+    def source(self, s: str, i: int) -> int:
+        """The name of a module at i, with import attributes."""
+        if self.at(s, i) != "s":
+            return -1
+        return self.group(s, i + 2, "{", "object") if self.at(s, i + 1) == self.WITH else i + 1
+
+    WITH = _k("with")
+
     def import_(self, s: str, i: int) -> int:
         if self.at(s, i) == "s":
-            return i + 1
+            return self.source(s, i)
         if self.typed and self.at(s, i) == self.TYPE and self.at(s, i + 1) != self.FROM and self.at(s, i + 1) != ",":
             i += 1
         got = False
@@ -1038,9 +1076,7 @@ class Script(Grammar):
                 i += 3
             else:
                 return -1
-        if i < 0 or self.at(s, i) != self.FROM or self.at(s, i + 1) != "s":
-            return -1
-        return i + 2
+        return self.source(s, i + 1) if i > 0 and self.at(s, i) == self.FROM else -1
 
     TYPE = _k("type")
 
@@ -1062,13 +1098,15 @@ class Script(Grammar):
         if self.kind(s, i) == "{":
             i = self.group(s, i, "{", "specifiers")
             if i > 0 and self.at(s, i) == self.FROM:
-                i = i + 2 if self.at(s, i + 1) == "s" else -1
+                i = self.source(s, i + 1)
             return self.finish(s, i)
         if c == "*":
             i += 1
             if self.at(s, i) == self.AS:
                 i += 2
-            return self.finish(s, i + 2) if self.at(s, i) == self.FROM and self.at(s, i + 1) == "s" else -1
+            return self.finish(s, self.source(s, i + 1)) if self.at(s, i) == self.FROM else -1
+        if self.typed and c == self.AS and self.at(s, i + 1) == self.NAMESPACE:
+            return self.finish(s, i + 3 if self.at(s, i + 2) and s[i + 2] in self.names else -1)
         if self.typed and c == "=":
             return self.finish(s, self.expr(s, i + 1))
         if c and c in (self.CONST, self.LET, self.VAR, self.FUNCTION, self.CLASS) or c == self.ASYNC:
@@ -1126,7 +1164,7 @@ class Typed(Script):
                     if i < 0 or mark and self.at(s, j) != mark:
                         return -1
                 return i
-            elif c == self.IS:
+            elif c == self.IS and c:
                 i = self.skip(s, j + 1)
             else:
                 return i
@@ -1136,13 +1174,18 @@ class Typed(Script):
         return j > 0 and self.at(s, self.skip(s, j)) == "?"
 
     def type_operand(self, s: str, i: int) -> int:
+        infers = False
         while self.at(s, i) and s[i] in (self.KEYOF, self.TYPEOF, self.INFER, self.UNIQUE, self.READONLY, self.ASSERTS, self.NEW, self.ABSTRACT) and self.at(s, i + 1) and s[i + 1] not in ",;=|&>)\n:":
-            i += 1
+            infers, i = s[i] == self.INFER, i + 1
         c = self.at(s, i)
+        if infers and c and c in self.names:
+            # a constraint, unless the word belongs to a conditional type around it
+            j = self.type_operand(s, self.skip(s, i + 2)) if self.at(s, i + 1) == self.EXTENDS else -1
+            return j if j > 0 and self.at(s, self.skip(s, j)) != "?" else i + 1
         if c == "-" and self.at(s, i + 1) == "n":
             i += 2
-        elif c and (c in self.names or c in "nst" or c == CODE["void"]):
-            i += 1
+        elif c and (c in self.names or c in "nst" or c == CODE["void"] or c == self.IMPORT and self.kind(s, i + 1) == "("):
+            i += 2 if c == self.IMPORT else 1
             while self.at(s, i) == "." and self.at(s, i + 1) and s[i + 1] in self.anyname:
                 i += 2
             if self.at(s, i) == "<":
@@ -1213,8 +1256,8 @@ class Typed(Script):
             i = self.skip(s, i + 1)
             if self.at(s, i) == ">" and i > first + 1:
                 return i + 1
-            if self.at(s, i) == self.CONST:
-                i += 1
+            while self.at(s, i) in (self.CONST, self.IN) or self.at(s, i) == "i" and self.at(s, i + 1) and s[i + 1] in self.names:
+                i += 1  # const, in, out
             if not self.at(s, i) or s[i] not in self.names:
                 return -1
             i += 1
@@ -1229,6 +1272,8 @@ class Typed(Script):
                 return -1
 
     def type_member(self, s: str, i: int) -> int:
+        if self.at(s, i) in ("+", "-") and self.at(s, i + 1) == self.READONLY:
+            i += 1
         while self.at(s, i) and s[i] in self.modifiers + self.GET + self.SET and self.at(s, i + 1) and s[i + 1] not in ":?(;,\n<" and self.kind(s, i + 1) != "(":
             i += 1
         if self.at(s, i) in ("+", "-") and self.at(s, i):
@@ -1297,7 +1342,10 @@ class Typed(Script):
         if c == self.DECLARE and n and n not in "=.;\n,:" and self.kind(s, i + 1) == "":
             if n in (self.CONST, self.LET, self.VAR):
                 return self.finish(s, self.declarators(s, i + 2, False))
-            return self.statement(s, i + 1)
+            outer, self.ambient = self.ambient, True
+            j = self.block(s, i + 2) if n == "i" and self.kind(s, i + 2) == "{" else self.statement(s, i + 1)  # declare global
+            self.ambient = outer
+            return j
         if c in (self.NAMESPACE, self.MODULE) and n and (n in self.names or n == "s"):
             i += 2
             while self.at(s, i) == "." and self.at(s, i + 1):
@@ -1308,7 +1356,7 @@ class Typed(Script):
 
 class Java(Grammar):
     lang = "java"
-    soft = _k("record yield sealed permits var")
+    soft = _k("record yield sealed permits var module open requires exports opens uses provides transitive to with")
     word_ops = ""
 
     (PACK, IMP, CLASS, INTERFACE, ENUM, RECORD, EXTENDS, IMPLEMENTS, PERMITS, THROWS, STATIC, DEFAULT, NEW, INSTANCEOF, IF, ELSE, FOR, WHILE, DO, SWITCH, CASE, TRY, CATCH, FINALLY, RETURN, THROW, BREAK, CONTINUE, ASSERT, SYNC, YIELD, FINAL) = (
@@ -1340,11 +1388,38 @@ class Java(Grammar):
                 i = i + 1 if i > 0 and self.at(s, i) == ";" else -1
             else:
                 flags |= DECLARATION
-                i = self.type_declaration(s, self.mods(s, i))
+                j = self.mods(s, i)
+                i = self.module(s, j) if j >= 0 and self.at(s, j) in (self.OPEN, self.MODULE) else self.type_declaration(s, j)
             if i < 0:
                 return None
         return flags
 
+    MODULE, OPEN, REQUIRES, EXPORTS, OPENS, USES, PROVIDES, TRANSITIVE, TO, WITH = (_k(w) for w in "module open requires exports opens uses provides transitive to with".split())
+
+    def module(self, s: str, i: int) -> int:
+        if s[i] == self.OPEN:
+            i += 1
+        return self.group(s, self.dotted(s, i + 1), "{", "directives") if self.at(s, i) == self.MODULE and self.dotted(s, i + 1) > 0 else -1
+
+    def directives(self, c: str) -> bool:
+        i = 0
+        while i < len(c):
+            k = c[i]
+            if k not in (self.REQUIRES, self.EXPORTS, self.OPENS, self.USES, self.PROVIDES):
+                return False
+            i += 1
+            while k == self.REQUIRES and self.at(c, i) in (self.TRANSITIVE, self.STATIC) and self.at(c, i + 1) not in (";", "."):
+                i += 1
+            i = self.dotted(c, i)
+            if i > 0 and self.at(c, i) == {self.EXPORTS: self.TO, self.OPENS: self.TO, self.PROVIDES: self.WITH}.get(k):
+                i = self.dotted(c, i + 1)
+                while i > 0 and self.at(c, i) == ",":
+                    i = self.dotted(c, i + 1)
+            if i < 0 or self.at(c, i) != ";":
+                return False
+            i += 1
+        return True
+
     def dotted(self, s: str, i: int) -> int:
         if not self.at(s, i) or s[i] not in self.names:
             return -1
@@ -1413,9 +1488,11 @@ class Java(Grammar):
                 i += 1
             else:
                 break
-        while self.kind(s, i) == "[" and not self.content(s, i):
-            i += 1
-        return i
+        while True:
+            j = self.mods(s, i) if self.at(s, i) == "@" and self.at(s, i + 1) != self.INTERFACE else i
+            if j < 0 or self.kind(s, j) != "[" or self.content(s, j):
+                return i
+            i = j + 1
 
     def type_args(self, s: str, i: int) -> int:
         if self.at(s, i + 1) == ">":
@@ -1728,7 +1805,7 @@ class Java(Grammar):
         if c == self.YIELD and self.at(s, i + 1) not in ("=", ".", "a", "x"):
             return self.semi(s, self.expr(s, i + 1))
         j = self.mods(s, i)
-        if j > 0 and self.at(s, j) and (s[j] in (self.CLASS, self.INTERFACE, self.ENUM) or s[j] == self.RECORD and self.at(s, j + 1) == "i" and self.kind(s, j + 2) == "("):
+        if j >= 0 and self.at(s, j) and (s[j] in (self.CLASS, self.INTERFACE, self.ENUM) or s[j] == self.RECORD and self.at(s, j + 1) and s[j + 1] in self.names and self.kind(s, j + 2) in ("(", "") and self.at(s, j + 2) not in ("=", ";", ",", ":")):
             return self.type_declaration(s, j)
         if c in self.names and self.at(s, i + 1) == ":":
             return self.body(s, i + 2)

@@ -13,7 +13,7 @@ import re
 GO_WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
 JAVA_WORDS = (
     "abstract assert break case catch class const continue default do else enum extends final finally for goto if implements import instanceof"
-    " interface native new package private protected public return static strictfp switch synchronized throw throws transient try volatile while record yield sealed permits non-sealed var"
+    " interface native new package private protected public return static strictfp switch synchronized throw throws transient try volatile while record yield sealed permits non-sealed var module open requires exports opens uses provides transitive to with"
 ).split()
 JS_WORDS = (
     "break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof new"
@@ -39,24 +39,27 @@ for _lang, _not in _ONLY.items():
 
 _NUMBER = {
     "go": r"0[xX](?:_?[0-9a-fA-F])+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?i?|0[bB](?:_?[01])+i?|0[oO](?:_?[0-7])+i?|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d+)?i?|\d(?:_?\d)*\.?(?:[eE][+-]?\d+)?i?",
-    "java": r"0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?[fFdD]?|\d[\d_]*\.?(?:[eE][+-]?\d+)?[fFdDlL]?",
+    "java": r"0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?\d+[fFdD]?|0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?[fFdD]?|\d[\d_]*\.?(?:[eE][+-]?\d+)?[fFdDlL]?",
     "js": r"0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*\.?(?:[eE][+-]?\d+)?n?",
 }
 _NUMBER["ts"] = _NUMBER["js"]
 _PLAIN_OCTAL = re.compile(r"0[0-9_]+$")
 
 _DQ, _SQ = r'"(?:[^"\\\n]|\\(?:.|\n))*"', r"'(?:[^'\\\n]|\\(?:.|\n))*'"
-_REGEX = r"(?:(?<=[(,=:\[!&|?{};+*%<>~^\n])|(?<=return)|(?<=typeof)|(?<=case)|(?<=\A))[ \t]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_REGEX_BODY = r"/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_REGEX = r"(?:(?<=[(,=:\[!&|?{};+*%<>~^\n])|(?<=\A)|" + "|".join(rf"(?<=\b{w})" for w in "return typeof case else do in of void delete await yield throw".split()) + rf")[ \t]*{_REGEX_BODY}"
+#: A regular expression after the head of a statement, which ends with a bracket as an operand does.
+_HEAD_REGEX = rf"(?P<h>\b(?:if|while|for|with)[ \t]*\((?:[^()'\"`/\n]|\((?:[^()'\"`/\n]|\([^()'\"`/\n]*\))*\))*\)[ \t]*){_REGEX_BODY}"
 _TEMPLATE = r"`(?:[^`\\$]|\\(?:.|\n)|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}`]*\})*\}|`[^`]*`)*\})*`"
 #: Comments and literals; what opens one without closing it comes last.
 _OPAQUE = {
     "go": re.compile(rf"(?P<l>//[^\n]*)|(?P<c>/\*.*?\*/)|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`)|(?P<q>'(?:[^'\\\n]|\\[^\n0-7xuU]|\\[0-7]{{3}}|\\x[0-9a-fA-F]{{2}}|\\u[0-9a-fA-F]{{4}}|\\U[0-9a-fA-F]{{8}})')|(?P<C>/\*.*)|(?P<R>`[^`]*$)|(?P<E>[\"'][^\n]*)", re.S),
     "java": re.compile(rf"(?P<l>//[^\n]*)|(?P<c>/\*.*?\*/)|(?P<s>\"\"\"[ \t]*\n(?:[^\\]|\\.)*?\"\"\"|\"(?:[^\"\\\n]|\\[^\n])*\")|(?P<q>'(?:[^'\\\n]|\\u+[0-9a-fA-F]{{4}}|\\[0-7]{{1,3}}|\\[btnfrs\"'\\])')|(?P<C>/\*.*)|(?P<R>\"\"\"[ \t]*\n.*)|(?P<E>[\"'][^\n]*)", re.S),
-    "js": re.compile(rf"(?P<l>//[^\n]*)|(?P<c>/\*.*?\*/)|(?P<s>{_DQ}|{_SQ})|(?P<t>{_TEMPLATE})|(?P<x>{_REGEX})|(?P<C>/\*.*)|(?P<R>`.*)|(?P<E>[\"'][^\n]*)", re.S),
+    "js": re.compile(rf"(?P<l>//[^\n]*)|(?P<c>/\*.*?\*/)|(?P<s>{_DQ}|{_SQ})|(?P<t>{_TEMPLATE})|(?P<H>{_HEAD_REGEX})|(?P<x>{_REGEX})|(?P<C>/\*.*)|(?P<R>`.*)|(?P<E>[\"'][^\n]*)", re.S),
 }
 _OPAQUE["ts"] = _OPAQUE["js"]
 _CLOSE = {"C": "*/", "R": {"go": "`", "java": '"""', "js": "`", "ts": "`"}}
-_NAME = {lang: re.compile(rf"(?P<n>{num})(?P<bad>[\w$]*)|[^\W\d][\w$]*|\$[\w$]*|#[^\W\d][\w$]*") for lang, num in _NUMBER.items()}
+_NAME = {lang: re.compile(rf"(?P<n>{num})(?P<bad>[\w$]*)|{'non-sealed|' if lang == 'java' else ''}[^\W\d][\w$]*|\$[\w$]*|#[^\W\d][\w$]*") for lang, num in _NUMBER.items()}
 _SPACE = re.compile(r"[ \t\r\f\v\u00a0\ufeff]+")
 _SEMI_AFTER = re.compile(r"([ins)\]}x" + CODE["return"] + CODE["break"] + CODE["continue"] + CODE["fallthrough"] + r"])\n")
 _LINES = re.compile(r"\n+")
@@ -78,6 +81,26 @@ def is_data(literal: str) -> bool:
     return len(literal) >= DATA_STRING and _BLANK.search(literal) is None
 
 
+_IN_TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
+_IN_CODE = re.compile(rf"//[^\n]*|/\*[\s\S]*?\*/|{_DQ}|{_SQ}|[`{{}}]")
+
+
+def template_end(text: str, at: int) -> int:
+    """Position after the template that begins there, whatever it nests; -1 if it doesn't end."""
+    open_ = ["`"]
+    at += 1
+    while open_:
+        m = (_IN_TEMPLATE if open_[-1] == "`" else _IN_CODE).search(text, at)
+        if not m:
+            return -1
+        at, w = m.end(), m.group()
+        if w == "`" and open_[-1] == "`" or w == "}":
+            open_.pop()
+        elif w in ("`", "{", "${"):
+            open_.append("`" if w == "`" else "{")
+    return at
+
+
 def lex(text: str, lang: str, state: str = "N") -> tuple[str, str, int, int]:
     """(tokens, exit state, characters of data, characters of code) of a text entered in a state: N normal, C block
     comment, R raw string or template. Data are numbers and encoded strings. Tokens: i name, n number, s string, t template, the codes of words and operators, E an error; for Go semicolons
@@ -92,7 +115,9 @@ def lex(text: str, lang: str, state: str = "N") -> tuple[str, str, int, int]:
         if state == "R":
             literal, lead = at, "s"
         text = text[at + len(close) :]
-    end = "N"
+    elif lang in ("js", "ts") and text.startswith("#!"):
+        text = text[text.find("\n") :] if "\n" in text else ""
+    end, resume = "N", -1
 
     def add(w: str) -> None:
         nonlocal literal, named
@@ -102,7 +127,7 @@ def lex(text: str, lang: str, state: str = "N") -> tuple[str, str, int, int]:
             named += len(w)
 
     def opaque(m: re.Match) -> str:
-        nonlocal literal, end
+        nonlocal literal, end, resume
         kind = m.lastgroup
         if kind == "l":
             return ""
@@ -111,7 +136,15 @@ def lex(text: str, lang: str, state: str = "N") -> tuple[str, str, int, int]:
         if kind == "C":
             end = "C"
             return " "
+        if kind == "H":
+            add(m.group()[len(m.group("h")) :])
+            return m.group("h") + "\x02"
         if kind == "R":
+            at = template_end(m.string, m.start()) if lang in ("js", "ts") else -1
+            if at > 0:
+                resume = at
+                add(m.group()[: at - m.start()])
+                return "\x03"
             end = "R"
             literal += len(m.group())
             return ""
@@ -121,6 +154,10 @@ def lex(text: str, lang: str, state: str = "N") -> tuple[str, str, int, int]:
         return "\x03" if kind == "t" else "\x02"
 
     t = _OPAQUE[lang].sub(opaque, text)
+    while resume > 0:
+        # the pattern gave up at a template of many levels and took all that follows; a name stands for the template
+        text, resume = "i" + text[resume:], -1
+        t += _OPAQUE[lang].sub(opaque, text)[1:]
     words = _TABLE[lang]
 
     def name(m: re.Match) -> str:

@@ -1,17 +1,18 @@
 """Source files that do not parse, per file and as rates.
 
-1. Every chunk is parsed on its own by the grammar of its language (grammar, the Python and JSON parsers). It yields what the chunk holds
-   (package clause, imports, declarations) and a summary: its lexer-state map and the brackets left open or unmatched.
-2. Summaries are reduced associatively, to segments of files and then to files: chunks that parse alone make a valid file if the parts come in order; for the others
-   the composed state map shows whether the file ends inside a comment or literal or leaves brackets unbalanced, which settles it.
-3. Only files whose pieces balance but don't parse alone are put together and parsed as a whole.
+1. Every chunk is lexed once, to a map from the lexer's state at its start (code, comment, raw string) to that at its end with the brackets left open or
+   unmatched, and to tokens. What leaves nothing open is parsed as statements by the local grammar of its language (grammar, layout), which tells
+   what the chunk holds (package clause, imports, declarations).
+2. These summaries are reduced associatively, in order: within each range partition as they stream by, then over the partitions that a file spans. Chunks that parse alone
+   make a valid file if the parts come in order; for the others the composed map shows whether the file ends inside a comment or literal or leaves brackets
+   unbalanced, which settles it.
+3. Only files that balance but whose chunks don't parse alone are put together and parsed as a whole. That text has to fit into a task.
+
+What the grammar of Python rejects is confirmed by Python's own parser.
 """
 
 from __future__ import annotations
 
-import ast
-import json
-import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,55 +20,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread, stage
-from . import lexing
+from ..session import parallelism, spread, stage
+from . import layout, lexing
 from .grammar import GRAMMARS, IMPORT, PACKAGE
 from .origin import extension
 
 LANGUAGES = {"go": "go", "py": "py", "js": "js", "ts": "ts", "java": "java", "json": "json"}
 _VALID, _INVALID, _WHOLE = 0, 1, 2
 _PARSERS: dict[str, object] = {}
+#: Files to be parsed as a whole that are broadcast at most, about 100 bytes each.
+MAX_BROADCAST_FILES = 200_000
 
 
-def _reject(name: str) -> None:
-    raise ValueError(name)
-
-
-def python_valid(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("\ufeff"))
-    except (SyntaxError, ValueError):
-        return False
-    except (RecursionError, MemoryError):
-        return True  # deeper than the parser goes: not known to be wrong
-    return True
+def lexed(text: str, lang: str, state: str = "N") -> tuple[str, str, bool]:
+    """(tokens, exit state, may they be valid?)"""
+    if lang == "py":
+        return layout.python_tokens(text.removeprefix("\ufeff"), state)
+    if lang == "json":
+        return layout.json_tokens(text), "N", True
+    tokens, end, _, _ = lexing.lex(text, lang, state)
+    return tokens, end, True
 
 
-def json_valid(text: str) -> bool:
-    try:
-        json.loads(text, parse_constant=_reject)
-    except ValueError:
-        return False
-    except RecursionError:
-        return True
-    return True
+def statements(tokens: str, text: str, lang: str) -> int | None:
+    """Flags of what tokens that leave nothing open hold; None if they aren't whole statements."""
+    if lang == "json":
+        return 0 if layout.json_value(tokens) else None
+    g = _PARSERS.get(lang)
+    if g is None:
+        g = _PARSERS[lang] = layout.Python() if lang == "py" else GRAMMARS[lang]()
+    return (0 if g.valid(tokens) else None) if lang == "py" else g.valid(tokens)
 
 
 def parts(text: str, lang: str) -> int | None:
     """Flags of what a text of whole declarations holds; None if it doesn't parse on its own."""
-    if lang == "py":
-        return 0 if python_valid(text) else None
-    if lang == "json":
-        return 0 if json_valid(text) else None
-    tokens, end, _, _ = lexing.lex(text, lang)
-    if end != "N":
-        return None
-    g = _PARSERS.get(lang)
-    if g is None:
-        g = _PARSERS[lang] = GRAMMARS[lang]()
-    return g.valid(tokens)
+    tokens, end, may = lexed(text, lang)
+    flags = statements(tokens, text, lang) if may and end == "N" else None
+    if flags is None and lang == "py" and layout.parses(text.removeprefix("\ufeff")):
+        return 0
+    return flags
 
 
 def file_valid(text: str, lang: str) -> bool:
@@ -76,10 +67,8 @@ def file_valid(text: str, lang: str) -> bool:
     return flags is not None and (lang != "go" or bool(flags & PACKAGE))
 
 
-#: Lines in one segment of a file: its chunks are reduced first, then the segments.
-SEGMENT_LINES = 20_000
 #: What is known of consecutive chunks: their number, whether any doesn't parse alone, the parts seen, whether these are in order,
-#: the encoded state map ('' for Python and JSON).
+#: the encoded state map.
 Summary = tuple[int, bool, int, bool, str]
 
 
@@ -87,8 +76,7 @@ def join(a: Summary, b: Summary) -> Summary:
     """The summary of two stretches of a file one after the other; associative. In order means: a package clause only at the start,
     imports before declarations."""
     clash = b[2] & PACKAGE and a[2] or b[2] & IMPORT and a[2] & ~(PACKAGE | IMPORT)
-    both = _encode(lexing.combine(_decode(a[4]), _decode(b[4]))) if a[4] and b[4] else ""
-    return a[0] + b[0], a[1] or b[1], a[2] | b[2], a[3] and b[3] and not clash, both
+    return a[0] + b[0], a[1] or b[1], a[2] | b[2], a[3] and b[3] and not clash, _encode(lexing.combine(_decode(a[4]), _decode(b[4])))
 
 
 def _encode(m: dict[str, tuple[str, str]]) -> str:
@@ -99,13 +87,23 @@ def _decode(s: str) -> dict[str, tuple[str, str]]:
     return {x[0]: (x[1], x[2:]) for x in s.split("|")}
 
 
+#: States that a language's lexer can be in besides N, with what ends them.
+_STATES = {"py": layout.CLOSE, "json": {}, "go": {"C": "*/", "R": "`"}, "java": {"C": "*/", "R": '"""'}, "js": {"C": "*/", "R": "`"}, "ts": {"C": "*/", "R": "`"}}
+
+
 def chunk_summary(text: str, lang: str) -> Summary:
-    f = parts(text, lang)
-    if lang in ("py", "json"):
-        return 1, f is None, 0, True, ""
-    # a chunk that parses leaves nothing open; from the other states only a closing delimiter matters
-    plain = f is not None and "*/" not in text and "`" not in text and '"""' not in text
-    return 1, f is None, f or 0, True, "NN|CC|RR" if plain else _encode(lexing.state_map(text, lang))
+    tokens, end, may = lexed(text, lang)
+    states = {"N": (end, lexing.bracket_summary(tokens))}
+    for state, close in _STATES[lang].items():
+        if close in text:
+            t, e, _ = lexed(text, lang, state)
+            states[state] = e, lexing.bracket_summary(t)
+        else:
+            states[state] = state, ""  # all of it is comment or literal
+    flags = statements(tokens, text, lang) if may and states["N"] == ("N", "") else None
+    if flags is None and lang == "py" and layout.parses(text.removeprefix("\ufeff")):
+        flags, states["N"] = 0, ("N", "")
+    return 1, flags is None, flags or 0, True, _encode(states)
 
 
 _FIELDS = ["n", "bad", "seen", "ordered", "summary"]
@@ -124,12 +122,28 @@ def _chunk_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(k) for k in (0, 1, 2, 3, 5)] + _columns(got), names=["repository_id", "file_path", "start_line", "id", "ext", *_FIELDS])
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduces the ordered list in the last column to one summary."""
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduces the chunks of each file as they come in order: one row per file that the partition holds a part of, with its first chunk's place."""
+    key, place, got = None, None, None
     for b in batches:
-        last = b.num_columns - 1
-        got = [reduce(join, (tuple(x[f] for f in _FIELDS) for x in c)) for c in b.column(last).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(k) for k in range(last)] + _columns(got), names=[*b.schema.names[:last], *_FIELDS])
+        done = []
+        for repo, path, line, i, ext, *summary in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
+            if (repo, path, ext) == key:
+                got = join(got, tuple(summary))
+            else:
+                if key:
+                    done.append((key, place, got))
+                key, place, got = (repo, path, ext), (line, i), tuple(summary)
+        if done:
+            yield _part_rows(done)
+    if key:
+        yield _part_rows([(key, place, got)])
+
+
+def _part_rows(done: list) -> pa.RecordBatch:
+    keys = [pa.array([k[n] for k, _, _ in done], pa.string()) for n in range(3)]
+    places = [pa.array([p[0] for _, p, _ in done], pa.int32()), pa.array([p[1] for _, p, _ in done], pa.string())]
+    return pa.RecordBatch.from_arrays([*keys, *places, *_columns([s for _, _, s in done])], names=["repository_id", "file_path", "ext", "start_line", "id", *_FIELDS])
 
 
 def verdict(ext: str, s: Summary) -> int:
@@ -141,12 +155,13 @@ def verdict(ext: str, s: Summary) -> int:
         return _VALID if in_order and (lang != "go" or seen & PACKAGE) else _INVALID
     if n == 1:
         return _INVALID
-    return _WHOLE if lang in ("py", "json") or _decode(states)["N"] == ("N", "") else _INVALID
+    return _WHOLE if _decode(states)["N"] == ("N", "") else _INVALID
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _joined(batches):
-        v = [verdict(e, s) for e, *s in zip(*(b.column(k).to_pylist() for k in range(2, 8)))]
+    for b in batches:
+        whole = [reduce(join, (tuple(x[f] for f in _FIELDS) for x in c)) for c in b.column(3).to_pylist()]
+        v = [verdict(e, s) for e, s in zip(b.column(2).to_pylist(), whole)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(v, pa.int32())], names=["repository_id", "file_path", "ext", "verdict"])
 
 
@@ -168,15 +183,15 @@ def file_verdicts(chunks: DataFrame) -> DataFrame:
     """
     src = chunks.select("repository_id", "file_path", F.col("start_line").cast("int").alias("start_line"), F.col("id").cast("string").alias("id"), "content", extension(F.col("file_path")).alias("ext"))
     src = src.filter(F.col("repository_id").isNotNull() & F.col("ext").isin(list(LANGUAGES)))
-    s = spread(src).mapInArrow(_chunk_summaries, f"repository_id string, file_path string, start_line int, id string, ext string, {_SUMMARY}")
-    file = ["repository_id", "file_path", "ext"]
-    segment = F.floor(F.coalesce("start_line", F.lit(0)) / SEGMENT_LINES).alias("segment")
-    parted = s.groupBy(*file, segment).agg(F.sort_array(F.collect_list(F.struct("start_line", "id", *_FIELDS))).alias("c"))
-    parted = parted.mapInArrow(_joined, f"repository_id string, file_path string, ext string, segment long, {_SUMMARY}")
-    by_file = parted.groupBy(*file).agg(F.sort_array(F.collect_list(F.struct("segment", *_FIELDS))).alias("c"))
+    s = stage(spread(src).mapInArrow(_chunk_summaries, f"repository_id string, file_path string, start_line int, id string, ext string, {_SUMMARY}"), "summaries")
+    order = ["repository_id", "file_path", "ext", "start_line", "id"]
+    s = s.repartitionByRange(parallelism(s.sparkSession), *order).sortWithinPartitions(*order)
+    parted = s.mapInArrow(_streamed, f"repository_id string, file_path string, ext string, start_line int, id string, {_SUMMARY}")
+    # a file has at most as many parts as there are partitions
+    by_file = parted.groupBy("repository_id", "file_path", "ext").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", *_FIELDS))).alias("c"))
     first = stage(by_file.mapInArrow(_verdicts, _RESULT), "verdicts")
     open_ = first.filter(F.col("verdict") == _WHOLE).select("repository_id", "file_path")
-    texts = src.join(open_, ["repository_id", "file_path"], "left_semi")
+    texts = src.join(F.broadcast(open_) if open_.count() <= MAX_BROADCAST_FILES else open_, ["repository_id", "file_path"], "left_semi")
     texts = texts.groupBy("repository_id", "file_path", "ext").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", "content"))).alias("c"))
     second = texts.select("repository_id", "file_path", "ext", F.col("c.content").alias("texts")).mapInArrow(_parse_whole, _RESULT)
     both = first.filter(F.col("verdict") != _WHOLE).unionByName(second)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import grammar, leakage, lexing, origin, subjects, syntax
+from lodestrata.llm import layout, leakage, lexing, origin, subjects, syntax
 
 GO = 'package p\n\nimport (\n\t"a/b"\n\tx "c"\n)\n\ntype T[K comparable, V any] struct {\n\tA, B int `json:"a"`\n\t*Base\n\tm map[string][]chan<- func(int) (string, error)\n}\n\nfunc (t *T[K, V]) Do(a, b int, c ...string) (n int, err error) {\n\tif x, ok := t.m["k"]; ok && len(x) > 0 {\n\t\treturn 1, nil\n\t} else if y := f(c...); y != nil {\n\t\tgo func() { defer t.mu.Unlock() }()\n\t}\n\tfor i := 0; i < 10; i++ {\n\t\tswitch v := z.(type) {\n\t\tcase int, *T:\n\t\t\tcontinue\n\t\tdefault:\n\t\t\tch <- v\n\t\t}\n\t}\n\tfor k, v := range []T{{A: 1}, {2, 3}} {\n\t\tselect {\n\t\tcase r := <-ch:\n\t\t\tuse(r, k, v, s[1:2], \'\\n\', `raw {`)\n\t\t}\n\t}\nloop:\n\tfor {\n\t\tbreak loop\n\t}\n\tvar w = map[string]int{"a": 1,}\n\treturn\n}\n'
 JAVA = '@A(x = 1)\npackage p.q;\nimport static a.b.*;\npublic abstract class C<T extends D & E> extends B<T> implements I, J<?> {\n  private static final int[] X = {1, 2,}, Y[] = null;\n  enum K { A(1) { int f() { return 1; } }, B; int g; }\n  record R(int a, String... b) { R { if (a < 0) throw new X("no"); } }\n  static { init(); }\n  C(int a) throws E1, E2 { this.a = a; super.x(); }\n  public <U> List<Map<String, U[]>> m(final U u, int[] k) {\n    for (int i = 0, j = 1; i < 3; i++, j--) { a[i] += (int) b * -c; }\n    for (var e : list) label: while (true) { if (x instanceof String s && s.isEmpty()) break label; else continue; }\n    try (var r = open(); other) { do { i--; } while (i > 0); } catch (A | B e) { throw e; } finally { }\n    Runnable q = () -> { }; Function<A, B> f2 = (A z) -> z.y, g2 = B::new;\n    int v = switch (k) { case 1, 2 -> 3; case 4 -> { yield 5; } default -> throw new E(); };\n    switch (v) { case 1: case 2: foo(); break; default: }\n    String t = """\n      text "quoted"\n      """;\n    return a ? b : new ArrayList<>() {{ add(1); }};\n  }\n  abstract void n();\n  int @B [] odd() default_;\n}\n'.replace("  int @B [] odd() default_;\n", "")
@@ -222,3 +222,80 @@ def test_subjects_on_held_out_texts(spark):
     none = subjects.train(ddf, ldf.limit(0), sdf, s)
     assert subjects.assign(ddf, none).count() == 0 and subjects.assign(ddf.limit(0), model).count() == 0
     assert subjects.composition(subjects.assign(ddf, model), ddf).count() == 3
+
+
+ACCEPTED = [
+    ("js", "#!/usr/bin/env node\nf()\n"), ("js", "if (a) /x/.test(b)\n"), ("js", "while (f(g(x))) /re[/]/.test(y) && z()\n"), ("js", "const a = (b + c) / d / e;\n"), ("js", 'import x from "./a.json" with { type: "json" };\nexport * from "./b" with { type: "json" };\n'),
+    ("js", "`a ${ {b: `c ${d}`}.b } e` / 2 / `${f({a: {b: {c: {d: `}`}}}})}`\n"), ("js", "else_: for (const q of p) /x/g.exec(q)\n"), ("ts", 'declare module "x" {\n  export function f(a: string): void;\n  const y: number;\n  export default y;\n}\n'),
+    ("ts", "declare global {\n  interface Window { a: string }\n}\nexport {};\n"), ("ts", "class A<in out T, const U> {}\ninterface B<in T, out U> {}\n"), ("ts", 'type A = typeof import("a");\ntype B = import("b").C<string>;\n'), ("ts", "export as namespace Foo;\n"),
+    ("ts", "type A<T> = T extends (infer U extends string)[] ? U : never;\n"), ("ts", "let d = e<string>(f), g = new H<I>(), h = a < b, i = a < (b) ? c : d;\n"), ("ts", "type A = { (a: string): void; new (b: number): A; get d(): string }\ntype B = { -readonly [K in B]-?: C }\n"), ("ts", "const y = async <T>(a: T): Promise<T> => a;\n"),
+    ("java", "public sealed interface S permits A, B {}\nnon-sealed class A implements S {}\n"), ("java", "open module a.b {\n  requires transitive java.base;\n  requires static c;\n  exports a.b.c to d.e, f;\n  opens x.y;\n  uses a.B;\n  provides a.C with a.D, a.E;\n}\n"), ("java", "class A { void f() { class L {} } void g() { record R(int a) {} record = 1; } double d = 0x1.8p1; }\n"),
+    ("java", "class A<@X T> { @X int @Y [] f(@Z A<@W B> this) { return null; } }\n"), ("java", "class A { int open = 1, to, with; void module() { open(); uses.x(to); } }\n"), ("py", "match x:\n    case [1, *_] if y: pass\n    case _:\n        match = case = 1\n"), ("py", "def f[T](a, /, *, b=1) -> T: return f'{a!r:>{b}}'\ntype X = int\n"), ("py", "try: x\nexcept* A as e:\n    pass\nelse:\n    y\nfinally: z\n"),
+    ("py", "if x:\n\ty\nelif z: w\nelse:\n\t@d\n\tasync def f(): await g\n"), ("py", "x = (1,\n2)\nif x: \\\n  y\n"), ("py", 's = f"{x["a"]}"\n'), ("py", "@d\n\n# note\nclass A: pass\n"), ("py", "for x in y:\n    pass\nelse:\n    z\nwith a as b, c: d; e\n"),
+]
+REJECTED = [("js", "<!-- x\n"), ("js", "x = `a${"), ("js", "import x from 'y' with\n"), ("ts", "const x: number;\n"), ("ts", "class A<> {}"), ("java", "struct A { int x; }"), ("java", "module a { int x; }"), ("py", "try:\n    x\ny\n"), ("py", "if x:\ny\n"), ("py", "  x\n"), ("py", "if x:\n    y\n  z\n"), ("py", "else: x\n"), ("py", "@d\nx = 1\n"), ("py", "for x in y: pass\nelif z: w\n"), ("py", "match x:\n    y\n"), ("py", "print 'x'\n"), ("py", "x = 012\n"), ("py", "s = '\\x1'\n"), ("py", "s = b'é'\n"), ("py", "f'{x'\n"), ("py", "x = [1, 2)\n"), ("py", "if x:\n\ty\n        z\n"), ("py", "s = '''a\n")]
+
+
+@pytest.mark.parametrize("lang,text", ACCEPTED)
+def test_sources_that_were_rejected(lang, text):
+    assert syntax.file_valid(text, lang)
+
+
+@pytest.mark.parametrize("lang,text", REJECTED)
+def test_sources_that_stay_rejected(lang, text):
+    assert not syntax.file_valid(text, lang)
+
+
+@pytest.mark.parametrize("lang,head,tail", [("json", "", ""), ("go", "package p\nvar x = ", "\n"), ("java", "class A { int x = ", "; }"), ("js", "x = ", ";"), ("ts", "x = ", ";")])
+def test_nesting_has_no_limit(lang, head, tail):
+    a, b = ("[", "]") if lang == "json" else ("(", ")")
+    n = 100_000
+    assert syntax.file_valid(head + a * n + "1" + b * n + tail, lang)
+    assert not syntax.file_valid(head + a * n + "1" + b * (n - 1) + tail, lang) and not syntax.file_valid(head + a * n + tail, lang)
+    if lang in ("js", "ts", "java"):
+        chain = "if (a) b();" + " else if (a) b();" * 20_000
+        assert syntax.file_valid(chain if lang != "java" else "class A { void f() { " + chain + " } }", lang)
+
+
+def test_json_grammar_equals_the_parser():
+    import json
+
+    def known(t):
+        try:
+            json.loads(t, parse_constant=lambda c: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            return False
+        return True
+
+    rng = random.Random(8)
+    texts = ['{"a": [1, -2.5e3, null, true], "b": {"c": "x\\u00e9\\n", "d": []}, "e": {}}', "[[[]]]", '"s"', " 12 ", "[1, 2", "-", "1.", "01", "+1", "1 2", '{"a" 1}', "{a: 1}", "[,]", "tru", '"\t"', "\ufeff1", "[1]\u00a0", "nul", "s", "v", "[s]", '{"a":1,}', "{1:2}", '"\\q"', "NaN", "[true1]", "1true"]
+    for t in list(texts):
+        for _ in range(80):
+            k = rng.randrange(len(t) + 1)
+            texts.append(t[:k] + rng.choice(["", ",", "[", "]", "}", ":", '"', "1", "e", " ", "\\", "true"]) + t[k + rng.randrange(2) :])
+    for t in texts:
+        assert layout.json_value(layout.json_tokens(t)) == known(t), t
+
+
+def test_python_grammar_accepts_no_more_than_the_parser():
+    import ast
+    import inspect
+
+    rng = random.Random(9)
+    grammar_ = layout.Python()
+    seen = 0
+    for module in (ast, inspect, random, pytest):
+        text = inspect.getsource(module)
+        lines = text.split("\n")
+        for n in range(25):
+            w = list(lines)
+            k = rng.randrange(len(w))
+            if n:
+                w[k] = rng.choice(["", " " + w[k], w[k] + ")", w[k] + ":", w[k].replace(":", "", 1), "else:", "try:", w[k][:-1], "@d"])
+            t = "\n".join(w)
+            tokens, end, may = layout.python_tokens(t)
+            mine = may and end == "N" and grammar_.valid(tokens)
+            assert not mine or layout.parses(t)
+            assert n or mine
+            seen += mine
+    assert seen > 20
