@@ -14,12 +14,14 @@ import warnings
 
 #: What a state of the lexer leaves open: nothing, or a string of three quotes.
 CLOSE = {"D": '"""', "S": "'''"}
-_PREFIXES = {"", "r", "u", "b", "f", "br", "rb", "fr", "rf"}
 _OPAQUE = re.compile(
-    r"(?P<l>#[^\n]*)|(?P<j>\\\r?\n)|(?P<s>(?:\b[A-Za-z]{1,2})?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'))"
-    r"|(?P<D>(?:\b[A-Za-z]{1,2})?\"\"\"[\s\S]*)|(?P<S>(?:\b[A-Za-z]{1,2})?'''[\s\S]*)|(?P<e>[\"'][^\n]*)"
+    r"(?P<l>#[^\n]*)|(?P<j>\\\r?\n)|(?P<s>\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*''')"
+    r"|(?P<D>\"\"\"[\s\S]*)|(?P<S>'''[\s\S]*)|(?P<e>[\"'][^\n]*)"
 )
-_WORD = re.compile(r"(?P<n>0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?P<bad>\w*)|[^\W\d]\w*")
+_PREFIX = re.compile(r"(?i)(?<!\w)(?:br?|rb?|fr?|rf|u)\Z")
+_PREFIXED = re.compile(r"(?i)(?<!\w)(?:br?|rb?|fr?|rf|u)(?=[\x02-\x04])")
+_NAME = re.compile(r"(?<!\w)[^\W\d]\w*")
+_NUMBER = re.compile(r"(?<!\w)(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(\w*)")
 _KEPT = {w: w for w in [*keyword.kwlist, "match", "case", "type", "_"]}
 _BLANKS = re.compile(r"[ \t\f\r]+")
 _SAME = re.compile(r"((?:x|1|\x02|\x02 ?: ?(?:x|1|\x02)) ?, ?)\1+")
@@ -60,9 +62,11 @@ def python_tokens(text: str, state: str = "N") -> tuple[str, str, bool]:
         nonlocal end, known
         kind, w = m.lastgroup, m.group()
         if kind == "s":
-            prefix = w[: min(w.find(q) for q in "\"'" if q in w)].lower()
-            if prefix not in _PREFIXES:
-                known = False
+            prefix = ""
+            if m.string[m.start() - 1 : m.start()].isalpha():
+                before = _PREFIX.search(m.string[max(0, m.start() - 3) : m.start()])
+                prefix = before.group().lower() if before else ""
+                w = prefix + w
             if ("f" in prefix or "r" not in prefix and _ESCAPE.search(w) or "b" in prefix and not w.isascii()) and not parses(w):
                 known = False
             return "\x03" if "b" in prefix else "\x04" if "f" in prefix else "\x02"
@@ -76,13 +80,16 @@ def python_tokens(text: str, state: str = "N") -> tuple[str, str, bool]:
         end = kind
         return ""
 
-    def word(m: re.Match) -> str:
+    def number(m: re.Match) -> str:
         w = m.group()
-        if m.lastgroup is None:
-            return _KEPT.get(w, "x")
-        return "?" if m.group("bad") or len(w) > 1 and w[0] == "0" and _OCTAL.match(w) else "1"
+        return "?" if m.group(1) or len(w) > 1 and w[0] == "0" and _OCTAL.match(w) else "1"
+
+    named = _NAME.sub(_erased, _PREFIXED.sub("", lead + _OPAQUE.sub(opaque, text)))
+    return _NUMBER.sub(number, named), end, known
+
 
-    return _WORD.sub(word, lead + _OPAQUE.sub(opaque, text)), end, known
+def _erased(m: re.Match) -> str:
+    return _KEPT.get(m[0], "x")
 
 
 class _Level:
@@ -180,7 +187,8 @@ def logical_lines(tokens: str) -> list[tuple[tuple[int, int], str]]:
         for b in _BRACKET.findall(line):
             depth += 1 if b in "([{" else -1
         if depth <= 0:
-            out.append((width, _SAME.sub(r"\1", _BLANKS.sub(" ", " ".join(held)))))
+            line = _BLANKS.sub(" ", " ".join(held) if len(held) > 1 else line)
+            out.append((width, _SAME.sub(r"\1", line) if line.count(",") > 2 else line))
             held, depth = [], 0
     if held:
         out.append((width, " ".join(held)))

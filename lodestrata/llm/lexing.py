@@ -47,17 +47,21 @@ _PLAIN_OCTAL = re.compile(r"0[0-9_]+$")
 
 _DQ, _SQ = r'"(?:[^"\\\n]|\\(?:.|\n))*"', r"'(?:[^'\\\n]|\\(?:.|\n))*'"
 _REGEX_BODY = r"/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
-_REGEX = r"(?:(?<=[(,=:\[!&|?{};+*%<>~^\n])|(?<=\A)|" + "|".join(rf"(?<=\b{w})" for w in "return typeof case else do in of void delete await yield throw".split()) + rf")[ \t]*{_REGEX_BODY}"
-#: A regular expression after the head of a statement, which ends with a bracket as an operand does.
-_HEAD_REGEX = rf"(?P<h>\b(?:if|while|for|with)[ \t]*\((?:[^()'\"`/\n]|\((?:[^()'\"`/\n]|\([^()'\"`/\n]*\))*\))*\)[ \t]*){_REGEX_BODY}"
+#: A regular expression follows an operator or opening bracket, which the match takes in (p), or one of a few words.
+_REGEX = r"(?P<p>[(,=:\[!&|?{};+*%<>~^\n][ \t]*)" + _REGEX_BODY
+_WORD_REGEX = "/(?:" + "|".join(rf"(?<=\b{w}{blank}/)" for w in "return typeof case else do in of void delete await yield throw".split() for blank in ("", " ")) + ")" + _REGEX_BODY[1:]
+#: It also follows the head of a statement, which ends with a bracket as an operand does.
+_HEAD_REGEX = rf"(?P<h>[iwf](?:(?<=\bi)f|(?<=\bw)hile|(?<=\bw)ith|(?<=\bf)or)[ \t]*\((?:[^()'\"`/\n]|\((?:[^()'\"`/\n]|\([^()'\"`/\n]*\))*\))*\)[ \t]*){_REGEX_BODY}"
+_AFTER_BRACKET = re.compile(r"\)[ \t]*/(?![/*])")
 _TEMPLATE = r"`(?:[^`\\$]|\\(?:.|\n)|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}`]*\})*\}|`[^`]*`)*\})*`"
 #: Comments and literals; what opens one without closing it comes last.
 _OPAQUE = {
     "go": re.compile(rf"(?P<l>//[^\n]*)|(?P<c>/\*.*?\*/)|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`)|(?P<q>'(?:[^'\\\n]|\\[^\n0-7xuU]|\\[0-7]{{3}}|\\x[0-9a-fA-F]{{2}}|\\u[0-9a-fA-F]{{4}}|\\U[0-9a-fA-F]{{8}})')|(?P<C>/\*.*)|(?P<R>`[^`]*$)|(?P<E>[\"'][^\n]*)", re.S),
     "java": re.compile(rf"(?P<l>//[^\n]*)|(?P<c>/\*.*?\*/)|(?P<s>\"\"\"[ \t]*\n(?:[^\\]|\\.)*?\"\"\"|\"(?:[^\"\\\n]|\\[^\n])*\")|(?P<q>'(?:[^'\\\n]|\\u+[0-9a-fA-F]{{4}}|\\[0-7]{{1,3}}|\\[btnfrs\"'\\])')|(?P<C>/\*.*)|(?P<R>\"\"\"[ \t]*\n.*)|(?P<E>[\"'][^\n]*)", re.S),
-    "js": re.compile(rf"(?P<l>//[^\n]*)|(?P<c>/\*.*?\*/)|(?P<s>{_DQ}|{_SQ})|(?P<t>{_TEMPLATE})|(?P<H>{_HEAD_REGEX})|(?P<x>{_REGEX})|(?P<C>/\*.*)|(?P<R>`.*)|(?P<E>[\"'][^\n]*)", re.S),
 }
-_OPAQUE["ts"] = _OPAQUE["js"]
+_SCRIPT = rf"(?P<l>//[^\n]*)|(?P<c>/\*.*?\*/)|(?P<s>{_DQ}|{_SQ})|(?P<t>{_TEMPLATE})|(?P<x>{_REGEX})|(?P<w>{_WORD_REGEX})|(?P<C>/\*.*)|(?P<R>`.*)|(?P<E>[\"'][^\n]*)"
+_OPAQUE["js"] = _OPAQUE["ts"] = re.compile(_SCRIPT, re.S)
+_WITH_HEADS = re.compile(rf"(?P<H>{_HEAD_REGEX})|{_SCRIPT}", re.S)
 _CLOSE = {"C": "*/", "R": {"go": "`", "java": '"""', "js": "`", "ts": "`"}}
 _NAME = {lang: re.compile(rf"(?P<n>{num})(?P<bad>[\w$]*)|{'non-sealed|' if lang == 'java' else ''}[^\W\d][\w$]*|\$[\w$]*|#[^\W\d][\w$]*") for lang, num in _NUMBER.items()}
 _SPACE = re.compile(r"[ \t\r\f\v\u00a0\ufeff]+")
@@ -136,9 +140,10 @@ def lex(text: str, lang: str, state: str = "N") -> tuple[str, str, int, int]:
         if kind == "C":
             end = "C"
             return " "
-        if kind == "H":
-            add(m.group()[len(m.group("h")) :])
-            return m.group("h") + "\x02"
+        if kind in ("x", "H"):
+            before = m.group("p" if kind == "x" else "h")
+            add(m.group()[len(before) :])
+            return before + "\x02"
         if kind == "R":
             at = template_end(m.string, m.start()) if lang in ("js", "ts") else -1
             if at > 0:
@@ -153,11 +158,17 @@ def lex(text: str, lang: str, state: str = "N") -> tuple[str, str, int, int]:
         add(m.group())
         return "\x03" if kind == "t" else "\x02"
 
-    t = _OPAQUE[lang].sub(opaque, text)
+    pattern = _OPAQUE[lang]
+    if lang in ("js", "ts"):
+        if text[:1] in ("/", " ", "\t"):
+            text = "\n" + text  # what a regular expression may follow
+        if _AFTER_BRACKET.search(text):
+            pattern = _WITH_HEADS
+    t = pattern.sub(opaque, text)
     while resume > 0:
         # the pattern gave up at a template of many levels and took all that follows; a name stands for the template
         text, resume = "i" + text[resume:], -1
-        t += _OPAQUE[lang].sub(opaque, text)[1:]
+        t += pattern.sub(opaque, text)[1:]
     words = _TABLE[lang]
 
     def name(m: re.Match) -> str:
