@@ -80,7 +80,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
-    model = subjects.train(docs, load(spark, d, "subject_labels"), load(spark, d, "subject_areas"), topicless=docs.filter("kind = 'manifest'"))
+    model = subjects.train(docs, load(spark, d, "subject_labels"), load(spark, d, "subject_areas"))
     return subjects.assign(docs, model)
 
 

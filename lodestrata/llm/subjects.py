@@ -2,14 +2,16 @@
 
 A word's vector is the mean of the embeddings of the word and of its character n-grams (hashed into ``buckets`` rows), a
 document's vector is the mean over its words, and each subject has a logistic output of its own, so that a document gets none,
-one or several. Training is data-parallel: in each round every partition takes gradient steps from the shared model on
-its own labelled documents, and the resulting changes are averaged. The labelled rows used are bounded by ``max_labelled``.
+one or several. Training is data-parallel and synchronous: at every step each partition gives the gradient of its labelled documents at the
+shared model, the gradients are summed, weighted by documents, and one step is taken. The labelled rows used are bounded by ``max_labelled``, and so are
+partitions and what a step sends. A text that isn't prose, whose white-space separated parts are hardly ever plain words (lists of files, tables of hashes), has no subject.
 As the outputs are linear in the vectors, scoring needs one row of outputs per distinct word.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +26,7 @@ from ..session import spread, stage
 
 _CAMEL = re.compile(r"([a-zß-öø-ÿ])([A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
+_PLAIN = re.compile(r"(?<!\S)[\"'(]?[^\W\d_]+[.,;:!?)\"']*(?!\S)")
 
 
 def words_of(text: str) -> list[str]:
@@ -33,7 +36,7 @@ def words_of(text: str) -> list[str]:
 
 def word_rows(word: str, buckets: int, low: int, high: int) -> list[int]:
     """Embedding rows of a word: the word itself and its n-grams with word-end marks."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     grams = [w] + [w[i : i + n] for n in range(low, high + 1) for i in range(len(w) - n + 1)]
     return [zlib.crc32(g.encode()) % buckets for g in grams]
 
@@ -44,17 +47,21 @@ class Settings:
     buckets: int = 1 << 16
     low: int = 4
     high: int = 5
-    rounds: int = 4
-    steps: int = 25
-    rate: float = 0.1
+    steps: int = 30
+    rate: float = 0.2
     decay: float = 1e-5
     max_labelled: int = 8_000
-    partitions: int = 6
+    per_partition: int = 1_000
     least_words: int = 8
-    threshold: float = 0.3
+    least_plain: float = 0.2
+    threshold: float = 0.35
     seed: int = 11
 
 
+def is_prose(text: str, s: Settings) -> bool:
+    return len(_PLAIN.findall(text)) >= s.least_plain * len(text.split())
+
+
 @dataclass
 class Model:
     subjects: list[str]
@@ -62,8 +69,9 @@ class Model:
     table: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+
     def scorer(self):
-        """A function from texts to a matrix of probabilities, zeros for texts of too few words; it keeps the outputs
+        """A function from texts to a matrix of probabilities, zeros for texts of too few words and for what isn't prose; it keeps the outputs
         of the words it has seen."""
         s, index, rows = self.settings, {}, []
         known = np.zeros((0, len(self.subjects)), np.float32)
@@ -77,6 +85,8 @@ class Model:
             counts = np.zeros(len(texts), np.int64)
             for k, t in enumerate(texts):
                 words = words_of(t)
+                if len(words) < s.least_words or not is_prose(t, s):
+                    continue
                 counts[k] = len(words)
                 flat.extend([index[w] if w in index else index.setdefault(w, len(index)) for w in words])
             if len(index) > len(known):
@@ -89,7 +99,7 @@ class Model:
                 starts = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
                 out[full] = np.add.reduceat(known[np.asarray(flat, np.int64)], starts) / counts[full][:, None]
             out = 1 / (1 + np.exp(-(out + self.bias)))
-            out[counts < s.least_words] = 0
+            out[counts == 0] = 0
             return out
 
         return score
@@ -140,20 +150,23 @@ class _Batch:
         return g_table, vec.T @ g_word, err.sum(0), loss
 
 
-def _steps(m: Model, b: _Batch) -> None:
-    """Adam steps on one partition's documents, in place."""
-    s = m.settings
-    params = [m.table[b.used].copy(), m.out, m.bias]
-    first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    for t in range(1, s.steps + 1):
-        m.table[b.used] = params[0]
-        grads = list(b.gradients(m)[:3])
+class _Adam:
+    """One step after the other on the sums of gradients; the rate falls in the second half."""
+
+    def __init__(self, m: Model):
+        self.m, self.t = m, 0
+        self.params = [m.table, m.out, m.bias]
+        self.first, self.second = [np.zeros_like(x) for x in self.params], [np.zeros_like(x) for x in self.params]
+
+    def step(self, grads: list[np.ndarray]) -> None:
+        s = self.m.settings
+        self.t += 1
+        rate = s.rate * min(1.0, 2 * (1 - self.t / (s.steps + 1)))
         for k, g in enumerate(grads):
-            g = g + s.decay * params[k] * (k < 2)
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            params[k] -= (s.rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    m.table[b.used] = params[0]
+            g = g + s.decay * self.params[k] * (k < 2)
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.99 * self.second[k] + 0.01 * g * g
+            self.params[k] -= (rate * (self.first[k] / (1 - 0.9**self.t)) / (np.sqrt(self.second[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
 _SEGMENT = re.compile(r"\n+|(?<=[.!?]) ")
@@ -176,66 +189,80 @@ def blends(texts: list[str], labels: list[list[int]], rng: np.random.Generator)
     return more_t, more_l
 
 
-def _local_round(shared, k_subjects: int):
+def _with_blends(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels = [], []
+        texts, labels, part = [], [], 0
         for b in batches:
             texts += b.column(0).to_pylist()
             labels += b.column(1).to_pylist()
-        if not texts:
+            part = b.column(2)[0].as_py() if b.num_rows else part
+        more = blends(texts, labels, np.random.default_rng(seed + part))
+        texts, labels = texts + more[0], labels + more[1]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(labels, pa.list_(pa.int32())), pa.array([part] * len(texts), pa.int32())], names=["text", "ks", "part"])
+
+    return run
+
+
+#: Index arrays of the partitions that a Python worker has seen last; made again from the data where a worker has not.
+_BATCHES: dict[tuple, _Batch] = {}
+
+
+def _gradients(shared, run_id: str, k_subjects: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
         m = shared.value
-        n = len(texts)
-        more = blends(texts, labels, np.random.default_rng(m.settings.seed + n))
-        texts, labels = texts + more[0], labels + more[1]
-        m = Model(m.subjects, m.settings, m.table.copy(), m.out.copy(), m.bias.copy())
-        y = np.zeros((len(texts), k_subjects), np.float32)
-        for d, ks in enumerate(labels):
-            y[d, ks] = 1
-        batch = _Batch(texts, y, m.settings)
-        _steps(m, batch)
-        old = shared.value
-        parts = [batch.used.astype(np.int32).tobytes(), (m.table[batch.used] - old.table[batch.used]).astype(np.float32).tobytes(), (m.out - old.out).astype(np.float32).tobytes(), (m.bias - old.bias).astype(np.float32).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], names=["n", "used", "table", "out", "bias"])
+        key = run_id, tuple(sorted({x for b in got for x in b.column(2).unique().to_pylist()}))
+        batch = _BATCHES.get(key)
+        if batch is None:
+            texts, labels = [t for b in got for t in b.column(0).to_pylist()], [ks for b in got for ks in b.column(1).to_pylist()]
+            y = np.zeros((len(texts), k_subjects), np.float32)
+            for d, ks in enumerate(labels):
+                y[d, ks] = 1
+            while len(_BATCHES) > 3:
+                _BATCHES.pop(next(iter(_BATCHES)))
+            batch = _BATCHES[key] = _Batch(texts, y, m.settings)
+        table, out, bias, _ = batch.gradients(m)
+        parts = [batch.used.astype(np.int32).tobytes(), table.astype(np.float32).tobytes(), out.astype(np.float32).tobytes(), bias.astype(np.float32).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([batch.docs], pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], names=["n", "used", "table", "out", "bias"])
 
     return run
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, settings: Settings | None = None, topicless: DataFrame | None = None) -> Model:
-    """Fit the model on labelled documents, and on ``topicless`` documents (doc_id, text) as examples of none.
+def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, settings: Settings | None = None) -> Model:
+    """Fit the model on labelled documents.
 
-    Null texts and subjects that aren't listed are ignored; a repeated label counts once. At most max_labelled documents of
-    either kind are used, the ones with the smallest hash of doc_id. Without labels the model gives no subject.
+    Null texts and subjects that aren't listed are ignored; a repeated label counts once; the list of subjects is held by the driver. At most max_labelled documents
+    are used, the ones with the smallest hash of doc_id. Without labels the model gives no subject.
     """
     s = settings or Settings()
     spark = documents.sparkSession
-    names = sorted({r[0] for r in subjects.select("subject").filter("subject is not null").distinct().limit(10_000).collect()})
+    names = sorted({r[0] for r in subjects.select("subject").filter("subject is not null").distinct().collect()})
     m = _initial(names, s)
     num = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "subject string, k int")
     lab = labels.join(F.broadcast(num), "subject").groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
-    lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_labelled)
+    lab = stage(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_labelled), "labels")
     src = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
-    rows = src.join(lab, "doc_id").select("doc_id", "text", "ks")
-    if topicless is not None:
-        none = topicless.select("doc_id", "text").filter(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, s.max_labelled // 20))
-        rows = rows.unionByName(none.withColumn("ks", F.expr("cast(array() as array<int>)")))
-    rows = stage(rows.repartition(s.partitions, F.xxhash64("doc_id")).select("text", "ks"), "labelled")
-    for _ in range(s.rounds):
+    parts = max(1, -(-min(s.max_labelled, lab.count()) // s.per_partition))
+    # at most max_labelled rows of a number and a few subjects
+    rows = src.join(F.broadcast(lab), "doc_id").repartition(parts, F.xxhash64("doc_id")).select("text", "ks", F.spark_partition_id().alias("part"))
+    rows = stage(rows.mapInArrow(_with_blends(s.seed), "text string, ks array<int>, part int"), "labelled")
+    adam, run_id = _Adam(m), uuid.uuid4().hex
+    for _ in range(s.steps):
         shared = spark.sparkContext.broadcast(m)
-        got = rows.coalesce(s.partitions).mapInArrow(_local_round(shared, len(names)), "n long, used binary, table binary, out binary, bias binary").collect()
-        total = sum(r.n for r in got)
+        got = rows.coalesce(parts).mapInArrow(_gradients(shared, run_id, len(names)), "n long, used binary, table binary, out binary, bias binary").collect()
         shared.unpersist()
+        total = sum(r.n for r in got)
         if not total:
             break
-        weight = np.zeros((s.buckets, 1), np.float32)
-        step = np.zeros_like(m.table)
+        sums = [np.zeros_like(x) for x in adam.params]
         for r in got:
-            used = np.frombuffer(r.used, np.int32)
-            step[used] += np.frombuffer(r.table, np.float32).reshape(-1, s.dim) * r.n
-            weight[used] += r.n
-            m.out += np.frombuffer(r.out, np.float32).reshape(m.out.shape) * (r.n / total)
-            m.bias += np.frombuffer(r.bias, np.float32) * (r.n / total)
-        m.table += step / np.maximum(weight, 1)
+            w = np.float32(r.n / total)
+            sums[0][np.frombuffer(r.used, np.int32)] += np.frombuffer(r.table, np.float32).reshape(-1, s.dim) * w
+            sums[1] += np.frombuffer(r.out, np.float32).reshape(m.out.shape) * w
+            sums[2] += np.frombuffer(r.bias, np.float32) * w
+        adam.step(sums)
     return m
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,17 +209,21 @@ def test_subjects_on_held_out_texts(spark):
         subj = rng.sample(names, 2 if k % 6 == 0 else 1)
         docs.append((k, text(*subj)))
         labels += [(k, s) for s in subj]
-    docs += [(1000, None), (1001, ""), (1002, "n/a"), (1003, "violin " * 200_000)]
+    docs += [(1000, None), (1001, ""), (1002, "n/a"), (1003, "violin " * 200_000), (1004, "\n".join(f"{k:040x}  violin/opera_{k}.bin" for k in range(50)))]
     ddf = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, subject string")
     ldf = spark.createDataFrame(labels + labels[:5] + [(1, "unknown"), (None, "law"), (2, None)], "doc_id long, subject string")
     sdf = spark.createDataFrame([(s,) for s in names] + [(None,)], "subject string")
-    s = subjects.Settings(dim=8, buckets=1 << 12, rounds=3, steps=20, partitions=2)
+    s = subjects.Settings(dim=8, buckets=1 << 12, per_partition=150)
     model = subjects.train(ddf, ldf.filter("doc_id < 300 or doc_id is null"), sdf, s)
     got = {(r.doc_id, r.subject) for r in subjects.assign(ddf, model).collect()}
     truth = {(d, x) for d, x in labels if d >= 300}
     mine = {x for x in got if 300 <= x[0] < 1000}
     assert len(mine & truth) > 0.93 * max(len(mine), len(truth))
     assert {d for d, _ in got if d >= 1000} == {1003}
+    one = subjects.train(ddf, ldf.filter("doc_id < 300"), sdf, subjects.Settings(dim=8, buckets=1 << 12))
+    # the gradient of all is the sum over partitions: how they are cut changes only the made-up documents
+    assert np.abs(one.bias - model.bias).max() < 0.5
+    assert len(subjects.word_rows("x" * 5000, 1 << 12, 4, 5)) == 1 + 4999 + 4998
     none = subjects.train(ddf, ldf.limit(0), sdf, s)
     assert subjects.assign(ddf, none).count() == 0 and subjects.assign(ddf.limit(0), model).count() == 0
     assert subjects.composition(subjects.assign(ddf, model), ddf).count() == 3
