@@ -3,9 +3,9 @@
 The canonical key of a text is a 128-bit hash of its letters, marks and digits in lower case, made by JVM expressions. JSON and
 YAML texts are first rewritten with the entries of every mapping sorted; only those texts cross into Python.
 
-Hot keys are found exactly by counts that are combined before the shuffle. Their rows are aggregated at two levels with
-a salt and joined by broadcasting the hot keys, of which there can be at most rows / hot_rows. All other keys go through
-one shuffle. The representative of a class is its smallest id.
+Hot keys, those with a 64th or more of the rows that an even shuffle partition would get, are found exactly by counts that are combined
+before the shuffle; there can be at most 64 times as many as there are partitions. Their rows are aggregated at two levels with
+a salt and joined by broadcasting the hot keys. All other keys go through one shuffle. The representative of a class is its smallest id.
 """
 
 from __future__ import annotations
@@ -15,18 +15,22 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread, stage
+from ..session import parallelism, spread, stage
 
-#: Copies of one key from which it counts as hot.
-HOT_ROWS = 10_000
+#: A key is hot from this part of an even shuffle partition's rows on.
+HOT_PART = 1 / 64
 #: Hot keys that are broadcast at most (24 bytes each); beyond that the hot rows are joined by a salted shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
+SALTS = 256
 
-_DROP = re.compile(r"[\W_]+")
+#: What counts in a text, in the JVM and in Python alike: letters, marks, numbers.
+_KEPT = r"\p{L}\p{M}\p{N}"
+_DROP = regex.compile(rf"[^{_KEPT}]+")
 _ENTRY = re.compile(r"""^(?:"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#'"\[\]{},&*!|>%@`-][^#]*?|-[^\s#][^#]*?)\s*:(?:\s|$)""")
 
 
@@ -239,51 +243,68 @@ def canonical_keys(df: DataFrame, text: str = "content", path: str = "file_path"
     df = df.withColumn("__kind", kind)
     # rows of other kinds send nulls to Python
     df = df.withColumn("__sorted", _sorted_form(F.when(F.col("__kind").isNotNull(), F.col(text)), F.col("__kind")))
-    plain = F.coalesce(F.col("__sorted"), F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{M}\p{N}]+", ""))
+    plain = F.coalesce(F.col("__sorted"), F.regexp_replace(F.lower(F.col(text)), f"[^{_KEPT}]+", ""))
     return df.withColumn("copy_key", F.unhex(F.md5(plain))).drop("__kind", "__sorted")
 
 
-def copy_classes(keyed: DataFrame, id_col: str = "id", hot_rows: int = HOT_ROWS) -> DataFrame:
+def _hot(rows: DataFrame, hot_rows: int | None) -> tuple[DataFrame | None, DataFrame]:
+    """(the rows of hot keys with a salt, None if there are none; the other rows)."""
+    if hot_rows is None:
+        hot_rows = max(2, int(rows.count() * HOT_PART / parallelism(rows.sparkSession)))
+    hot = rows.groupBy("copy_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
+    hot = stage(hot.select(F.col("copy_key").alias("hot_key")), "hotkeys")
+    n_hot = hot.count()
+    if not n_hot:
+        return None, rows
+    side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot
+    salted = rows.join(side, rows.copy_key == hot.hot_key, "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    return salted, rows.join(side, rows.copy_key == hot.hot_key, "left_anti")
+
+
+def copy_classes(keyed: DataFrame, id_col: str = "id", hot_rows: int | None = None) -> DataFrame:
     """Rows (keep_id, id) of all records in classes of two or more, the representative among them.
 
-    ``keyed`` has id and copy_key and should be stored (it is read twice). Rows with a null id or key are in no class;
-    a repeated id counts once.
+    ``keyed`` has id and copy_key and should be stored (it is read several times). Rows with a null id or key are in no class;
+    a repeated id counts once. ``hot_rows`` sets the number of rows from which a key is hot.
     """
     rows = keyed.select(F.col(id_col).alias("id"), "copy_key").filter(F.col("id").isNotNull() & F.col("copy_key").isNotNull())
-    hot = rows.groupBy("copy_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
-    hot = stage(hot.select(F.col("copy_key").alias("hot_key")), "hotkeys")
-    n_hot = hot.count()
+    salted, cold = _hot(rows, hot_rows)
     w = Window.partitionBy("copy_key")
-    if not n_hot:
-        cold, hot_part = rows, None
-    else:
-        few = n_hot <= MAX_BROADCAST_KEYS
-        side = F.broadcast(hot) if few else hot
-        cold = rows.join(side, rows.copy_key == hot.hot_key, "left_anti")
-        hot_part = rows.join(side, rows.copy_key == hot.hot_key, "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256)))
-        reps = hot_part.groupBy("copy_key", "salt").agg(F.min("id").alias("least")).groupBy("copy_key").agg(F.min("least").alias("keep_id")).withColumnRenamed("copy_key", "rep_key")
-        if few:
-            hot_part = hot_part.join(F.broadcast(reps), F.col("copy_key") == F.col("rep_key"))
-        else:
-            salts = reps.withColumn("rep_salt", F.explode(F.sequence(F.lit(0), F.lit(255))))
-            hot_part = hot_part.join(salts, (F.col("copy_key") == F.col("rep_key")) & (F.col("salt") == F.col("rep_salt")))
-        hot_part = hot_part.select("keep_id", "id")
     cold = cold.select("id", F.min("id").over(w).alias("keep_id"), F.max("id").over(w).alias("last")).filter(F.col("last") != F.col("keep_id")).select("keep_id", "id")
-    return cold if hot_part is None else cold.unionByName(hot_part)
+    if salted is None:
+        return cold
+    reps = salted.groupBy("copy_key", "salt").agg(F.min("id").alias("least"), F.max("id").alias("most")).groupBy("copy_key").agg(F.min("least").alias("keep_id"), F.max("most").alias("last"))
+    reps = stage(reps.filter(F.col("last") != F.col("keep_id")).select(F.col("copy_key").alias("rep_key"), "keep_id"), "reps")
+    if reps.count() <= MAX_BROADCAST_KEYS:
+        both = salted.join(F.broadcast(reps), F.col("copy_key") == F.col("rep_key"))
+    else:
+        salts = reps.withColumn("rep_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = salted.join(salts, (F.col("copy_key") == F.col("rep_key")) & (F.col("salt") == F.col("rep_salt")))
+    return cold.unionByName(both.select("keep_id", "id"))
 
 
-def copies(df: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "id") -> DataFrame:
+def _keyed(df: DataFrame, id_col: str) -> DataFrame:
+    src = df.select(F.col(id_col).alias("id"), "content", "file_path", "language").filter(F.col("content").isNotNull() & F.col("id").isNotNull())
+    return stage(canonical_keys(spread(src)).select("id", "copy_key"), "copykeys")
+
+
+def copies(df: DataFrame, hot_rows: int | None = None, id_col: str = "id") -> DataFrame:
     """keep_id, chunk_id for each record that repeats another one in another format.
 
     Null ids and texts are left out; texts without a letter or digit (empty ones too) are copies of each other; an empty table
     gives an empty result; extra columns are ignored.
     """
-    src = df.select(F.col(id_col).alias("id"), "content", "file_path", "language").filter(F.col("content").isNotNull())
-    keyed = stage(canonical_keys(spread(src)).select("id", "copy_key"), "copykeys")
-    return copy_classes(keyed, "id", hot_rows).filter(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("chunk_id")).distinct()
-
-
-def copy_counts(df: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "id") -> DataFrame:
-    """One row per distinct content: keep_id and the number of records that have it (1 for content without copies)."""
-    src = df.select(F.col(id_col).alias("id"), "content", "file_path", "language").filter(F.col("content").isNotNull() & F.col("id").isNotNull())
-    return canonical_keys(spread(src)).groupBy("copy_key").agg(F.min("id").alias("keep_id"), F.countDistinct("id").alias("copies")).select("keep_id", "copies")
+    return copy_classes(_keyed(df, id_col), "id", hot_rows).filter(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("chunk_id")).distinct()
+
+
+def copy_counts(df: DataFrame, hot_rows: int | None = None, id_col: str = "id") -> DataFrame:
+    """One row per distinct content: keep_id and the number of records that have it (1 for content without copies). Nulls and empty
+    tables as for copies."""
+    salted, cold = _hot(_keyed(df, id_col), hot_rows)
+    counted = [F.min("id").alias("keep_id"), F.countDistinct("id").alias("copies")]
+    out = cold.groupBy("copy_key").agg(*counted).select("keep_id", "copies")
+    if salted is None:
+        return out
+    # an id has one salt: the counts of the salts add up
+    hot = salted.groupBy("copy_key", "salt").agg(*counted).groupBy("copy_key").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+    return out.unionByName(hot.select("keep_id", "copies"))
