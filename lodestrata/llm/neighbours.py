@@ -1,10 +1,11 @@
 """Most similar vectors for every vector: hierarchical k-means tree with best-bin-first traversal.
 
 Equal vectors are one node, so that copies don't crowd a leaf. A tree of centroids is fitted on a bounded sample; every
-node is placed in a leaf, and a leaf is stored as blocks of bounded size. Each node first searches its own leaf, which gives the
+node is placed in a leaf. Leaves of the tree that hold more than SPLIT times the aimed number of vectors are divided into cells by a second k-means over a bounded
+sample of their own vectors, so that cells keep their size when the collection grows. A cell is stored as blocks of bounded size. Each node first searches its own block, which gives the
 similarity it has to beat. Then it visits the other leaves best bin first: a priority queue over tree nodes by the
-distance of their centroids. How many leaves to visit is calibrated per model: it is widened until the exact neighbours of
-a sample of queries, found by a scan of all vectors, are covered to the target recall. Only candidates better than those of the own leaf
+distance of their centroids, and within a leaf its nearest cells. How many leaves and cells to visit is calibrated per model: it is widened until the exact neighbours of
+a sample of queries, found by a scan of all vectors, are covered to the target recall. Only candidates better than those of the own block
 are shuffled.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,10 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-MAX_MODELS = 1_000
+#: Leaves of all trees together, about (256 bytes each): what is broadcast. Every model has one at least.
+TOP_LEAVES = 20_000
+#: A leaf of more than so many times the aimed vectors is divided into cells; the cells of a leaf, and the vectors sampled for each of them, at most.
+SPLIT, MAX_CELLS, CELL_SAMPLE = 4, 4_096, 64
 
 
 def usable(df: DataFrame, dim: int = 64) -> DataFrame:
@@ -122,14 +127,22 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
+def _nearness(x: np.ndarray, centroids: bytes, dim: int) -> np.ndarray:
+    """For each row and cell: larger is nearer."""
+    c = np.frombuffer(centroids, np.float32).reshape(-1, dim)
+    return x @ c.T - (c * c).sum(1) / 2
+
+
 class Neighbours:
     """:param k: neighbours per vector. :param target: recall to calibrate for. :param leaf: aimed vectors per leaf.
-    :param sample: vectors per model the tree is fitted on, at most. :param queries: calibration queries per model.
-    :param block: vectors in one stored block, at most. :param max_leaves: leaves per model, at most."""
+    :param sample: vectors per model the tree is fitted on, about. :param queries: calibration queries per model.
+    :param block: vectors in one stored block, at most, about."""
 
-    def __init__(self, k: int = 5, dim: int = 64, target: float = 0.985, leaf: int = 600, sample: int = 30_000, queries: int = 300, block: int = 2_000, max_leaves: int = 4_096):
-        self.k, self.dim, self.target, self.leaf, self.sample, self.queries, self.block, self.max_leaves = k, dim, target, leaf, sample, queries, block, max_leaves
+    def __init__(self, k: int = 5, dim: int = 64, target: float = 0.985, leaf: int = 600, sample: int = 30_000, queries: int = 300, block: int = 2_000):
+        self.k, self.dim, self.target, self.leaf, self.sample, self.queries, self.block = k, dim, target, leaf, sample, queries, block
+        #: Of the last search, by model: leaves visited, cells visited in each of them, and the recall measured with that.
         self.visits: dict[str, int] = {}
+        self.cells: dict[str, int] = {}
         self.measured: dict[str, float] = {}
 
     def _nodes(self, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,17 +152,24 @@ class Neighbours:
         return nodes, stage(members, "vecids")
 
     def _fit(self, nodes: DataFrame) -> dict[str, Tree]:
-        counts = {r.model: r.n for r in nodes.groupBy("model").agg(F.count(F.lit(1)).alias("n")).limit(MAX_MODELS + 1).collect()}
-        if len(counts) > MAX_MODELS:
-            raise ValueError(f"more than {MAX_MODELS} models")
-        trees = {}
-        for model, n in sorted(counts.items()):
-            rate = min(1.0, self.sample / n)
-            some = nodes.filter((F.col("model") == model) & (F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)).select("vec").limit(2 * self.sample)
-            x = np.stack([np.frombuffer(r.vec, np.float32) for r in some.collect()])
-            leaves = max(1, min(self.max_leaves, math.ceil(n / self.leaf), len(x) // 8))
-            trees[model] = Tree(x, leaves)
-        return trees
+        """One tree per model, each fitted in a task of its own."""
+        spark, dim = nodes.sparkSession, self.dim
+        counts = {r.model: r.n for r in nodes.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not counts:
+            return {}
+        total = sum(counts.values())
+        plan = [(m, min(1.0, self.sample / n), max(1, min(math.ceil(n / self.leaf), self.sample // 8, math.ceil(TOP_LEAVES * n / total)))) for m, n in counts.items()]
+        plan = spark.createDataFrame(plan, "m string, rate double, leaves int")
+        some = nodes.join(F.broadcast(plan), nodes.model == plan.m).filter(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < F.ceil(F.col("rate") * 1_000_000))
+
+        def fit(t: pa.Table) -> pa.Table:
+            x = _matrix(t.column("vec").combine_chunks(), dim)
+            leaves = min(t.column("leaves")[0].as_py(), max(1, len(x) // 8))
+            return pa.table({"model": [t.column("model")[0].as_py()], "tree": pa.array([pickle.dumps(Tree(x, leaves))], pa.binary())})
+
+        got = some.select("model", "leaves", "vec").groupBy("model").applyInArrow(fit, "model string, tree binary")
+        trees = {r.model: pickle.loads(r.tree) for r in got.collect()}
+        return {m: trees[m] if m in trees else Tree(np.zeros((1, dim), np.float32), 1) for m in counts}
 
     def _placed(self, nodes: DataFrame, trees) -> DataFrame:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,53 +183,104 @@ class Neighbours:
 
         return nodes.select("nid", "model", "vec").mapInArrow(place, "nid long, model string, leaf int, vec binary")
 
-    def _blocks(self, placed: DataFrame) -> DataFrame:
-        """Rows (model, leaf, part, nids, vecs): a leaf in parts of at most about ``block`` vectors."""
-        size = placed.groupBy("model", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(self.block))).cast("int").alias("parts"))
-        p = placed.join(F.broadcast(size), ["model", "leaf"]).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-        both = p.groupBy("model", "leaf", "part").agg(F.sort_array(F.collect_list(F.struct("nid", "vec"))).alias("r"))
-        return both.select("model", "leaf", "part", F.col("r.nid").alias("nids"), F.col("r.vec").alias("vecs"))
-
-    def _calibrate(self, placed: DataFrame, trees: dict[str, Tree]) -> None:
-        """Sets the number of leaves to visit per model, and the recall measured with it."""
-        spark = placed.sparkSession
+    def _packed(self, rows: DataFrame) -> DataFrame:
+        """Rows (model, leaf, cell, part, nids, vecs) from (nid, model, leaf, cell, vec): a cell in parts of at most about ``block`` vectors."""
+        cell = ["model", "leaf", "cell"]
+        size = rows.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(self.block))).cast("int").alias("parts"))
+        p = rows.join(size, cell).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+        both = p.groupBy(*cell, "part").agg(F.sort_array(F.collect_list(F.struct("nid", "vec"))).alias("r"))
+        return both.select(*cell, "part", F.col("r.nid").alias("nids"), F.col("r.vec").alias("vecs"))
+
+    def _cells(self, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(blocks, as _packed; cells: model, leaf, centroids of its cells as bytes, none for a leaf of one cell)."""
+        dim = self.dim
+        size = placed.groupBy("model", "leaf").agg(F.least(F.ceil(F.count(F.lit(1)) / F.lit(float(SPLIT * self.leaf))), F.lit(MAX_CELLS)).cast("int").alias("cells"), F.count(F.lit(1)).alias("n"))
+        size = stage(size, "leaves")
+        large = stage(size.filter("cells > 1"), "largeleaves")
+        packed = self._packed(placed.withColumn("cell", F.lit(0)))
+        if large.isEmpty():
+            return stage(packed, "blocks"), size.select("model", "leaf", F.lit(None).cast("binary").alias("centroids"))
+        rate = F.ceil(F.lit(1_000_000.0) * CELL_SAMPLE * F.col("cells") / F.col("n"))
+        some = placed.join(large, ["model", "leaf"]).filter(F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(1_000_000)) < rate)
+
+        def fit(t: pa.Table) -> pa.Table:
+            x = _matrix(t.column("vec").combine_chunks(), dim)
+            tree = Tree(x, min(t.column("cells")[0].as_py(), max(1, len(x) // 8)))
+            c = tree.matrix[[n for n, leaf in enumerate(tree.leaf_of) if leaf >= 0]]
+            return pa.table({"model": [t.column("model")[0].as_py()], "leaf": pa.array([t.column("leaf")[0].as_py()], pa.int32()), "centroids": pa.array([c.tobytes()], pa.binary())})
+
+        fitted = stage(some.select("model", "leaf", "cells", "vec").groupBy("model", "leaf").applyInArrow(fit, "model string, leaf int, centroids binary"), "centroids")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for n in range(b.num_rows):
+                    x, c = _matrix(b.column(3)[n].values, dim), np.frombuffer(b.column(4)[n].as_py(), np.float32).reshape(-1, dim)
+                    cell = (x @ c.T - (c * c).sum(1) / 2).argmax(1).astype(np.int32)
+                    m = len(x)
+                    yield pa.RecordBatch.from_arrays([b.column(2)[n].values, pa.array([b.column(0)[n].as_py()] * m, pa.string()), pa.array([b.column(1)[n].as_py()] * m, pa.int32()), pa.array(cell), b.column(3)[n].values], names=["nid", "model", "leaf", "cell", "vec"])
+
+        packed = stage(packed, "packed")
+        moved = packed.join(fitted, ["model", "leaf"]).select("model", "leaf", "nids", "vecs", "centroids").mapInArrow(assign, "nid long, model string, leaf int, cell int, vec binary")
+        kept = packed.join(fitted, ["model", "leaf"], "left_anti")
+        return stage(kept.unionByName(self._packed(stage(moved, "moved"))), "blocks"), size.join(fitted, ["model", "leaf"], "left").select("model", "leaf", "centroids")
+
+    def _calibrate(self, blocks: DataFrame, cells: DataFrame, trees: dict[str, Tree]) -> None:
+        """Sets the numbers of leaves and cells to visit per model, and the recall measured with them."""
+        spark, k, dim = blocks.sparkSession, self.k, self.dim
+        flat = blocks.select("model", F.explode(F.arrays_zip("nids", "vecs")).alias("r")).select("model", "r.nids", "r.vecs")
+        w = Window.partitionBy("model").orderBy(F.xxhash64("vecs", F.lit(7)), "nids")
         asked: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for model in trees:
-            q = placed.filter(F.col("model") == model).orderBy(F.xxhash64("vec", F.lit(7))).limit(self.queries).collect()
-            asked[model] = np.array([r.nid for r in q], np.int64), np.stack([np.frombuffer(r.vec, np.float32) for r in q])
-        shared, k, dim = spark.sparkContext.broadcast(asked), self.k, self.dim
+        picked: dict[str, list] = {}
+        for r in flat.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= self.queries).collect():  # queries rows per model
+            picked.setdefault(r.model, []).append((r.nids, r.vecs))
+        for model, q in picked.items():
+            asked[model] = np.array([n for n, _ in q], np.int64), np.stack([np.frombuffer(v, np.float32) for _, v in q])
+        shared = spark.sparkContext.broadcast(asked)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            best: dict[str, tuple[np.ndarray, ...]] = {}
             for b in batches:
-                models = np.asarray(b.column(1).to_pylist(), object)
-                nid, leaf, x = b.column(0).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), dim)
-                for m in set(models.tolist()):
+                for n in range(b.num_rows):
+                    m = b.column(0)[n].as_py()
                     ids, q = shared.value[m]
-                    at = np.nonzero(models == m)[0]
-                    s = q @ x[at].T
-                    s[ids[:, None] == nid[at][None, :]] = -9
-                    leaves = np.broadcast_to(leaf[at], s.shape)
+                    s = q @ _matrix(b.column(4)[n].values, dim).T
+                    s[ids[:, None] == b.column(3)[n].values.to_numpy()[None, :]] = -9
+                    leaf, cell = np.full(s.shape, b.column(1)[n].as_py(), np.int32), np.full(s.shape, b.column(2)[n].as_py(), np.int32)
                     if m in best:
-                        s, leaves = np.concatenate([best[m][0], s], 1), np.concatenate([best[m][1], leaves], 1)
+                        s, leaf, cell = (np.concatenate(x, 1) for x in zip(best[m], (s, leaf, cell)))
                     top = np.argsort(-s, 1, kind="stable")[:, :k]
-                    best[m] = np.take_along_axis(s, top, 1), np.take_along_axis(leaves, top, 1)
-            for m, (s, leaves) in best.items():
+                    best[m] = tuple(np.take_along_axis(x, top, 1) for x in (s, leaf, cell))
+            for m, (s, leaf, cell) in best.items():
                 q = np.repeat(np.arange(len(s)), s.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([m] * len(q), pa.string()), pa.array(q, pa.int32()), pa.array(s.reshape(-1).astype(np.float64)), pa.array(leaves.reshape(-1).astype(np.int32))], names=["model", "q", "s", "leaf"])
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(q), pa.string()), pa.array(q, pa.int32()), pa.array(s.reshape(-1).astype(np.float64)), pa.array(leaf.reshape(-1)), pa.array(cell.reshape(-1))], names=["model", "q", "s", "leaf", "cell"])
+
+        found = blocks.select("model", "leaf", "cell", "nids", "vecs").mapInArrow(scan, "model string, q int, s double, leaf int, cell int")
+        w = Window.partitionBy("model", "q").orderBy(F.col("s").desc(), "leaf", "cell")
+        truth = found.filter("s > -5").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
 
-        found = placed.select("nid", "model", "leaf", "vec").mapInArrow(scan, "model string, q int, s double, leaf int")
-        w = Window.partitionBy("model", "q").orderBy(F.col("s").desc(), "leaf")
-        truth = found.filter("s > -5").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= self.k).collect()  # queries x k rows per model
+        def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ranks = []
+                for m, q, cell, raw in zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4))):
+                    a = _nearness(shared.value[m][1][q : q + 1], raw, dim)[0] if raw else np.zeros(1)
+                    ranks.append(int((a > a[cell]).sum()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ranks, pa.int32())], names=["model", "q", "leaf", "rank"])
+
+        # queries x k rows per model
+        rows = truth.join(cells, ["model", "leaf"]).select("model", "q", "leaf", "cell", "centroids").mapInArrow(ranked, "model string, q int, leaf int, rank int").collect()
         for model, t in trees.items():
-            aff = t.affinity(asked[model][1])
-            order = [{leaf: n for n, leaf in enumerate(t.visits(a, t.leaves))} for a in aff]
-            ranks = np.sort([order[r.q][r.leaf] for r in truth if r.model == model])
-            if not len(ranks):
-                self.visits[model], self.measured[model] = t.leaves, 1.0
+            mine = [r for r in rows if r.model == model]
+            if not mine:
+                self.visits[model], self.cells[model], self.measured[model] = t.leaves, MAX_CELLS, 1.0
                 continue
-            need = int(ranks[min(len(ranks) - 1, math.ceil(self.target * len(ranks)) - 1)]) + 1
-            self.visits[model], self.measured[model] = need, float((ranks < need).mean())
+            order = [{leaf: n for n, leaf in enumerate(t.visits(a, t.leaves))} for a in t.affinity(asked[model][1])]
+            leaf, cell = np.array([order[r.q][r.leaf] for r in mine]), np.array([r.rank for r in mine])
+            # without divided leaves all of the loss may be the leaves'
+            share = self.target if not cell.any() else math.sqrt(self.target)
+            most = np.sort(leaf)[max(0, math.ceil(share * len(leaf)) - 1)]
+            inside = np.sort(cell[leaf <= most])
+            deep = inside[max(0, math.ceil(share * len(inside)) - 1)]
+            self.visits[model], self.cells[model], self.measured[model] = int(most) + 1, int(deep) + 1, float(((leaf <= most) & (cell <= deep)).mean())
 
     def links(self, nodes: DataFrame) -> DataFrame:
         """(nid, other, cosine): candidates of each node, its k best among them."""
@@ -220,9 +291,10 @@ class Neighbours:
             return spark.createDataFrame([], "nid long, other long, cosine float")
         shared = spark.sparkContext.broadcast(trees)
         placed = stage(self._placed(nodes, shared), "placed")
-        self._calibrate(placed, trees)
-        blocks = stage(self._blocks(placed), "blocks")
-        counts = spark.sparkContext.broadcast(dict(self.visits))
+        blocks, cells = self._cells(placed)
+        cells = stage(cells, "cells")
+        self._calibrate(blocks, cells, trees)
+        counts, within = spark.sparkContext.broadcast(dict(self.visits)), spark.sparkContext.broadcast(dict(self.cells))
 
         def best(ids: np.ndarray, s: np.ndarray, bar: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """(row, other, cosine) of up to k entries per row that reach the row's bar."""
@@ -237,17 +309,17 @@ class Neighbours:
             # a block against its own leaf's first parts sets the bar
             for b in batches:
                 for n in range(b.num_rows):
-                    nid = b.column(3)[n].values.to_numpy()
-                    x = np.frombuffer(b"".join(b.column(4)[n].as_py()), np.float32).reshape(-1, dim)
+                    nid = b.column(4)[n].values.to_numpy()
+                    x = _matrix(b.column(5)[n].values, dim)
                     s = x @ x.T
                     np.fill_diagonal(s, -9)
                     r, o, v = best(nid, s, None)
                     bar = np.full(len(nid), -4.0, np.float32)
                     if s.shape[1] > k:
                         bar = np.partition(s, s.shape[1] - k, 1)[:, s.shape[1] - k]
-                    yield from asks(b.column(0)[n].as_py(), b.column(1)[n].as_py(), b.column(2)[n].as_py(), nid, x, bar, r, o, v)
+                    yield asks(*(b.column(c)[n].as_py() for c in range(4)), nid, x, bar, r, o, v)
 
-        def asks(model, leaf, part, nid, x, bar, r, o, v):
+        def asks(model, leaf, cell, part, nid, x, bar, r, o, v):
             t: Tree = shared.value[model]
             goes: dict[int, list[int]] = {}
             for row, a in enumerate(t.affinity(x)):
@@ -258,18 +330,43 @@ class Neighbours:
             n = len(targets)
             first = np.argsort(r, kind="stable")
             cols = [
-                [model] * (n + 1), [-1, *targets], [leaf] * (n + 1), [part] * (n + 1),
+                [model] * (n + 1), [-1, *targets], [leaf] * (n + 1), [cell] * (n + 1), [part] * (n + 1),
                 [nid[r][first].astype(np.int64).tobytes(), *[nid[a].astype(np.int64).tobytes() for a in at]],
                 [o[first].astype(np.int64).tobytes(), *[x[a].tobytes() for a in at]],
                 [v[first].astype(np.float32).tobytes(), *[bar[a].astype(np.float32).tobytes() for a in at]],
             ]
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(cols, types)], names=["model", "target", "leaf", "part", "rows", "data", "bars"])
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(cols, types)], names=["model", "target", "leaf", "cell", "part", "rows", "data", "bars"])
+
+        def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # questions to a divided leaf go to the nearest of its cells
+            names = ["model", "target", "to", "leaf", "cell", "part", "rows", "data", "bars"]
+            for b in batches:
+                for n in range(b.num_rows):
+                    row, raw = b.slice(n, 1), b.column(8)[n].as_py()
+                    if not raw:
+                        yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([0], pa.int32()), *(row.column(c) for c in range(2, 8))], names=names)
+                        continue
+                    q, bar = np.frombuffer(b.column(5)[n].as_py(), np.int64), np.frombuffer(b.column(7)[n].as_py(), np.float32)
+                    x = np.frombuffer(b.column(6)[n].as_py(), np.float32).reshape(-1, dim)
+                    near = _nearness(x, raw, dim)
+                    most = min(within.value[b.column(0)[n].as_py()], near.shape[1])
+                    go = np.argsort(-near, 1, kind="stable")[:, :most]
+                    for to in np.unique(go).tolist():
+                        at = np.nonzero((go == to).any(1))[0]
+                        cols = [q[at].tobytes(), x[at].tobytes(), bar[at].tobytes()]
+                        yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([to], pa.int32()), *(row.column(c) for c in range(2, 5)), *(pa.array([c], pa.binary()) for c in cols)], names=names)
 
         # target -1 holds what the own block gave, the others the questions to other leaves
-        sent = stage(blocks.mapInArrow(own, "model string, target int, leaf int, part int, rows binary, data binary, bars binary"), "asked")
-        p = blocks.select(F.col("model").alias("pm"), F.col("leaf").alias("pl"), F.col("part").alias("pp"), "nids", "vecs")
-        asked = sent.filter("target >= 0").join(p, (F.col("model") == F.col("pm")) & (F.col("target") == F.col("pl"))).filter("not (leaf = pl and part = pp)")
+        sent = stage(blocks.mapInArrow(own, "model string, target int, leaf int, cell int, part int, rows binary, data binary, bars binary"), "asked")
+        to = cells.select(F.col("model").alias("cm"), F.col("leaf").alias("cl"), "centroids")
+        asked = sent.filter("target >= 0").join(to, (F.col("model") == F.col("cm")) & (F.col("target") == F.col("cl"))).drop("cm", "cl")
+        asked = asked.mapInArrow(narrow, "model string, target int, to int, leaf int, cell int, part int, rows binary, data binary, bars binary")
+        # every block is a key of its own: a cell that many ask is as many tasks' as it has blocks
+        parts = blocks.groupBy("model", "leaf", "cell").agg(F.max("part").alias("last")).select(F.col("model").alias("sm"), F.col("leaf").alias("sl"), F.col("cell").alias("sc"), "last")
+        asked = asked.join(parts, (F.col("model") == F.col("sm")) & (F.col("target") == F.col("sl")) & (F.col("to") == F.col("sc"))).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        p = blocks.select(F.col("model").alias("pm"), F.col("leaf").alias("pl"), F.col("cell").alias("pc"), F.col("part").alias("pp"), "nids", "vecs")
+        asked = asked.filter("not (leaf = target and cell = to and part = at)").join(p, (F.col("model") == F.col("pm")) & (F.col("target") == F.col("pl")) & (F.col("to") == F.col("pc")) & (F.col("at") == F.col("pp")))
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -278,8 +375,7 @@ class Neighbours:
                     x = np.frombuffer(b.column(1)[n].as_py(), np.float32).reshape(-1, dim)
                     bar = np.frombuffer(b.column(2)[n].as_py(), np.float32)
                     nid = b.column(3)[n].values.to_numpy()
-                    y = np.frombuffer(b"".join(b.column(4)[n].as_py()), np.float32).reshape(-1, dim)
-                    r, o, v = best(nid, x @ y.T, bar)
+                    r, o, v = best(nid, x @ _matrix(b.column(4)[n].values, dim).T, bar)
                     yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(o), pa.array(v)], names=["nid", "other", "cosine"])
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,18 +56,26 @@ def test_copies(spark):
     ]
     df = spark.createDataFrame([(*r, "clash", 1) for r in data], CHUNKS)
     want = {("1", "2"), ("4", "5"), ("7", "8"), ("9", "a"), ("d", "e"), ("g", "h")}
-    for hot in (10_000, 2):
+    for hot in (10_000, 2, None):
         got = copies.copies(df, hot_rows=hot)
         assert got.columns == ["keep_id", "chunk_id"]
         assert sorted(map(tuple, got.collect())) == sorted(want)
-    counts = {r.keep_id: r.copies for r in copies.copy_counts(df).collect()}
-    assert counts["1"] == 2 and counts["3"] == 1
+    for hot in (10_000, 2, None):
+        counts = {r.keep_id: r.copies for r in copies.copy_counts(df, hot_rows=hot).collect()}
+        assert counts["1"] == 2 and counts["3"] == 1 and sum(counts.values()) == 16
     assert copies.copies(df.limit(0)).count() == 0
 
 
+def test_marks_count_in_every_format(spark):
+    pairs = [("a.json", '{"k": "\u0915\u093f"}', '{"k": "\u0915\u0940"}'), ("a.yaml", "y: \u0915\u093f", "y: \u0915\u0940"), ("a.go", "\u0915\u093f", "\u0915\u0940")]
+    df = spark.createDataFrame([(f"{p}{n}", t, p, None, "c", 1) for p, a, b in pairs for n, t in enumerate((a, b, a + " "))], CHUNKS)
+    assert sorted(map(tuple, copies.copies(df).collect())) == [(f"{p}0", f"{p}2") for p in ("a.go", "a.json", "a.yaml")]
+
+
 def test_hot_copies_are_whole(spark):
     df = spark.range(3000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("id"), F.when(F.col("id") % 3 == 0, "same TEXT").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("content"), F.lit("a.md").alias("file_path"), F.lit("").alias("language"))
-    got = copies.copies(df, hot_rows=100)
+    assert {tuple(r) for r in copies.copy_counts(df).filter("copies > 1").collect()} == {("00000", 1000)}
+    got = copies.copies(df)
     assert got.count() == 999 and got.select("keep_id").distinct().collect()[0][0] == "00000"
 
 
@@ -110,6 +118,25 @@ def test_near_copies_equal_brute_force(spark, wide):
     assert {frozenset((ids[r.na], ids[r.nb])) for r in op.node_links(nodes).select("na", "nb").collect()} <= links
 
 
+def test_runs_across_batches():
+    import itertools
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for wide in (1, 3, 50):
+        data = sorted((rng.randrange(12), rng.randrange(5), n) for n in range(90))
+        cuts = sorted([0, 90, *(rng.randrange(90) for _ in range(12))])
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in data[a:b]], pa.int64()) for c in range(3)], names=["head", "rest", "nid"]) for a, b in itertools.pairwise(cuts)]
+        got = {False: [], True: []}
+        for b in near_copies._runs(wide)(iter(batches)):
+            for crowd, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got[crowd].append([(x["rest"], x["nid"]) for x in run])
+        runs = [[r[1:] for r in g] for _, g in itertools.groupby(data, key=lambda r: r[0])]
+        assert sorted(got[False]) == sorted(r for r in runs if 2 <= len(r) <= wide)
+        assert sorted(x for r in got[True] for x in r) == sorted(x for r in runs if len(r) > wide for x in r)
+
+
 def test_near_copies_stop_shortening(spark):
     """Pairs that are all but equal are found at whole labels; none at all only after the shortest prefix."""
     w = [[f"w{f}_{k}" for k in range(400)] for f in range(30)]
@@ -139,7 +166,11 @@ def test_forest_depth():
     assert near_copies.forest_depth(0.6, 24, 6, 0.995) == 3 and near_copies.forest_depth(0.9, 24, 6, 0.99) == 6 and near_copies.forest_depth(0.1, 4, 6, 0.99) == 1
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("top", [20_000, 6])
+def test_neighbours(spark, monkeypatch, top):
+    """Also with few leaves, which are divided into cells."""
+    monkeypatch.setattr(neighbours, "TOP_LEAVES", top)
+    monkeypatch.setattr(neighbours, "SPLIT", 4 if top > 6 else 1)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 64))
     T = dt.datetime(2024, 1, 1)
@@ -152,7 +183,7 @@ def test_neighbours(spark):
     twice = [(data[5][0], data[6][1], "m1", T - dt.timedelta(1), None, 1), data[7]]
     one = [("z1", same, "m3", T, None, 1), ("z2", same, "m3", None, None, 1)]
     df = spark.createDataFrame(data + bad + twice + one, "id string, embedding array<double>, model_version string, created_at timestamp_ntz, deleted_at timestamp_ntz, vec int")
-    op = neighbours.Neighbours(leaf=60, block=50)
+    op = neighbours.Neighbours(leaf=60 if top > 6 else 25, block=50)
     got = {}
     for r in op.neighbours(df).collect():
         got.setdefault(r.id, []).append((r.rank, r.neighbour_id))
@@ -171,7 +202,7 @@ def test_neighbours(spark):
             tot += 5
             if i == "s039":
                 assert [n for _, n in sorted(got[i])] == ["s000", "s001", "s002", "s003", "s004"]
-    assert hit / tot >= 0.95 and all(v >= 0.9 for v in op.measured.values())
+    assert hit / tot >= 0.95 and all(v >= 0.9 for v in op.measured.values()) and (top > 6 or max(op.cells[m] for m in ("m1", "m2")) >= 1)
     assert neighbours.Neighbours().neighbours(df.limit(0)).count() == 0
 
 
