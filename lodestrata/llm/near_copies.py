@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread, stage, stage_bucketed
+from ..session import discard, parallelism, spread, stage, stage_bucketed
 from .copies import canonical_keys
 
 _WORD = re.compile(r"\w+")
@@ -137,6 +137,54 @@ def _labels(trees: int, k: int, depth: int):
     return run
 
 
+def _runs(wide: int):
+    """From (head, rest, nid) in order: rows (crowd, run) of the nodes under one head, two to ``wide`` of them, or pieces of a wider one as
+    crowd. A run that batches share is held back; a wide one leaves at once."""
+
+    def rows(crowd: bool, rest: np.ndarray, nid: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        pairs = pa.StructArray.from_arrays([pa.array(rest), pa.array(nid)], ["rest", "nid"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pairs)
+        return pa.RecordBatch.from_arrays([pa.array([crowd] * len(lengths), pa.bool_()), lists], names=["crowd", "run"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held, held_rest, held_nid, crowded = None, none, none, False
+        for b in _and_end(batches):
+            if b is None:
+                head, rest, nid = none, held_rest, held_nid
+                lengths = np.array([len(rest)]) if len(rest) else none
+                wider = np.zeros(len(lengths), bool)
+            else:
+                head, rest, nid = (b.column(c).to_numpy() for c in range(3))
+                if not len(head):
+                    continue
+                first_is_held = held is not None and head[0] == held
+                if held is not None:
+                    head, rest, nid = np.concatenate((np.full(len(held_rest), held), head)), np.concatenate((held_rest, rest)), np.concatenate((held_nid, nid))
+                starts = np.concatenate(([0], np.flatnonzero(np.diff(head)) + 1))
+                lengths = np.diff(np.concatenate((starts, [len(head)])))
+                wider = lengths > wide
+                wider[0] |= crowded and first_is_held
+                held, last = head[-1], lengths[-1]
+                if wider[-1]:
+                    held_rest, held_nid, crowded, last = none, none, True, 0
+                else:
+                    held_rest, held_nid, crowded = rest[len(rest) - last :], nid[len(nid) - last :], False
+                    lengths, wider = lengths[:-1], wider[:-1]
+                rest, nid = rest[: len(rest) - last], nid[: len(nid) - last]
+            for crowd, keep in ((False, (lengths > 1) & ~wider), (True, wider)):
+                if keep.any():
+                    each = np.repeat(keep, lengths)
+                    yield rows(crowd, rest[each], nid[each], lengths[keep])
+
+    return run
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
 def run_pairs(lengths: np.ndarray, rest: np.ndarray, shift: int, deeper: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs within runs whose rests agree above ``shift`` bits and not above ``deeper`` (None: any)."""
     ends = np.repeat(np.cumsum(lengths), lengths)
@@ -270,21 +318,22 @@ class NearCopies:
         src = canonical_keys(spread(src))
         rows = src.select("id", "content", "copy_key").mapInArrow(_nodes(self.shingle, self.least_words), "id string, copy_key binary, node_key binary, shingles binary")
         rows = stage(rows, "shingles")
-        members = rows.select("id", "node_key")
+        members = stage(rows.select("id", "node_key"), "members")
         # one node per distinct content; a hot content shrinks to one row per map task before the only shuffle of shingles
         nodes = rows.groupBy("node_key").agg(F.first("copy_key").alias("copy_key"), F.first("shingles").alias("shingles"))
         nodes = nodes.withColumn("nid", F.monotonically_increasing_id())
-        return stage_bucketed(nodes.select("nid", "node_key", "copy_key", "shingles"), ["node_key"], "nodes"), members
+        nodes = stage_bucketed(nodes.select("nid", "node_key", "copy_key", "shingles"), ["node_key"], "nodes")
+        discard(rows)
+        return nodes, members
 
     def runs(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(run: nodes under one prefix of k values in order, two to ``wide`` of them; crowd: nid of the nodes under wider ones)."""
         labels = nodes.select("nid", "shingles").mapInArrow(_labels(self.trees, self.k, self.depth), "head long, rest long, nid long")
-        # all that follows reads the buckets in place
-        labels = stage_bucketed(labels, ["head"], "labels")
-        sizes = labels.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = stage_bucketed(labels.join(sizes, "head"), ["head"], "shared")
-        narrow = shared.filter(F.col("n") <= self.wide).groupBy("head").agg(F.array_sort(F.collect_list(F.struct("rest", "nid"))).alias("run"))
-        return stage(narrow.select("run"), "runs"), shared.filter(F.col("n") > self.wide).select("nid").distinct()
+        # each partition holds whole runs of the tries, sorted
+        labels = labels.repartition(parallelism(nodes.sparkSession), "head").sortWithinPartitions("head", "rest", "nid")
+        both = stage(labels.mapInArrow(_runs(self.wide), "crowd boolean, run array<struct<rest: long, nid: long>>"), "runs")
+        crowd = both.filter("crowd").select(F.explode("run.nid").alias("nid")).distinct()
+        return both.filter("not crowd").select("run"), crowd
 
     def exact_candidates(self, nodes: DataFrame) -> DataFrame:
         """Pairs that share one of their rarest shingles: no pair of the threshold is missing."""
