@@ -10,8 +10,8 @@ As the outputs are linear in the vectors, scoring needs one row of outputs per d
 
 from __future__ import annotations
 
+import pickle
 import re
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -123,14 +123,14 @@ class _Batch:
             word += [vocab.setdefault(w, len(vocab)) for w in c]
             times += c.values()
         self.y, self.docs, self.words = labels, len(texts), len(vocab)
-        self.doc, self.word = np.asarray(doc, np.int64), np.asarray(word, np.int64)
+        self.doc, self.word = np.asarray(doc, np.int32), np.asarray(word, np.int32)
         self.share = (np.asarray(times, np.float32) / np.asarray(size, np.float32)[self.doc])[:, None]
         rows = [word_rows(w, s.buckets, s.low, s.high) for w in vocab]
         lens = np.array([len(r) for r in rows], np.int64)
-        self.rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), lens)
+        self.rows = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
         self.lens = lens.astype(np.float32)[:, None]
-        self.by_word, self.by_row = np.argsort(self.word, kind="stable"), np.argsort(self.rows, kind="stable")
+        self.by_word, self.by_row = np.argsort(self.word, kind="stable").astype(np.int32), np.argsort(self.rows, kind="stable").astype(np.int32)
         self.used, self.row_starts = np.unique(self.rows[self.by_row], return_index=True)
         self.word_starts = np.unique(self.word[self.by_word], return_index=True)[1]
         self.doc_ids, self.doc_starts = np.unique(self.doc, return_index=True)
@@ -189,43 +189,33 @@ def blends(texts: list[str], labels: list[list[int]], rng: np.random.Generator)
     return more_t, more_l
 
 
-def _with_blends(seed: int):
+def _indexed(s: Settings, k_subjects: int):
+    """A partition's documents as one row: their index arrays, made once for all steps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels, part = [], [], 0
-        for b in batches:
-            texts += b.column(0).to_pylist()
-            labels += b.column(1).to_pylist()
-            part = b.column(2)[0].as_py() if b.num_rows else part
-        more = blends(texts, labels, np.random.default_rng(seed + part))
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        texts, labels = [t for b in got for t in b.column(0).to_pylist()], [ks for b in got for ks in b.column(1).to_pylist()]
+        more = blends(texts, labels, np.random.default_rng(s.seed + got[0].column(2)[0].as_py()))
         texts, labels = texts + more[0], labels + more[1]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(labels, pa.list_(pa.int32())), pa.array([part] * len(texts), pa.int32())], names=["text", "ks", "part"])
+        y = np.zeros((len(texts), k_subjects), np.float32)
+        for d, ks in enumerate(labels):
+            y[d, ks] = 1
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_Batch(texts, y, s), protocol=5)], pa.binary())], names=["documents"])
 
     return run
 
 
-#: Index arrays of the partitions that a Python worker has seen last; made again from the data where a worker has not.
-_BATCHES: dict[tuple, _Batch] = {}
-
-
-def _gradients(shared, run_id: str, k_subjects: int):
+def _gradients(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
         m = shared.value
-        key = run_id, tuple(sorted({x for b in got for x in b.column(2).unique().to_pylist()}))
-        batch = _BATCHES.get(key)
-        if batch is None:
-            texts, labels = [t for b in got for t in b.column(0).to_pylist()], [ks for b in got for ks in b.column(1).to_pylist()]
-            y = np.zeros((len(texts), k_subjects), np.float32)
-            for d, ks in enumerate(labels):
-                y[d, ks] = 1
-            while len(_BATCHES) > 3:
-                _BATCHES.pop(next(iter(_BATCHES)))
-            batch = _BATCHES[key] = _Batch(texts, y, m.settings)
-        table, out, bias, _ = batch.gradients(m)
-        parts = [batch.used.astype(np.int32).tobytes(), table.astype(np.float32).tobytes(), out.astype(np.float32).tobytes(), bias.astype(np.float32).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([batch.docs], pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], names=["n", "used", "table", "out", "bias"])
+        for b in batches:
+            for n in range(b.num_rows):
+                batch = pickle.loads(b.column(0)[n].as_buffer())
+                table, out, bias, _ = batch.gradients(m)
+                parts = [batch.used.astype(np.int32).tobytes(), table.astype(np.float32).tobytes(), out.astype(np.float32).tobytes(), bias.astype(np.float32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.docs], pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], names=["n", "used", "table", "out", "bias"])
 
     return run
 
@@ -247,11 +237,11 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, settings
     parts = max(1, -(-min(s.max_labelled, lab.count()) // s.per_partition))
     # at most max_labelled rows of a number and a few subjects
     rows = src.join(F.broadcast(lab), "doc_id").repartition(parts, F.xxhash64("doc_id")).select("text", "ks", F.spark_partition_id().alias("part"))
-    rows = stage(rows.mapInArrow(_with_blends(s.seed), "text string, ks array<int>, part int"), "labelled")
-    adam, run_id = _Adam(m), uuid.uuid4().hex
+    rows = stage(rows.mapInArrow(_indexed(s, len(names)), "documents binary"), "labelled")
+    adam = _Adam(m)
     for _ in range(s.steps):
         shared = spark.sparkContext.broadcast(m)
-        got = rows.coalesce(parts).mapInArrow(_gradients(shared, run_id, len(names)), "n long, used binary, table binary, out binary, bias binary").collect()
+        got = rows.mapInArrow(_gradients(shared), "n long, used binary, table binary, out binary, bias binary").collect()
         shared.unpersist()
         total = sum(r.n for r in got)
         if not total:
