@@ -728,11 +728,6 @@ def err_similar(spark: SparkSession, d: str) -> DataFrame:
     return errors.similar_pairs(c, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
-@register("alert_dedup")
-def alert_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return errors.first_in_window(_coded(spark, d), ["code", "severity"], "ts", 300).select("event_id")
-
-
 @register("correlation_groups", "SELECT correlation_id, count(*) AS n, min(received_at) AS first_at FROM embedding_requests WHERE coalesce(trim(correlation_id), '') <> '' GROUP BY 1")
 def correlation_groups(spark: SparkSession, d: str) -> DataFrame:
     r = load(spark, d, "embedding_requests").filter("coalesce(trim(correlation_id), '') <> ''")

@@ -16,7 +16,7 @@ TEST_FOLDERS = ["test", "tests", "spec", "specs", "__tests__"]
 #: Folders that are not walked.
 SKIPPED_FOLDERS = [".git", ".svn", ".hg", "node_modules", "vendor", "build", "dist", "target", "bin", "out", ".idea", ".vscode", ".vs", "__pycache__", ".pytest_cache", "*.egg-info", "venv", ".env", "coverage", ".coverage", "logs", "log", "tmp", "temp"]
 #: Language by file extension.
-EXTENSION_LANGUAGES = {"go": "Go", "py": "Python", "js": "JavaScript", "ts": "TypeScript", "cpp": "C++", "cc": "C++", "cxx": "C++", "c++": "C++", "rs": "Rust", "java": "Java", "c": "C"}
+EXTENSION_LANGUAGES = {"go": "Go", "py": "Python", "js": "JavaScript", "ts": "TypeScript", "cpp": "C++", "cc": "C++", "cxx": "C++", "c++": "C++", "rs": "Rust", "java": "Java", "c": "C", "rb": "Ruby", "php": "PHP", "html": "HTML", "css": "CSS", "json": "JSON", "yaml": "YAML", "yml": "YAML", "xml": "XML", "md": "Markdown", "sql": "SQL", "sh": "Shell"}
 #: Ordered keyword groups of failure messages.
 FAILURE_KINDS = [
     ("NETWORK_ERROR", ["connection", "dial tcp", "network"]),

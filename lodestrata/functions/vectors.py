@@ -76,3 +76,9 @@ def to_text(v: Column) -> Column:
 
 def from_text(s: Column) -> Column:
     return F.from_json(s, "array<double>")
+
+
+def euclidean(a: Column, b: Column) -> Column:
+    """Distance of two vectors of one length; null for other ones."""
+    d = F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y))
+    return F.when(F.size(a) == F.size(b), F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x)))

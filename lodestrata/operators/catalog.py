@@ -32,11 +32,17 @@ def order(allowed: tuple[str, ...], spec: str, tie: str = "id") -> list[Column]:
     return [c.desc_nulls_first() if way == "desc" else c.asc_nulls_last(), F.col(tie)]
 
 
-def resolve_names(asked: DataFrame, repositories: DataFrame) -> DataFrame:
-    """asked names with the latest repository whose name contains them. ``asked`` is a request's list of names: at most 50."""
+def resolve_names(asked: DataFrame, repositories: DataFrame, strict: bool = False) -> DataFrame:
+    """asked names with the latest repository whose name contains them. ``asked`` is a request's list of names: at most 50. A name that none contains is left
+    out, or with ``strict`` an error."""
     names = asked.select("asked").distinct()
     if len(names.take(MAX_NAMES + 1)) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} names")
     j = repositories.join(F.broadcast(names), F.lower("name").contains(F.lower("asked")))
     w = Window.partitionBy("asked").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
-    return j.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    found = j.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    if strict:
+        unknown = [r.asked for r in names.join(found.select("asked"), "asked", "left_anti").collect()]
+        if unknown:
+            raise ValueError(f"no repository for {', '.join(sorted(unknown))}")
+    return found

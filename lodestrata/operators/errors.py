@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +76,57 @@ def cascades(agg: DataFrame, seconds: int) -> DataFrame:
     return g.filter((F.col("codes") >= 2) & (F.col("span") <= seconds * 1_000_000)).select("window_start", "codes", "key", severity_name(F.col("r")).alias("severity"))
 
 
+def _starts(keys: int, seconds: int):
+    """From (keys, second) in order to (keys, second, start): the window of ``seconds`` that holds the second, begun by the first one that no earlier window holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start = None, 0
+        for b in batches:
+            out = []
+            for *key, t in zip(*(b.column(c).to_pylist() for c in range(keys + 1))):
+                if key != last or t - start > seconds:
+                    last, start = key, t
+                out.append(start)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(keys + 1)), pa.array(out, pa.int64())], names=[*b.schema.names, "__start"])
+
+    return run
+
+
+def window_starts(events: DataFrame, key: list[str], time: str, seconds: int) -> DataFrame:
+    """Adds __start, the second in which the event's window began: windows begin at the first event of a key that is more than ``seconds`` after the start of
+    the window before, not at the clock's. One thing follows from the other, so a key's distinct seconds pass through one task in order; nothing is held but the last start."""
+    e = events.withColumn("__s", F.unix_seconds(F.col(time).cast("timestamp")))
+    per = e.select(*key, "__s").dropna(subset=["__s"]).distinct().repartition(*key).sortWithinPartitions(*key, "__s")
+    kinds = dict(e.dtypes)
+    found = per.mapInArrow(_starts(len(key), seconds), ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", __s long, __start long")
+    found = found.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(key)], F.col("__s").alias("__t"), "__start")
+    on = e["__s"] == found["__t"]
+    for n, k in enumerate(key):
+        on = on & e[k].eqNullSafe(found[f"__k{n}"])
+    return e.join(found, on).drop("__t", *[f"__k{n}" for n in range(len(key))])
+
+
 def first_in_window(events: DataFrame, key: list[str], time: str, seconds: int) -> DataFrame:
-    """Events without the duplicates of a key that fall within ``seconds`` of the first kept one; the next one after that is kept again.
-
-    The window starts at the first event and does not slide, so the kept ones are found step by step along the times of a key: a fold
-    over its distinct seconds, which are combined before the shuffle.
-    """
-    t = F.unix_seconds(F.col(time).cast("timestamp"))
-    per = events.select(*key, t.alias("__s")).groupBy(*key).agg(F.sort_array(F.collect_set("__s")).alias("s"))
-    keep = F.aggregate("s", F.expr("cast(array() as array<bigint>)"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > seconds), F.concat(acc, F.array(x))).otherwise(acc))
-    kept = per.select(*key, F.explode(keep).alias("__k"))
-    j = events.withColumn("__s", t).join(kept.withColumnRenamed("__k", "__s"), [*key, "__s"], "left_semi")
+    """Events without the duplicates of a key that fall within ``seconds`` of the first kept one; the next one after that is kept again. Of events in the kept second
+    the earliest stays."""
+    j = window_starts(events, key, time, seconds).filter("__s = __start")
     w = Window.partitionBy(*key, "__s").orderBy(time)
-    return j.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__s")
+    return j.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__s", "__start")
+
+
+def duplicates_in_window(events: DataFrame, key: list[str], time: str, seconds: int, threshold: int) -> DataFrame:
+    """One row per window of a key: first_at, last_at, n events and whether further alerts are suppressed, as they are from ``threshold`` on."""
+    g = window_starts(events, key, time, seconds).groupBy(*key, "__start").agg(F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.count(F.lit(1)).alias("n"))
+    return g.drop("__start").withColumn("suppressed", F.col("n") >= threshold)
+
+
+def windows_from_first(events: DataFrame, time: str = "ts", code: str = "code", severity: str = "severity", minutes: int = 5, most: int = 10_000, tolerance: int = 1) -> DataFrame:
+    """windows that begin with a code's first event instead of at the clock's: first_at, code, n (at most ``most``), the gravest severity, last_at. An event up to
+    ``tolerance`` seconds after the window's end still belongs to it. Invalid events are left out."""
+    e = events.filter(valid_event(F.col(code), F.col(severity))).withColumn("__r", severity_rank(F.col(severity)))
+    g = window_starts(e, [code], time, minutes * 60 + tolerance).groupBy(F.col(code).alias("code"), "__start")
+    g = g.agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n"), F.min("__r").alias("r"), F.min(time).alias("first_at"), F.max(time).alias("last_at"))
+    return g.select("first_at", "code", "n", severity_name(F.col("r")).alias("severity"), "last_at")
 
 
 def latest(events: DataFrame, time: str, n: int) -> DataFrame:

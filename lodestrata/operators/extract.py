@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
+from .chunking import cut_lines
 
 FIELDS = ["kind", "name", "qualified_name", "parent", "signature", "visibility", "start_line", "end_line"]
 _SCHEMA = "kind string, name string, qualified_name string, parent string, signature string, visibility string, start_line int, end_line int"
@@ -24,14 +25,25 @@ _GO = [
     ("type", re.compile(r"^type\s+(?P<n>\w+)\s+(?!struct\b|interface\b)[\w*\[\].]+", re.M)),
     ("constant", re.compile(r"^const\s+(?P<n>\w+)", re.M)),
     ("variable", re.compile(r"^var\s+(?P<n>\w+)", re.M)),
+    ("constant", re.compile(r"^const\s*\((?P<g>[^()]*(?:\([^()]*\)[^()]*)*)^\)", re.M)),
+    ("variable", re.compile(r"^var\s*\((?P<g>[^()]*(?:\([^()]*\)[^()]*)*)^\)", re.M)),
     ("import", re.compile(r"^(?:import\s+|\t)(?:(?P<s>[\w.]+)\s+)?\"(?P<n>[^\"\n]+)\"\s*$", re.M)),
 ]
 _JS = [
     ("class", re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<n>[\w$]+)(?:\s+extends\s+(?P<s>[\w$.]+))?", re.M)),
+    ("class", re.compile(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<n>[\w$]+)\s*=\s*class\b(?:\s+extends\s+(?P<s>[\w$.]+))?", re.M)),
     ("function", re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<n>[\w$]+)\s*(?P<s>\([^{\n]*)", re.M)),
     ("function", re.compile(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<n>[\w$]+)\s*=\s*(?:async\s+)?(?P<s>\([^)\n]*\)|[\w$]+)\s*=>", re.M)),
     ("method", re.compile(r"^[ \t]+(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?(?P<n>#?[\w$]+)\s*(?P<s>\([^)\n]*\)(?:\s*:\s*[^{\n]+)?)\s*\{", re.M)),
     ("interface", re.compile(r"^[ \t]*(?:export\s+)?interface\s+(?P<n>[\w$]+)", re.M)),
+    ("enum", re.compile(r"^[ \t]*(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+(?P<n>[\w$]+)", re.M)),
+    ("type", re.compile(r"^[ \t]*(?:export\s+)?(?:declare\s+)?type\s+(?P<n>[\w$]+)(?:<[^=\n]*>)?\s*=", re.M)),
+    ("function", re.compile(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<n>[\w$]+)\s*=\s*(?:async\s+)?function\b\s*\*?\s*(?:[\w$]+\s*)?(?P<s>\([^{\n]*)", re.M)),
+    ("function", re.compile(r"^[ \t]*(?:module\.)?exports\.(?P<n>[\w$]+)\s*=\s*(?:async\s+)?(?:function\b\s*\*?\s*(?:[\w$]+\s*)?)?(?P<s>\([^{\n=]*)", re.M)),
+    ("constant", re.compile(r"^(?:export\s+)?const\s+(?P<n>[\w$]+)\s*(?::[^=\n]+)?=(?!\s*(?:async\s+)?(?:function\b|class\b|\([^)\n]*\)\s*(?::[^=\n]+)?=>|[\w$]+\s*=>))", re.M)),
+    ("variable", re.compile(r"^(?:export\s+)?(?:let|var)\s+(?P<n>[\w$]+)\s*(?::[^=\n;]+)?(?:=(?!\s*(?:async\s+)?(?:function\b|class\b|\([^)\n]*\)\s*(?::[^=\n]+)?=>|[\w$]+\s*=>))|;|$)", re.M)),
+    ("export", re.compile(r"^[ \t]*export\s+(?:\*|\{(?P<s>[^}]*)\})(?:\s+as\s+[\w$]+)?\s+from\s+['\"](?P<n>[^'\"\n]+)['\"]", re.M)),
+    ("import", re.compile(r"\bdefine\(\s*(?:['\"][^'\"\n]*['\"]\s*,\s*)?\[\s*['\"](?P<n>[^'\"\n]+)['\"]", re.M)),
     ("import", re.compile(r"^[ \t]*import\s+(?P<s>[^;'\"\n]+?\s+from\s+)?['\"](?P<n>[^'\"\n]+)['\"]", re.M)),
     ("import", re.compile(r"\brequire\(\s*['\"](?P<n>[^'\"\n]+)['\"]\s*\)", re.M)),
 ]
@@ -79,13 +91,21 @@ def by_patterns(text: str, lang: str) -> list[tuple]:
     owners: list[tuple[int, int, str]] = []
     package = ""
     for kind, rx in patterns:
-        for m in rx.finditer(text if kind == "import" else plain):
-            name = m.group("n")
+        for m in rx.finditer(text if kind in ("import", "export") else plain):
             g = m.groupdict()
+            if g.get("g") is not None:  # a group of declarations, one or several names to a line
+                first = text.count("\n", 0, m.start("g")) + 1
+                for n, one in enumerate(m.group("g").split("\n")):
+                    names = re.match(r"[ \t]+([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)", one)
+                    for name in re.findall(r"\w+", names.group(1)) if names else []:
+                        qualified = f"{package}.{name}" if package and package != "main" else name
+                        out.append((kind, name, qualified, None, None, "private" if _private(name, lang) else "public", first + n, first + n))
+                continue
+            name = m.group("n")
             line = text.count("\n", 0, m.start("n")) + 1
             if kind == "method" and (name in _CONTROL or lang not in ("go", "java") and not any(a < line <= b for a, b, _ in owners)):
                 continue
-            if kind in ("package", "import"):
+            if kind in ("package", "import", "export"):
                 if kind == "package":
                     package = name
                 out.append((kind, name, name, None, (g.get("s") or "").strip() or None, "public", line, line))
@@ -146,6 +166,46 @@ def constructs_of(text: str, extension: str) -> list[tuple]:
     return by_patterns(text, extension) if extension in ("go", "js", "ts", "java") else []
 
 
+CHUNKED = ("function", "method", "class", "interface", "struct", "enum", "type", "constant", "variable")
+
+
+def chunk_pieces(text: str, extension: str, size: int) -> list[tuple]:
+    """(kind, name, qualified name, parent, signature, visibility, start line, end line, content) of the constructs of a text in order, each with its whole lines. A text
+    without any, or one that its extractor can't read, is cut by lines instead, as fragments."""
+    lines = text.split("\n")
+    out = []
+    for row in constructs_of(text, extension):
+        start, end = row[6], max(row[6], min(row[7], len(lines)))
+        content = "\n".join(lines[start - 1 : end])
+        if row[0] in CHUNKED and content.strip():
+            out.append((*row[:6], start, end, content))
+    return out or [("fragment", None, None, None, None, None, a, b, c) for a, b, c in cut_lines(text, size)]
+
+
+def chunk_rows(df: DataFrame, id_col: str = "id", text_col: str = "content", path_col: str = "file_path", size: int = 1000) -> DataFrame:
+    """One row per chunk of each file: id, ord, chunk_type, entity_name, qualified_name, parent_entity, signature, visibility, start_line, end_line, content and the
+    SHA-256 of it. Null and blank texts give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), *[pa.string()] * 6, pa.int32(), pa.int32(), pa.string()]
+        for b in batches:
+            at, rows = [], []
+            for k, (t, e) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                got = chunk_pieces(t or "", e, size)
+                at += [k] * len(got)
+                rows += [(n, *r) for n, r in enumerate(got, 1)]
+            cols = list(zip(*rows)) if rows else [()] * 10
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["id", *_CHUNK])
+
+    kind = dict(df.dtypes)[id_col]
+    src = df.select(F.col(id_col).alias("id"), text_col, F.lower(F.regexp_extract(path_col, r"\.([A-Za-z0-9]+)$", 1)).alias("e"))
+    got = spread(src).mapInArrow(run, f"id {kind}, ord int, chunk_type string, entity_name string, qualified_name string, parent_entity string, signature string, visibility string, start_line int, end_line int, content string")
+    return got.withColumn("content_hash", F.sha2("content", 256))
+
+
+_CHUNK = ["ord", "chunk_type", "entity_name", "qualified_name", "parent_entity", "signature", "visibility", "start_line", "end_line", "content"]
+
+
 def constructs(df: DataFrame, id_col: str = "id", text_col: str = "content", path_col: str = "file_path") -> DataFrame:
     """One row per construct of each text, lines counted from 1; null texts give none."""
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.code import called_names
-from ..session import stage
 
 #: Weight of each kind of relationship between classes.
 RELATION_WEIGHTS = {"inheritance": 0.95, "implements": 0.90, "nested": 0.95, "composition": 0.85, "aggregation": 0.75, "dependency": 0.60}
@@ -20,22 +19,63 @@ def call_edges(chunks: DataFrame, keys: list[str], name: str = "entity_name", co
     return c.filter("caller <> callee").join(known, [*keys, "callee"]).select(*keys, "caller", "callee").distinct()
 
 
-def on_cycles(edges: DataFrame, keys: list[str], depth: int = 8) -> DataFrame:
-    """(keys, name) of callers that reach themselves in at most ``depth`` calls: paths grow by a join, and nodes without a way in or out
-    are dropped before."""
+def cycle_members(edges: list[tuple[str, str]]) -> list[str]:
+    """Nodes of a graph that reach themselves over its edges, whatever the number of steps, in order of name: those of strongly connected components of
+    two or more, and those with an edge to themselves."""
+    out: dict[str, list[str]] = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    waiting: set[str] = set()
+    found = {a for a, b in edges if a == b}
+    for root in out:
+        if root in index:
+            continue
+        work = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root), waiting.add(root)
+        while work:
+            node, rest = work[-1]
+            for nxt in rest:
+                if nxt not in index:
+                    index[nxt] = low[nxt] = len(index)
+                    stack.append(nxt), waiting.add(nxt)
+                    work.append((nxt, iter(out[nxt])))
+                    break
+                if nxt in waiting:
+                    low[node] = min(low[node], index[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    part = []
+                    while True:
+                        part.append(stack.pop())
+                        waiting.discard(part[-1])
+                        if part[-1] == node:
+                            break
+                    if len(part) > 1:
+                        found.update(part)
+    return sorted(found)
+
+
+def on_cycles(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name) of callers that reach themselves, by any number of calls. Nodes without a way in or out are dropped before; the calls left of
+    one key (a file) are one task's."""
     live = edges
     for _ in range(2):
         live = live.join(live.select(*keys, F.col("callee").alias("caller")).distinct(), [*keys, "caller"], "left_semi")
         live = live.join(live.select(*keys, F.col("caller").alias("callee")).distinct(), [*keys, "callee"], "left_semi")
-    live = stage(live.select(*keys, "caller", "callee"), "calls")
-    reach, found = live, live.filter("caller = callee").select(*keys, F.col("caller").alias("name"))
-    step = live.select(*keys, F.col("caller").alias("callee"), F.col("callee").alias("next"))
-    for _ in range(depth - 1):
-        reach = stage(reach.join(step, [*keys, "callee"]).select(*keys, "caller", F.col("next").alias("callee")).distinct(), "reach")
-        found = found.unionByName(reach.filter("caller = callee").select(*keys, F.col("caller").alias("name")))
-        if reach.isEmpty():
-            break
-    return found.distinct()
+    kinds = dict(edges.dtypes)
+
+    def run(key, pdf):
+        return type(pdf)([(*key, name) for name in cycle_members(list(zip(pdf["caller"], pdf["callee"])))], columns=[*keys, "name"])
+
+    return live.select(*keys, "caller", "callee").groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", name string")
 
 
 def relation_weights(relations: DataFrame, kind: str = "kind") -> DataFrame:

@@ -40,8 +40,10 @@ def best_by_name(hits: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFra
         F.when(F.lower("entity_name") == t, 5).when(F.contains(F.lower("entity_name"), t), 4).when(F.contains(F.lower("qualified_name"), t), 3)
         .when(F.contains(F.lower("signature"), t), 2).when(F.contains(F.lower("content"), t), 1).otherwise(0)
     )
+    # what was searched stays behind before the rows are ranked
+    j = j.withColumn("score", score).drop("content", "signature", "qualified_name", "entity_name")
     w = Window.partitionBy("hit_id").orderBy(F.col("score").desc(), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1)), "start_line", "id")
-    return j.withColumn("score", score).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    return j.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
 def unless_overlapping(text_hits: DataFrame, semantic_hits: DataFrame, keys: list[str], band: int = BAND) -> DataFrame:
@@ -51,9 +53,24 @@ def unless_overlapping(text_hits: DataFrame, semantic_hits: DataFrame, keys: lis
     return text_hits.join(covered, "hit_id", "left_anti")
 
 
-def enclosing(members: DataFrame, owners: DataFrame, keys: list[str]) -> DataFrame:
+def enclosing(members: DataFrame, owners: DataFrame, keys: list[str], band: int = BAND) -> DataFrame:
     """The smallest owner range that holds each member's; members without one are left out. members: keys, id, start_line, end_line;
-    owners: keys, owner_id, owner_start, owner_end. An owner never encloses itself."""
-    j = members.join(owners, keys).filter("start_line >= owner_start and end_line <= owner_end and owner_id <> id")
+    owners: keys, owner_id, owner_start, owner_end. An owner never encloses itself. The join is on the band of the member's first line, in which an owner
+    that holds it has to be, so that a file of very many constructs is no quadratic join."""
+    m = members.withColumn("__band", F.floor(F.col("start_line") / band))
+    j = m.join(_banded(owners.dropna(subset=["owner_start", "owner_end"]).filter("owner_start <= owner_end"), "owner_start", "owner_end", band), [*keys, "__band"]).drop("__band")
+    j = j.filter("start_line >= owner_start and end_line <= owner_end and owner_id <> id")
     w = Window.partitionBy("id").orderBy(F.col("owner_end") - F.col("owner_start"), "owner_id")
     return j.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def preceding(members: DataFrame, owners: DataFrame, keys: list[str], within: int) -> DataFrame:
+    """The nearest owner that ends before each member starts, at most ``within`` lines before (an as-of join): members with owner_id; without one they are left
+    out. Of owners that end on one line the smallest id counts. Both are put in one order, so that a file is passed once."""
+    o = owners.groupBy(*keys, F.col("owner_end").alias("__at")).agg(F.min("owner_id").alias("owner_id"))
+    both = members.select(*keys, F.col("start_line").alias("__at"), F.lit(0).alias("__kind"), F.struct(*members.columns).alias("m"), F.lit(None).cast(o.schema["owner_id"].dataType).alias("owner_id"), F.lit(None).cast("int").alias("__end"))
+    both = both.unionByName(o.select(*keys, "__at", F.lit(1).alias("__kind"), F.lit(None).cast(both.schema["m"].dataType).alias("m"), "owner_id", F.col("__at").cast("int").alias("__end")))
+    # members of a line come before the owners that end on it
+    w = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = both.withColumns({"owner_id": F.last("owner_id", True).over(w), "__end": F.last("__end", True).over(w)})
+    return r.filter((F.col("__kind") == 0) & (F.col("__at") - F.col("__end") <= within)).select("m.*", "owner_id")

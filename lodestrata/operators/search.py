@@ -246,5 +246,7 @@ def fuse(semantic: DataFrame, text: DataFrame, by: Sequence[str] = ()) -> DataFr
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset + 1 to offset + limit in order; the order must be total."""
+    """Rows offset + 1 to offset + limit in order; the order must be total. ValueError for a limit below 1 or a negative offset."""
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be at least 1 and offset not negative")
     return df.orderBy(*order).offset(offset).limit(limit)

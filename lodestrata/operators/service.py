@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.code import name_candidates
 from ..functions.vectors import cosine_to
-from . import search
+from . import intervals, search
 
 MODES = ("semantic", "text", "hybrid")
 SORTS = ("similarity:desc", "similarity:asc", "file_path:asc", "file_path:desc")
@@ -104,16 +105,63 @@ def text(r: SearchRequest, chunks: DataFrame, repositories: DataFrame) -> DataFr
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("similarity", F.lit(None).cast("double")).select(*_COLUMNS)
 
 
-def run(r: SearchRequest, vector: list[float] | None, chunks: DataFrame, repositories: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """The page asked for: chunk columns, score, source and position. ``vector`` is the query's; only text mode does without."""
+def line_hits(r: SearchRequest, chunks: DataFrame, repositories: DataFrame) -> DataFrame:
+    """What a text engine that knows files answers: one hit per file with a line that holds the query's plain word: hit_id, repository (name),
+    file_path, hit_start and hit_end (its first such line), score (the number of such lines), term."""
+    known = _chunks(r, chunks, repositories)
+    word = r.query.strip().lower()
+    lines = known.select("repository", "file_path", "start_line", F.posexplode(F.split("content", "\n")).alias("n", "line")).filter(F.contains(F.lower("line"), F.lit(word)))
+    at = F.col("start_line") + F.col("n")
+    g = lines.groupBy("repository", "file_path").agg(F.min(at).alias("hit_start"), F.countDistinct(at).cast("double").alias("score"))
+    return g.select(F.concat_ws("|", "repository", "file_path").alias("hit_id"), "repository", "file_path", "hit_start", F.col("hit_start").alias("hit_end"), "score", F.lit(word).alias("term"))
+
+
+def resolved(hits: DataFrame, chunks: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Hits of files as hits of chunks: of a hit with lines the chunk that overlaps them best, of one without the chunk whose name fits its term best. The repository's name is
+    tried as it is, then without its host. Columns: hit_id, score, chunk_id and the chunk's own; a hit with lines that no chunk holds keeps its own place and a null
+    chunk_id, one without lines is left out."""
+    repos = repositories.filter("deleted_at is null").select(F.col("id").alias("repository_id"), F.col("name").alias("known"))
+    c = chunks.filter("deleted_at is null").select("id", "repository_id", "file_path", "start_line", "end_line", "content", "entity_name", "qualified_name", "signature")
+    named = hits.select("*", F.posexplode(name_candidates(F.col("repository"))).alias("try", "known")).join(repos, "known").withColumnRenamed("hit_id", "asked")
+    named = named.withColumn("hit_id", F.struct("asked", "try"))
+    keys = ["repository_id", "file_path"]
+    lined = intervals.best_overlap(named.filter("hit_start is not null").select(*keys, "hit_id", "hit_start", "hit_end"), c.select(*keys, "id", "start_line", "end_line"), keys).select("hit_id", "id")
+    by_name = intervals.best_by_name(named.filter("hit_start is null").select(*keys, "hit_id", "term"), c, keys).select("hit_id", "id")
+    best = lined.unionByName(by_name).groupBy(F.col("hit_id.asked").alias("hit_id")).agg(F.min_by("id", "hit_id.try").alias("chunk_id"))
+    place = c.join(repos, "repository_id").select(F.col("id").alias("chunk_id"), F.col("known").alias("c_repository"), F.col("file_path").alias("c_path"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"), F.col("content").alias("c_content"))
+    got = hits.join(best, "hit_id", "left").join(place, "chunk_id", "left").filter("chunk_id is not null or hit_start is not null")
+    pick = lambda a, b: F.coalesce(a, b)
+    return got.select(
+        "hit_id", "score", "chunk_id", pick("c_repository", "repository").alias("repository"), pick("c_path", "file_path").alias("file_path"),
+        pick("c_start", "hit_start").cast("int").alias("start_line"), pick("c_end", "hit_end").cast("int").alias("end_line"), pick("c_content", F.lit("")).alias("content"),
+    )
+
+
+def text_of_hits(r: SearchRequest, hits: DataFrame, found: DataFrame | None, chunks: DataFrame, repositories: DataFrame) -> DataFrame:
+    """The ranked list of a text engine's hits: resolved to chunks, without those that no chunk holds but a result in ``found`` covers; by score, repository, path and line."""
+    t = resolved(hits, chunks, repositories)
+    if found is not None:
+        bare = t.filter("chunk_id is null").withColumnsRenamed({"start_line": "hit_start", "end_line": "hit_end"})
+        bare = intervals.unless_overlapping(bare, found.select("repository", "file_path", "start_line", "end_line"), ["repository", "file_path"])
+        t = t.filter("chunk_id is not null").unionByName(bare.withColumnsRenamed({"hit_start": "start_line", "hit_end": "end_line"}))
+    order = [F.col("score").desc(), F.col("repository"), F.col("file_path"), F.col("start_line"), F.col("chunk_id").asc_nulls_last()]
+    top = t.orderBy(*order).limit(r.fetched)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # limit + offset rows
+
+
+def run(r: SearchRequest, vector: list[float] | None, chunks: DataFrame, repositories: DataFrame, embeddings: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """The page asked for: chunk columns, score, source and position. ``vector`` is the query's; only text mode does without. With ``hits`` (see line_hits) of a text
+    engine these are the text results, else the chunks are searched themselves."""
     if r.mode != "text" and vector is None:
         raise ValueError("the mode needs the query's vector")
     base = ["rank", "chunk_id", "repository", "file_path", "start_line", "end_line", "content"]
     if r.mode == "hybrid":
-        fused = search.fuse(semantic(r, vector, chunks, repositories, embeddings).select(*base), text(r, chunks, repositories).select(*base))
-        return search.page(fused, [F.col("position")], r.limit, r.offset)
+        near = semantic(r, vector, chunks, repositories, embeddings).select(*base)
+        words = text(r, chunks, repositories) if hits is None else text_of_hits(r, hits, near, chunks, repositories)
+        return search.page(search.fuse(near, words.select(*base)), [F.col("position")], r.limit, r.offset)
     if r.mode == "text":
-        got = text(r, chunks, repositories).withColumns({"score": 1.0 / F.col("rank"), "source": F.lit("text")})
+        words = text(r, chunks, repositories) if hits is None else text_of_hits(r, hits, None, chunks, repositories)
+        got = words.select(*base).withColumns({"score": 1.0 / F.col("rank"), "source": F.lit("text")})
     else:
         got = semantic(r, vector, chunks, repositories, embeddings).withColumns({"score": F.col("similarity"), "source": F.lit("embedding")})
     key, _, way = r.sort.partition(":")

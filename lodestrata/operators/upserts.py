@@ -54,6 +54,25 @@ def soft_delete(df: DataFrame, match: Column, now: Column) -> DataFrame:
     return df.withColumn("deleted_at", F.when(F.coalesce(match, F.lit(False)) & F.col("deleted_at").isNull(), now).otherwise(F.col("deleted_at")))
 
 
+def hard_delete(df: DataFrame, match: Column) -> DataFrame:
+    """Rows that don't match; a null condition keeps the row."""
+    return df.filter(~F.coalesce(match, F.lit(False)))
+
+
+def remapped(values: Column, table: dict[str, str]) -> Column:
+    """Values of an enumeration under their new names; others stay."""
+    out = None
+    for old, new in table.items():
+        out = F.when(values == old, new) if out is None else out.when(values == old, new)
+    return values if out is None else out.otherwise(values)
+
+
+def fetched(asked: DataFrame, stored: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(stored rows of the asked keys, asked keys that aren't stored)."""
+    k = asked.select(key).dropna().distinct()
+    return stored.join(k, key, "left_semi"), k.join(stored.select(key), key, "left_anti")
+
+
 def orphans(child: DataFrame, parents: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """Child rows of which one of the parents is missing: (parent, child column, parent column) each."""
     out = None

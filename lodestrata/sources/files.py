@@ -26,6 +26,17 @@ def source_files(spark: SparkSession, root: str, patterns: list[str] | None = No
     return f.select("path", "size", strings.extension_language(F.col("path")).alias("language"), F.decode("bytes", "UTF-8").alias("content"))
 
 
+def skipped_files(spark: SparkSession, root: str, max_bytes: int = 1_000_000) -> DataFrame:
+    """(path, size, reason) of the files that source_files leaves out for their size, as binary or by folder, so that none vanishes unseen."""
+    base = root.rstrip("/").removeprefix("file:").rstrip("/") or "/"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _quoted(base) + "/*", "")
+    # the bytes of a large file aren't looked at
+    reason = F.when(strings.in_skipped_folder(F.col("path")), "folder").when(F.col("size") > max_bytes, "size").when(code.is_binary(F.col("path"), F.col("bytes")), "binary")
+    f = raw.select(rel.alias("path"), F.col("length").alias("size"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("bytes"))
+    return f.select("path", "size", reason.alias("reason")).filter("reason is not null")
+
+
 def _quoted(text: str) -> str:
     return "".join("\\" + c if c in ".+^${}[]()|\\*?" else c for c in text)
 

@@ -276,3 +276,125 @@ def test_stats(spark):
     assert [r.k for r in stats.sample_prefix(df, ["k"], 5).collect()] == [0] and stats.sample_prefix(df, ["k"], 30).count() == 3
     assert stats.sample_prefix(df.limit(0), ["k"], 30).count() == 0
     assert stats.failure_rates(df.limit(0), F.lit(True)).first().retryable_share == 0.0
+
+
+def test_grouping_strategies(spark):
+    from lodestrata.operators.chunking import Piece, group_classes, group_hybrid, groups_of, suited_strategy
+
+    def p(kind, name, start, end):
+        return Piece(kind, name, start, end, "go")
+
+    cls = [p("class", "A", 0, 1000), p("method", "m1", 10, 300), p("method", "m2", 310, 900), p("function", "f", 1100, 1300), p("function", "g", 1310, 1400), p("struct", "B", 1500, 1600)]
+    names = lambda groups: [[x.name for x in g] for g in groups]
+    assert names(group_classes(cls)) == [["A", "m1", "m2"], ["f", "g"], ["B"]]
+    assert names(group_classes(cls, limit=600)) == [["A", "m1"], ["m2"], ["f", "g"], ["B"]]
+    assert names(group_hybrid([p("function", "a", 0, 900), p("function", "b", 900, 1800), p("function", "c", 1800, 1850)], 1000)) == [["a"], ["b", "c"]]
+    assert suited_strategy([p("class", "A", 0, 10)]) == "class" and suited_strategy([p("function", "a", 0, 10)]) == "function" and suited_strategy([p("other", "a", 0, 5000)]) == "size" and suited_strategy([]) == "hybrid"
+    assert names(groups_of(cls, "adaptive")) == names(groups_of(cls, "function"))
+    df = spark.createDataFrame([("r", x.kind, x.name, x.start, x.end, x.language) for x in cls] + [("s", "function", "z", 0, 5, "go")], "repo string, kind string, name string, start_byte int, end_byte int, language string")
+    got = {(r.repo, r.name): r.group_no for r in chunking.grouped(df, ["repo"], "class").collect()}
+    assert got == {("r", "A"): 1, ("r", "m1"): 1, ("r", "m2"): 1, ("r", "f"): 2, ("r", "g"): 2, ("r", "B"): 3, ("s", "z"): 1}
+    assert chunking.grouped(df.limit(0), ["repo"], "hybrid").count() == 0
+
+
+def test_windows_begin_with_their_first_event(spark):
+    at = [0, 10, 299, 300, 301, 302, 700, 1003]
+    df = spark.createDataFrame([(k, "a" if k % 3 else None, T + dt.timedelta(seconds=s)) for s in at for k in (1, 3)], "k int, code string, ts timestamp_ntz")
+    kept = errors.first_in_window(df, ["code"], "ts", 300).orderBy("code", "ts").collect()
+    assert [(r.code, (r.ts - T).seconds) for r in kept] == [(c, s) for c in (None, "a") for s in (0, 301, 700, 1003)]
+    w = errors.duplicates_in_window(df.filter("code = 'a'"), ["code"], "ts", 300, 3).orderBy("first_at").collect()
+    assert [(r.n, r.suppressed) for r in w] == [(4, True), (2, False), (1, False), (1, False)]
+    assert errors.first_in_window(df.limit(0), ["code"], "ts", 300).count() == 0
+
+
+def test_cycles_of_any_length(spark):
+    from lodestrata.operators import graphs
+
+    n = 40
+    edges = [("r", f"n{k}", f"n{(k + 1) % n}") for k in range(n)] + [("r", "n0", "leaf"), ("r", "root", "n0"), ("r", "self", "self"), ("s", "a", "b"), ("s", "b", "c")]
+    got = graphs.on_cycles(spark.createDataFrame(edges, "repo string, caller string, callee string"), ["repo"])
+    assert {(r.repo, r.name) for r in got.collect()} == {("r", f"n{k}") for k in range(n)} | {("r", "self")}
+    assert graphs.cycle_members([]) == [] and len(graphs.cycle_members([(str(k), str((k + 1) % 50_000)) for k in range(50_000)])) == 50_000
+
+
+def test_values_of_small_functions(spark):
+    from lodestrata.functions import code
+    from lodestrata.functions.vectors import euclidean
+
+    r = spark.range(1).select(
+        code.is_binary_stream(F.encode(F.lit("a\tb\n" * 3), "UTF-8")).alias("tabs"), code.is_binary_stream(F.encode(F.lit("plain text"), "UTF-8")).alias("plain"), code.is_binary_stream(F.encode(F.lit(""), "UTF-8")).alias("none"), code.is_binary_stream(F.unhex(F.lit("FFD8FF"))).alias("three"),
+        euclidean(F.array(F.lit(0.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(0.0))).alias("five"), euclidean(F.array(F.lit(0.0)), F.array(F.lit(4.0), F.lit(0.0))).alias("unequal"), chunking.validation_score(F.array(F.lit("high")), F.lit(False)).alias("invalid"), chunking.validation_score(F.array(F.lit("high"), F.lit("low"))).alias("issues"),
+        chunking.complexity_score(F.lit(1.0), F.lit(0), F.lit(9000), F.lit(0)).alias("nothing"), chunking.overlap_context([F.lit("aaa"), F.lit(None), F.lit("bbbbbb"), F.lit("cc")], 6).alias("fits"), stats.priority_rank(F.lit(" low ")).alias("low"), code.name_candidates(F.lit("h/o/r/x")).alias("names"), code.doc_details(F.lit("Sum.\n\n more\n@x y\nend")).alias("details"),
+    ).first()
+    assert (r.tabs, r.plain, r.none, r.three, r.five, r.unequal, r.invalid, round(r.issues, 6), r.nothing, r.fits, r.low, r.names, r.details) == (True, False, False, True, 5.0, None, 0.0, 0.6, 0.0, "aaa\ncc", 2, ["h/o/r/x", "o/r/x"], "more\nend")
+    with pytest.raises(ValueError):
+        search.page(spark.range(3), [F.col("id")], 0)
+
+
+GO_SOURCE = """package shop
+
+import (
+\t"fmt"
+)
+
+const (
+\tLimit = 10
+\tlow, High = 1, 2
+)
+
+var (
+\tshared int
+)
+
+type Item struct {
+\tName string
+}
+
+func (i *Item) Show() string {
+\treturn fmt.Sprint(i.Name)
+}
+"""
+TS_SOURCE = """export enum Kind { A, B }
+type Pair<T> = [T, T];
+export const LIMIT = 5;
+const double = (x: number) => x * 2;
+const Base = class extends Root {
+  run(): void {
+  }
+};
+exports.handler = async function (event) {
+};
+export { a, b } from "./c";
+"""
+
+
+def test_constructs_become_chunks(spark):
+    from lodestrata.operators import extract
+
+    df = spark.createDataFrame([("1", GO_SOURCE, "a.go"), ("2", TS_SOURCE, "b.ts"), ("3", "def f(:\n", "c.py"), ("4", None, "d.py"), ("5", " \n", "e.go"), ("6", "class A:\n    def m(self):\n        pass\n", "f.py")], "id string, content string, file_path string")
+    got = {}
+    for r in extract.chunk_rows(df).orderBy("id", "ord").collect():
+        got.setdefault(r.id, []).append((r.chunk_type, r.entity_name, r.start_line, r.end_line, r.visibility))
+    assert got["1"] == [("constant", "Limit", 8, 8, "public"), ("constant", "High", 9, 9, "public"), ("constant", "low", 9, 9, "private"), ("variable", "shared", 13, 13, "private"), ("struct", "Item", 16, 18, "public"), ("method", "Show", 20, 22, "public")]
+    assert {(k, n) for k, n, *_ in got["2"]} >= {("enum", "Kind"), ("type", "Pair"), ("constant", "LIMIT"), ("function", "double"), ("class", "Base"), ("method", "run"), ("function", "handler")}
+    assert got["3"] == [("fragment", None, 1, 2, None)] and set(got) == {"1", "2", "3", "6"} and [x[:2] for x in got["6"]] == [("class", "A"), ("method", "m")]
+    exported = [r.name for r in extract.constructs(df.filter("id = '2'")).filter("kind = 'export'").collect()]
+    assert exported == ["./c"]
+
+
+def test_no_file_vanishes_unseen(spark, tmp_path):
+    from lodestrata.sources.files import skipped_files, source_files
+
+    (tmp_path / "vendor").mkdir()
+    for name, data in (("a.go", b"package a\n"), ("big.py", b"x = 1\n" * 300), ("b.bin", b"\x00\x01"), ("vendor/c.go", b"package c\n")):
+        (tmp_path / name).write_bytes(data)
+    assert [r.path for r in source_files(spark, str(tmp_path), max_bytes=1000).collect()] == ["a.go"]
+    assert {(r.path, r.reason) for r in skipped_files(spark, str(tmp_path), max_bytes=1000).collect()} == {("big.py", "size"), ("b.bin", "binary"), ("vendor/c.go", "folder")}
+
+
+def test_unknown_names_can_be_errors(spark):
+    r = spark.createDataFrame([("1", "o/alpha", T)], "id string, name string, created_at timestamp_ntz")
+    asked = spark.createDataFrame([("Alpha",), ("beta",)], "asked string")
+    assert [x.id for x in catalog.resolve_names(asked, r).collect()] == ["1"]
+    with pytest.raises(ValueError, match="beta"):
+        catalog.resolve_names(asked, r, strict=True)

@@ -7,6 +7,7 @@ from decimal import Decimal
 
 import pytest
 
+from lodestrata import measures  # noqa: F401  adds its queries
 from lodestrata.catalogue import ORACLE, QUERIES
 
 

@@ -43,6 +43,23 @@ def test_text_and_hybrid(tables):
     assert [(x.chunk_id, x.source) for x in got] == [("1", "both"), ("3", "both"), ("2", "embedding"), ("4", "text")]
 
 
+def test_hits_of_files(spark, tables):
+    """Resolution by lines, by name, with the host in front, and hits that no chunk holds: these leave where a found chunk covers them."""
+    c, r, e = tables
+    c = c.withColumns({"qualified_name": F.lit("q"), "signature": F.lit("s")})
+    hits = spark.createDataFrame([("h1", "o/r", "a.go", 2, 2, 5.0, "x"), ("h2", "host/o/r", "b.py", 1, 1, 4.0, "x"), ("h3", "o/r", "c.go", None, None, 3.0, "name3"), ("h4", "o/r", "a.go", 20, 21, 2.0, "x"), ("h5", "none", "z.go", None, None, 9.0, "x"), ("h6", "o/s", "new.go", 1, 3, 1.0, "x"), ("h7", "o/g", "e.go", 1, 1, 8.0, "x")], "hit_id string, repository string, file_path string, hit_start int, hit_end int, score double, term string")
+    got = {x.hit_id: (x.chunk_id, x.start_line, x.end_line) for x in service.resolved(hits, c, r).collect()}
+    assert got == {"h1": ("1", 1, 9), "h2": ("2", 1, 5), "h3": ("3", 1, 5), "h4": (None, 20, 21), "h6": (None, 1, 3), "h7": (None, 1, 1)}
+    ask = service.SearchRequest("alpha", mode="hybrid", limit=20)
+    found = spark.createDataFrame([("o/r", "a.go", 21, 30)], "repository string, file_path string, start_line int, end_line int")
+    listed = service.text_of_hits(ask, hits, found, c, r).orderBy("rank").collect()
+    assert [x.hit_id for x in listed] == ["h7", "h1", "h2", "h3", "h6"]
+    page = service.run(ask, [1.0, 0.0], c, r, e, hits).orderBy("position").collect()
+    assert [(x.chunk_id, x.source) for x in page][:2] == [("1", "both"), ("2", "both")] and {x.source for x in page if x.chunk_id is None} == {"text"}
+    lines = {(x.repository, x.file_path, x.hit_start, x.score) for x in service.line_hits(ask, c, r).collect()}
+    assert lines == {("o/r", "a.go", 1, 1.0), ("o/r", "c.go", 1, 1.0), ("o/s", "d.go", 1, 1.0)}
+
+
 @pytest.mark.parametrize("bad", [{"query": " "}, {"mode": "x"}, {"limit": 0}, {"limit": 101}, {"offset": -1}, {"threshold": 2}, {"sort": "x"}, {"repository_names": ["a"]}, {"repository_names": ["a/b", "a/b"]}])
 def test_requests_are_checked(bad):
     with pytest.raises(ValueError):
@@ -50,14 +67,18 @@ def test_requests_are_checked(bad):
 
 
 def test_indexing_twice(spark, tmp_path):
-    (tmp_path / "a.go").write_text("package a\n" + "func f() {}\n" * 200)
+    (tmp_path / "a.go").write_text("package a\n\nfunc F() {\n\tg()\n}\n\ntype T struct {\n\ta int\n}\n")
     (tmp_path / "b.py").write_text("x = 1\n")
+    (tmp_path / "c.md").write_text("words\n" * 600)
     files = source_files(spark, str(tmp_path))
     now = F.lit("2024-01-01").cast("timestamp")
     c = spark.createDataFrame([], CHUNKS)
     e = spark.createDataFrame([], "id string, chunk_id string, repository_id string, embedding array<float>, model_version string, language string, chunk_type string, file_path string, created_at timestamp, deleted_at timestamp")
-    c1, e1 = indexing.index(files, "r", c, e, "m", now)
+    embed = lambda text: F.when(F.length(text) > 0, F.array(F.length(text).cast("float"), F.lit(1.0).cast("float")))
+    c1, e1 = indexing.index(files, "r", c, e, "m", now, embed)
     c1, e1 = (spark.createDataFrame(t.collect(), t.schema) for t in (c1, e1))
     assert c1.count() == e1.count() > 1
-    c2, e2 = indexing.index(files, "r", c1, e1, "m", now)
+    kinds = {(r.file_path, r.chunk_type) for r in c1.collect()}
+    assert kinds == {("a.go", "function"), ("a.go", "struct"), ("b.py", "variable"), ("c.md", "fragment")}
+    c2, e2 = indexing.index(files, "r", c1, e1, "m", now, embed)
     assert sorted(r.id for r in c2.collect()) == sorted(r.id for r in c1.collect()) and e2.count() == e1.count()
