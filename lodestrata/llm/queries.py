@@ -21,6 +21,11 @@ def p1_flows(spark: SparkSession, d: str) -> DataFrame:
     return ranking.net_flow(load(spark, d, "search_results")).select("query_id", "chunk_id", F.round("net_flow", 6).alias("net_flow"))
 
 
+def p1_linear(spark: SparkSession, d: str) -> DataFrame:
+    flows = ranking.net_flow(load(spark, d, "search_results"), preference=(0.05, 0.4))
+    return flows.select("query_id", "chunk_id", F.round("net_flow", 6).alias("net_flow"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(live(load(spark, d, "code_chunks")))
 
@@ -92,7 +97,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_assigned(spark, d), load(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flows, p2_found, p2_counts, p3_found, p4_found, p4_groups, p4_links, p5_found, p6_found, p6_rates, p8_found, p8_items, p9_found, p9_shares, p9_mix, p10_found, p10_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flows, p1_linear, p2_found, p2_counts, p3_found, p4_found, p4_groups, p4_links, p5_found, p6_found, p6_rates, p8_found, p8_items, p9_found, p9_shares, p9_mix, p10_found, p10_composition)}
 
 _FLOWS = """
 WITH best AS (
@@ -118,4 +123,17 @@ flows AS (
 ORACLE: dict[str, str] = {
     "p1_found": _FLOWS + "SELECT query_id, chunk_id FROM flows QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY num DESC, chunk_id) <= 5",
     "p1_flows": _FLOWS + "SELECT query_id, chunk_id, CASE WHEN scale > 0 THEN round(num / scale, 6) ELSE 0.0 END AS net_flow FROM flows",
+    # every pair by the definition of the preference function
+    "p1_linear": """
+WITH best AS (
+  SELECT query_id, chunk_id, lower(trim(source_engine)) AS e, max(CASE WHEN similarity IS NOT NULL AND NOT isnan(similarity) THEN similarity END) AS s FROM search_results GROUP BY 1, 2, 3),
+n AS (SELECT query_id, count(DISTINCT chunk_id) AS n FROM best GROUP BY 1),
+r AS (SELECT query_id, chunk_id, e, (2 * (rank() OVER w - 1) + count(*) OVER (PARTITION BY query_id, e, s) - 1) / nullif(2.0::DOUBLE * (count(*) OVER (PARTITION BY query_id, e) - 1), 0) AS p, count(*) OVER (PARTITION BY query_id, e) AS m
+      FROM best WHERE s IS NOT NULL WINDOW w AS (PARTITION BY query_id, e ORDER BY s)),
+g AS (SELECT a.query_id, a.chunk_id, a.e, any_value(a.m) AS m, sum(CASE WHEN a.p - b.p > 0 THEN least(1, greatest(0, (a.p - b.p - 0.05) / 0.35)) WHEN a.p - b.p < 0 THEN -least(1, greatest(0, (b.p - a.p - 0.05) / 0.35)) ELSE 0 END) AS net
+      FROM r a JOIN r b USING (query_id, e) GROUP BY 1, 2, 3),
+w AS (SELECT query_id, count(*) AS w, sum(m) AS lost FROM (SELECT DISTINCT query_id, e, m FROM r) GROUP BY 1),
+f AS (SELECT query_id, chunk_id, sum(net - m + n + m) AS got, sum(m) AS had FROM g JOIN n USING (query_id) GROUP BY 1, 2)
+SELECT c.query_id, c.chunk_id, CASE WHEN (n.n - 1) * coalesce(w.w, 0) > 0 THEN round((coalesce(f.got, 0) - coalesce(w.lost, 0)) / ((n.n - 1) * w.w), 6) ELSE 0.0 END AS net_flow
+FROM (SELECT DISTINCT query_id, chunk_id FROM best) c JOIN n USING (query_id) LEFT JOIN w USING (query_id) LEFT JOIN f USING (query_id, chunk_id)""",
 }

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +28,14 @@ def encoding(path: str):
 
 
 def token_count(path: str = VOCABULARY):
-    """A column function: number of tokens of a text, null for null. Strings of special tokens are ordinary text."""
+    """A column function: number of tokens of a text, null for null. Strings of special tokens are ordinary text. The driver reads the
+    file and sends it to the executors."""
+    SparkSession.active().sparkContext.addFile(path)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
 
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(path)
+        enc = encoding(SparkFiles.get(name))
         for s in batches:
             yield pd.Series([None if t is None else len(enc.encode_ordinary(t)) for t in s], dtype="Int64")
 

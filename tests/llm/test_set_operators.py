@@ -43,6 +43,24 @@ def test_net_flow_equals_pairwise_comparison(spark):
     assert ranking.net_flow(df.limit(0)).count() == 0
     heavy = {(r.query_id, r.chunk_id): r.net_flow for r in ranking.net_flow(df, {"A": 0, "b": 0}).collect()}
     assert heavy != got
+    for q0, p0 in ((0.0, 0.3), (0.1, 0.5), (0.0, 2.0)):
+        got = {(r.query_id, r.chunk_id): r.net_flow for r in ranking.net_flow(df, preference=(q0, p0)).collect()}
+        assert got.keys() == want.keys()
+        for (q, c), flow in got.items():
+            cs, f = best[q], 0.0
+            engines = {e for v in cs.values() for e in v}
+            for e in engines:
+                have = [v[e] for v in cs.values() if e in v]
+                pct = lambda x: (2 * sum(y < x for y in have) + sum(y == x for y in have) - 1) / max(1, 2 * (len(have) - 1))
+                for o in cs:
+                    if o != c and (e in cs[c]) != (e in cs[o]):
+                        f += 1 if e in cs[c] else -1
+                    elif o != c and e in cs[c]:
+                        d = pct(cs[c][e]) - pct(cs[o][e])
+                        f += math.copysign(min(1.0, max(0.0, (abs(d) - q0) / (p0 - q0))), d)
+            assert abs(flow - (f / ((len(cs) - 1) * len(engines)) if len(cs) > 1 and engines else 0.0)) < 1e-9
+    with pytest.raises(ValueError):
+        ranking.net_flow(df, preference=(0.2, 0.2))
 
 
 CHUNKS = "id string, content string, file_path string, language string, copy_key string, n int"
