@@ -812,7 +812,7 @@ def similar_names(spark: SparkSession, d: str) -> DataFrame:
 
 @register("fnv_hash")
 def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", code.fnv32a("text").alias("h"))
+    return spread(load(spark, d, "documents").select("doc_id", "text")).select("doc_id", code.fnv32a("text").alias("h"))
 
 
 @register("request_keys", "SELECT id, 'chunk_' || replace(id, '-', '') AS key, id AS back FROM code_chunks")
