@@ -35,6 +35,9 @@ RETRY_KINDS = [
     ("circuit_breaker", ["circuit breaker", "circuit"]),
     ("rate_limit", ["rate limit", "too many requests"]),
 ]
+#: Signs of an exhausted quota, and of any limit on the rate.
+QUOTA_SIGNS = ["quota exceeded", "quota_exceeded", "resource exhausted", "billing required", "you exceeded your current quota", "insufficient quota", "429", "resource_exhausted"]
+RATE_SIGNS = ["quota", "rate limit", "429", "resource exhausted"]
 ERROR_SUFFIXES = [
     ("_connection_failure", ["connection refused", "connection failed", "no connection"]),
     ("_timeout_failure", ["timeout", "timed out", "deadline exceeded"]),
@@ -80,6 +83,14 @@ def error_code(message: Column, component: Column) -> Column:
     return F.concat(component, first_group(message, ERROR_SUFFIXES, "_processing_failure"))
 
 
+def is_quota_failure(message: Column) -> Column:
+    return F.coalesce(any_of(F.lower(message), QUOTA_SIGNS), F.lit(False))
+
+
+def is_rate_limited(message: Column) -> Column:
+    return F.coalesce(any_of(F.lower(message), RATE_SIGNS), F.lit(False))
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -188,6 +188,18 @@ def error_codes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").filter("text is not null").select("doc_id", strings.error_code(F.col("text"), F.lit("git")).alias("code"))
 
 
+@register(
+    "retry_kinds",
+    """SELECT doc_id, CASE WHEN text IS NULL THEN 'unknown' WHEN regexp_matches(lower(text), 'nats|jetstream|messaging') THEN 'messaging' WHEN regexp_matches(lower(text), 'connection|timeout|network|dns|refused') THEN 'network'
+      WHEN regexp_matches(lower(text), 'authentication|auth|credentials|unauthorized|permission') THEN 'authentication' WHEN regexp_matches(lower(text), 'disk space|no space|space left') THEN 'disk_space' WHEN regexp_matches(lower(text), 'repository|not found|access denied') THEN 'repository_access'
+      WHEN regexp_matches(lower(text), 'circuit breaker|circuit') THEN 'circuit_breaker' WHEN regexp_matches(lower(text), 'rate limit|too many requests') THEN 'rate_limit' ELSE 'unknown' END AS kind,
+      coalesce(regexp_matches(lower(text), 'quota|rate limit|429|resource exhausted'), false) AS limited, coalesce(regexp_matches(lower(text), 'quota exceeded|quota_exceeded|resource exhausted|billing required|you exceeded your current quota|insufficient quota|429|resource_exhausted'), false) AS quota FROM documents""",
+)
+def retry_kinds(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return load(spark, d, "documents").select("doc_id", strings.retry_kind(t).alias("kind"), strings.is_rate_limited(t).alias("limited"), strings.is_quota_failure(t).alias("quota"))
+
+
 @register("vec_text_codec", "SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def vec_text_codec(spark: SparkSession, d: str) -> DataFrame:
     """Vectors written as texts and read again."""
@@ -385,6 +397,17 @@ def err_cascade_severity(spark: SparkSession, d: str) -> DataFrame:
     return errors.cascades(errors.windows(_coded(spark, d)), 200).select(F.unix_micros("window_start").alias("at"), "severity")
 
 
+@register("err_groups")
+def err_groups(spark: SparkSession, d: str) -> DataFrame:
+    c = load(spark, d, "code_chunks").select(F.concat(F.lower(F.substring_index("file_path", "/", 1)), F.lit("_"), "chunk_type").alias("code"))
+    return errors.similarity_groups(c, 0.3)
+
+
+@register("size_groups")
+def size_groups(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.grouped(_pieces(spark, d), ["repository_id", "file_path"], "size", 800, 100)
+
+
 @register("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream, each user and type once: repetitions within a watermark of 60 days."""

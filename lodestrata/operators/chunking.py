@@ -118,6 +118,16 @@ def split_points(size: int, limit: int) -> list[tuple[int, int]]:
     return [(a, min(size, a + step)) for a in range(0, size, step)]
 
 
+def split_large(pieces: list[Piece], limit: int) -> list[Piece]:
+    """Pieces of at least twice the limit in parts of three quarters of it; interfaces, enumerations and constants stay whole."""
+    return [Piece(p.kind, p.name, p.start + a, p.start + b, p.language) for p in pieces for a, b in ([(0, p.size)] if p.kind in WHOLE else split_points(p.size, limit))]
+
+
+def large_function_parts(text: str, threshold: int = 10_240, size: int = 5_120) -> list[tuple[int, int, str]]:
+    """(start line, end line, content) of a function over ``threshold`` bytes in parts of about ``size`` bytes, cut between lines; of a smaller one as it is."""
+    return cut_lines(text, size if len(text.encode()) > threshold else threshold)
+
+
 def group_classes(pieces: list[Piece], limit: int = 1500, gap: int = 500) -> list[list[Piece]]:
     """Every outermost class-like piece with the pieces inside it; what stands in no class is grouped as by functions. A class group beyond
     ``limit`` bytes of members is packed by size, the class itself in front of the first part."""
@@ -167,7 +177,7 @@ def groups_of(pieces: list[Piece], strategy: str, limit: int = 1500, overlap: in
     if strategy == "adaptive":
         strategy = suited_strategy(pieces)
     if strategy == "size":
-        return pack_sizes(pieces, limit, 0, overlap)
+        return pack_sizes(split_large(pieces, limit), limit, limit // 10, overlap)
     return {"function": group_functions, "class": group_classes, "hybrid": group_hybrid}[strategy](pieces, limit)
 
 

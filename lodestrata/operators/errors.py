@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import code_similarity
+from ..plans.components import components
+from ..session import stage
 
 #: Severities from the gravest on; thresholds of the alert rule.
 SEVERITIES = ["CRITICAL", "ERROR", "WARNING", "INFO"]
@@ -69,6 +71,24 @@ def greedy_groups(codes: list[str], similarity, threshold: float) -> list[list[s
     return out
 
 
+def similarity_groups(codes: DataFrame, threshold: float, code: str = "code") -> DataFrame:
+    """(group, code): greedy_groups over all distinct codes; a group is named by its first code. Codes of different components of the similar pairs can't meet, so each component is
+    grouped on its own, from its pairs."""
+    c = codes.select(F.col(code).alias("c")).dropna().distinct()
+    pairs = stage(similar_pairs(c, threshold, "c"), "similar")
+    roots = components(pairs.select("a", "b"))
+    edges = pairs.join(roots.select(F.col("node").alias("a"), "root"), "a").select("root", "a", "b")
+
+    def run(key, pdf):
+        near = {(a, b) for a, b in zip(pdf["a"], pdf["b"])}
+        groups = greedy_groups([*pdf["a"], *pdf["b"]], lambda x, y: 1.0 if (x, y) in near else 0.0, 1.0)
+        return type(pdf)([(g[0], m) for g in groups for m in g], columns=["group", "code"])
+
+    grouped = edges.groupBy("root").applyInPandas(run, "group string, code string")
+    alone = c.join(roots.select(F.col("node").alias("c")), "c", "left_anti")
+    return grouped.unionByName(alone.select(F.col("c").alias("group"), F.col("c").alias("code")))
+
+
 def cascades(agg: DataFrame, seconds: int) -> DataFrame:
     """Windows in which two or more codes failed within ``seconds``: window_start, codes, their key, the gravest severity."""
     span = F.max(F.unix_micros(F.col("last_at").cast("timestamp"))) - F.min(F.unix_micros(F.col("first_at").cast("timestamp")))

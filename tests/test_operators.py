@@ -398,3 +398,29 @@ def test_unknown_names_can_be_errors(spark):
     assert [x.id for x in catalog.resolve_names(asked, r).collect()] == ["1"]
     with pytest.raises(ValueError, match="beta"):
         catalog.resolve_names(asked, r, strict=True)
+
+
+def test_similarity_groups_equal_the_greedy_ones(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    codes = sorted({"_".join(rng.sample(["git", "disk", "net", "auth", "parse", "token", "queue", "vector"], rng.randint(1, 3))) for _ in range(60)})
+    df = spark.createDataFrame([(c,) for c in codes + codes[:5] + [None]], "code string")
+    pairs = {(r.a, r.b): r.similarity for r in errors.similar_pairs(df, 0.0).collect()}
+    want = errors.greedy_groups(codes, lambda a, b: pairs.get((min(a, b), max(a, b)), 0.0), 0.5)
+    got = {}
+    for r in errors.similarity_groups(df, 0.5).collect():
+        got.setdefault(r.group, set()).add(r.code)
+    assert got == {g[0]: set(g) for g in want} and len(got) < len(codes) and len(list(itertools.chain(*got.values()))) == len(codes)
+    assert errors.similarity_groups(df.limit(0), 0.5).count() == 0
+
+
+def test_large_pieces_are_split():
+    from lodestrata.operators.chunking import Piece, groups_of, large_function_parts
+
+    ps = [Piece("function", "f", 0, 1000, "go"), Piece("interface", "i", 1000, 3000, "go"), Piece("function", "g", 3000, 3010, "go")]
+    assert [[(p.name, p.start, p.end) for p in g] for g in groups_of(ps, "size", 400)] == [[("f", 0, 300)], [("f", 300, 600)], [("f", 600, 900), ("f", 900, 1000)], [("i", 1000, 3000), ("g", 3000, 3010)]]
+    text = "func f() {\n" + "\tx()\n" * 3000 + "}"
+    parts = large_function_parts(text)
+    assert len(parts) > 2 and parts[0][0] == 1 and all(a[1] + 1 == b[0] for a, b in zip(parts, parts[1:])) and large_function_parts("f()\n") == [(1, 2, "f()\n")]
