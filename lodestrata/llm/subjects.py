@@ -4,7 +4,7 @@ A word's vector is the mean of the embeddings of the word and of its character n
 document's vector is the mean over its words, and each subject has a logistic output of its own, so that a document gets none,
 one or several. Training is data-parallel and synchronous: at every step each partition gives the gradient of its labelled documents at the
 shared model, the gradients are summed, weighted by documents, and one step is taken. The labelled rows used are bounded by ``max_labelled``, and so are
-partitions and what a step sends. A text that isn't prose, whose white-space separated parts are hardly ever plain words (lists of files, tables of hashes), has no subject.
+partitions and what a step sends. A text that isn't prose, whose white-space separated parts are longer than ``longest_parts`` characters on average (lists of files and hashes), has no subject.
 As the outputs are linear in the vectors, scoring needs one row of outputs per distinct word.
 """
 
@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 from ..session import spread, stage
 
 _CAMEL = re.compile(r"([a-zß-öø-ÿ])([A-Z])")
-_WORD = re.compile(r"[^\W\d_]+")
-_PLAIN = re.compile(r"(?<!\S)[\"'(]?[^\W\d_]+[.,;:!?)\"']*(?!\S)")
+_WORD = re.compile(r"[^\W\d_]{2,}")
 
 
 def words_of(text: str) -> list[str]:
-    """Letter runs in lower case, camel case split."""
-    return [w for w in _WORD.findall(_CAMEL.sub(r"\1 \2", text).lower()) if len(w) > 1]
+    """Letter runs of two or more in lower case, camel case split."""
+    return _WORD.findall(_CAMEL.sub(r"\1 \2", text).lower())
 
 
 def word_rows(word: str, buckets: int, low: int, high: int) -> list[int]:
@@ -47,19 +46,19 @@ class Settings:
     buckets: int = 1 << 16
     low: int = 4
     high: int = 5
-    steps: int = 30
+    steps: int = 40
     rate: float = 0.2
     decay: float = 1e-5
     max_labelled: int = 8_000
     per_partition: int = 1_000
     least_words: int = 8
-    least_plain: float = 0.2
-    threshold: float = 0.35
+    longest_parts: float = 20.0
+    threshold: float = 0.4
     seed: int = 11
 
 
 def is_prose(text: str, s: Settings) -> bool:
-    return len(_PLAIN.findall(text)) >= s.least_plain * len(text.split())
+    return len(text) <= s.longest_parts * len(text.split())
 
 
 @dataclass
@@ -173,8 +172,7 @@ _SEGMENT = re.compile(r"\n+|(?<=[.!?]) ")
 
 
 def blends(texts: list[str], labels: list[list[int]], rng: np.random.Generator) -> tuple[list[str], list[list[int]]]:
-    """Made-up documents from labelled ones of one subject: halves of two, with both subjects, and one with a single
-    sentence of another, which is a passing mention and keeps one subject."""
+    """Made-up documents of two subjects: halves of two labelled ones of one subject each."""
     single = [k for k, ks in enumerate(labels) if len(ks) == 1]
     parts = {k: [p for p in _SEGMENT.split(texts[k]) if p.strip()] for k in single}
     single = [k for k in single if len(parts[k]) > 3]
@@ -183,9 +181,8 @@ def blends(texts: list[str], labels: list[list[int]], rng: np.random.Generator)
     for k, other in zip(single, rng.permutation(single)):
         a, b = parts[k], parts[other]
         if labels[k] != labels[other]:
-            n, m = len(a) // 2, len(b) // 2
-            more_t += ["\n".join(a[:n] + b[m:]), "\n".join([*a, b[int(rng.integers(len(b)))]])]
-            more_l += [labels[k] + labels[other], labels[k]]
+            more_t.append("\n".join(a[: len(a) // 2] + b[len(b) // 2 :]))
+            more_l.append(labels[k] + labels[other])
     return more_t, more_l
 
 
@@ -241,17 +238,18 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, settings
     adam = _Adam(m)
     for _ in range(s.steps):
         shared = spark.sparkContext.broadcast(m)
-        got = rows.mapInArrow(_gradients(shared), "n long, used binary, table binary, out binary, bias binary").collect()
-        shared.unpersist()
-        total = sum(r.n for r in got)
-        if not total:
+        got = rows.mapInArrow(_gradients(shared), "n long, used binary, table binary, out binary, bias binary").toArrow()
+        shared.destroy()
+        counts = got.column("n").to_pylist()
+        if not counts:
             break
         sums = [np.zeros_like(x) for x in adam.params]
-        for r in got:
-            w = np.float32(r.n / total)
-            sums[0][np.frombuffer(r.used, np.int32)] += np.frombuffer(r.table, np.float32).reshape(-1, s.dim) * w
-            sums[1] += np.frombuffer(r.out, np.float32).reshape(m.out.shape) * w
-            sums[2] += np.frombuffer(r.bias, np.float32) * w
+        for n, *parts in zip(counts, *(got.column(c) for c in ("used", "table", "out", "bias"))):
+            w = np.float32(n / sum(counts))
+            used, table, out, bias = (np.frombuffer(x.as_buffer(), t) for x, t in zip(parts, (np.int32, np.float32, np.float32, np.float32)))
+            sums[0][used] += table.reshape(-1, s.dim) * w
+            sums[1] += out.reshape(m.out.shape) * w
+            sums[2] += bias * w
         adam.step(sums)
     return m
 
