@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -224,6 +226,58 @@ def test_neighbours(spark, monkeypatch, top):
     assert neighbours.Neighbours().neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_disk(spark, monkeypatch):
+    """Copies of the vectors that are on disk at one time don't follow the number of blocks a vector asks."""
+    monkeypatch.setattr(neighbours, "LEAST_ROUND", 1, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(f"{k:04}", v.tolist(), "m", None, None) for k, v in enumerate(x)], "id string, embedding array<float>, model_version string, created_at timestamp_ntz, deleted_at timestamp_ntz")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    tables = lambda: sum(p.stat().st_size for p in shared.rglob("*.parquet"))
+    shuffled = lambda: sum(p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*.data"))
+    at, moved, most, write = tables(), shuffled(), [], neighbours.stage
+
+    def stage(df, label):
+        out = write(df, label)
+        most.append(tables() - at)
+        return out
+
+    monkeypatch.setattr(neighbours, "stage", stage)
+    op = neighbours.Neighbours(leaf=100)
+    result = op.neighbours(df)
+    assert max(most) < 3 * x.nbytes
+    for _ in range(50):  # they are removed in the background
+        if shuffled() - moved < x.nbytes:
+            break
+        time.sleep(0.2)
+    assert shuffled() - moved < x.nbytes
+    got = {}
+    for r in result.collect():
+        got.setdefault(r.id, set()).add(int(r.neighbour_id))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    want = np.argsort(-s, 1)[:, :5]
+    assert len(got) == 4000 and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[f"{k:04}"] & set(w.tolist())) for k, w in enumerate(want)) >= 0.97 * want.size
+    assert op.rounds > 3 and op.blocks["m"] > 10
+
+
+@pytest.mark.parametrize("broadcast", [1 << 24, -1])
+def test_neighbours_few_in_own_block(spark, monkeypatch, broadcast):
+    """A vector whose own block holds fewer than k others still gets k, of other leaves; cells held by every task or joined."""
+    monkeypatch.setattr(neighbours, "BROADCAST", broadcast, raising=False)
+    monkeypatch.setattr(neighbours, "SPLIT", 1)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1, 64)) * 0.1 + c for c in rng.normal(size=(40, 64))])
+    df = spark.createDataFrame([(f"{k:02}", v.tolist(), "m", None, None) for k, v in enumerate(x)], "id string, embedding array<double>, model_version string, created_at timestamp_ntz, deleted_at timestamp_ntz")
+    got = {}
+    for r in neighbours.Neighbours(leaf=4).neighbours(df).collect():
+        got.setdefault(r.id, set()).add(r.neighbour_id)
+    assert len(got) == 40 and all(len(v) == 5 and k not in v for k, v in got.items())
+
+
 def test_pfair_deviation():
     for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {str(k): 1 / (k + 1) for k in range(15)}, {"x": 1.0}, {"x": 1.0, "y": 0.0}):
         order = mixing.pfair_schedule(weights, 3000)
